@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ogg
-from .common import table
+from . import langid, ogg, quality
+from .common import held_out, table
 
 
 def op1_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,22 @@ def op1_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.decode_column(media).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "bad_pages", "lost_packets")
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, ~held_out())
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected", "n_letters")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every whole text; the length in characters is the metadata that goes in."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out(), meta=("chars",))
+    return quality.score(docs, model, meta=("chars",)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg": op1_ogg,
+    "op2_langid": op2_langid,
+    "op3_quality": op3_quality,
 }
