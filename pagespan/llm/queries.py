@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, ogg, quality
-from .common import held_out, table
+from . import langid, ogg, packing, quality, sharding, warc
+from .common import held_out, store, table
+
+SHARDS, SHARD_SEED = 8, 20_240_229
 
 
 def op1_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +33,32 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, meta=("chars",)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to Zstandard WARC archives, which are stored and read back."""
+    archives = store(warc.write(table(spark, sf_dir, "pages")), "archives")
+    r = warc.records(archives, payload=False)
+    return r.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "error")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot under the permutation of row numbers in the order of doc_id."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    placed = sharding.shard(rows, ["doc_id", "size", "text_crc32"], SHARDS, SHARD_SEED)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed; every window holds each source in its share of all tokens."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window_id", "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg": op1_ogg,
     "op2_langid": op2_langid,
     "op3_quality": op3_quality,
+    "op4_warc": op4_warc,
+    "op5_sharding": op5_sharding,
+    "op6_packing": op6_packing,
 }
