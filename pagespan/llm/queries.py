@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, ogg, packing, quality, sharding, warc
+from . import langid, mixing, ogg, packing, quality, rules, sharding, warc
 from .common import held_out, store, table
 
 SHARDS, SHARD_SEED = 8, 20_240_229
@@ -54,6 +54,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window_id", "source")
 
 
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every whole text; the host is the source."""
+    judged = rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_removed")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg": op1_ogg,
     "op2_langid": op2_langid,
@@ -61,4 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
+    "op7_rules": op7_rules,
+    "op8_mixing": op8_mixing,
 }
