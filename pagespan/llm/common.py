@@ -9,11 +9,14 @@ import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: One word, as a Java and Python regular expression: ASCII white space separates.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,6 +83,27 @@ def out_schema(df: DataFrame, **more: T.DataType) -> T.StructType:
     return T.StructType([*kept, *(T.StructField(k, v) for k, v in more.items())])
 
 
+def add_columns(df: DataFrame, inputs: list[str], more: dict[str, T.DataType], make: Callable[[], Callable[..., tuple]], keep: bool = False) -> DataFrame:
+    """df with further columns that Python computes row by row: make() gives, once for each task, the function from the inputs' values to a tuple. The other columns stay in Arrow as they are; the inputs are dropped unless keep."""
+    ensure_importable(df.sparkSession)
+    taken = {m.lower() for m in more}
+    source = df.select(*[c for c in df.columns if c in inputs or c.lower() not in taken])
+    schema = out_schema(source if keep else source.drop(*inputs), **more)
+    kinds = [to_arrow_type(t) for t in more.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for b in batches:
+            for a in range(0, b.num_rows, 1000):
+                part = b.slice(a, 1000)
+                rows = [f(*x) for x in zip(*(part.column(c).to_pylist() for c in inputs), strict=True)]
+                made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                kept = [part.column(n) for n in part.schema.names if (keep or n not in inputs) and n.lower() not in taken]
+                yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True for the rows that training must not see: crc32 of the id as text, mod 4, is 2."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ensure_importable, out_schema
+from .common import add_columns, ensure_importable
 
 BUCKETS, DIMS, ORDERS, PIECE = 1 << 14, 16, (1, 2, 3), 1 << 20
 #: Bound of the training sample: about so many rows for each language, drawn by a hash of the row.
@@ -150,11 +150,7 @@ def fit(df: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang"
 
 def predict(df: DataFrame, model: Model | None, text: str = "text", keep_text: bool = False) -> DataFrame:
     """df with lang_pred, score, rejected (the score is below the calibrated threshold) and n_letters."""
-    ensure_importable(df.sparkSession)
     more = {"lang_pred": T.StringType(), "score": T.DoubleType(), "rejected": T.BooleanType(), "n_letters": T.LongType()}
-    source = df.select(*[c for c in df.columns if c.lower() not in more])
-    schema = out_schema(source if keep_text else source.drop(text), **more)
-    names = [f.name for f in schema]
 
     def one(t: str | None) -> tuple:
         counts, letters = ngram_counts(t) if t else (None, 0)
@@ -164,10 +160,4 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", keep_text: b
         best = int(p.argmax())
         return model.langs[best], float(p[best]), bool(p[best] < model.threshold), letters
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            part = part.reset_index(drop=True)
-            got = pd.DataFrame([one(t) for t in part[text]], columns=list(more))
-            yield pd.concat([part, got], axis=1)[names]
-
-    return source.mapInPandas(run, schema)
+    return add_columns(df, [text], more, lambda: one, keep_text)

@@ -56,8 +56,7 @@ def tokenize(df: DataFrame, key: str, source: str, text: str, vocabulary: str, e
     """The stored token table: key, queue, part, start (tokens of that queue before it in its part), n_tokens, ids (little-endian uint16, or uint32 where an id needs it)."""
     ensure_importable(df.sparkSession)
     queue = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
-    rows = df.select(F.col(key).alias("k"), queue.alias("queue"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    kind = rows.schema["k"].dataType.simpleString()
+    rows = df.select(F.col(key).cast("string").alias("k"), queue.alias("queue"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, seen, part_id = encoder(vocabulary), {}, TaskContext.get().partitionId()
@@ -69,9 +68,9 @@ def tokenize(df: DataFrame, key: str, source: str, text: str, vocabulary: str, e
                     start = seen.get(q, 0)
                     seen[q] = start + len(ids)
                     out.append((k, q, part_id, start, len(ids), (ids.astype(np.uint16) if ids.max() < 65536 else ids).tobytes()))
-                yield pd.DataFrame(out, columns=["k", "queue", "part", "start", "n_tokens", "ids"]).astype({"k": part["k"].dtype})
+                yield pd.DataFrame(out, columns=["k", "queue", "part", "start", "n_tokens", "ids"])
 
-    return store(rows.mapInPandas(run, f"k {kind}, queue string, part int, start long, n_tokens long, ids binary"), "tokens")
+    return store(rows.mapInPandas(run, "k string, queue string, part int, start long, n_tokens long, ids binary"), "tokens")
 
 
 @dataclass
@@ -174,7 +173,7 @@ def pack(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     of = {x: i for i, x in enumerate(names)}
     before = sums.select("queue", "part", (F.sum("n").over(W.partitionBy("queue").orderBy("part")) - F.col("n")).alias("before"))
     placed = tokens.join(small(before), ["queue", "part"]).select("k", "queue", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
-    kind = tokens.schema["k"].dataType.simpleString()
+    kind = df.schema[key].dataType.simpleString()
     names_out = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window_id", "source"] + ["ids"] * with_ids
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,9 +186,10 @@ def pack(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
                     for first, size, sequence, offset in cutter.cut(of[queue], start, n):
                         piece = ids[first : first + size].tobytes()
                         out.append((k, first, size, zlib.crc32(piece), n, sequence, offset, sequence // window, None if queue == "null" else queue[1:], *([piece] if with_ids else [])))
-                yield pd.DataFrame(out, columns=names_out).astype({key: part["k"].dtype})
+                yield pd.DataFrame(out, columns=names_out)
 
-    return placed.mapInPandas(run, f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window_id long, source string" + ", ids binary" * with_ids)
+    out = placed.mapInPandas(run, f"{key} string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window_id long, source string" + ", ids binary" * with_ids)
+    return out.withColumn(key, F.col(key).cast(kind))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

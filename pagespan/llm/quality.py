@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ensure_importable, out_schema, small
+from .common import add_columns, ensure_importable, small
 from .textnum import mix, word_hashes
 
 WORDS, FACTORS, SEED, EPOCHS, BATCH = 1 << 14, 8, 29, 12, 64
@@ -152,17 +152,12 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc_i
 
 
 def score(df: DataFrame, model: Model | None, text: str = "text", meta: tuple[str, ...] = (), threshold: float = 0.7, keep_text: bool = False) -> DataFrame:
-    """df with score (higher: label 1 likelier) and predicted (1 from the threshold on)."""
-    ensure_importable(df.sparkSession)
-    more = {"score": T.DoubleType(), "predicted": T.IntegerType()}
-    source = df.select(*[c for c in df.columns if c.lower() not in more], *[F.col(c).cast("double").alias(f"__m{i}") for i, c in enumerate(meta)])
-    schema = out_schema(source.drop(*[f"__m{i}" for i in range(len(meta))], *([] if keep_text else [text])), **more)
-    names = [f.name for f in schema]
-    own = [f"__m{i}" for i in range(len(meta))]
+    """df with score (higher: label 1 likelier) and predicted (1 from the threshold on). The metadata columns stay."""
+    own = [f"m{i}__" for i in range(len(meta))]
+    rows = df.select("*", *[F.col(c).cast("double").alias(n) for c, n in zip(meta, own, strict=True)])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            s = [model.score(*row_features(r[0], list(r[1:]))) if model else 0.5 for r in part[[text, *own]].itertuples(index=False)]
-            yield part.assign(score=np.array(s, float), predicted=np.array([int(x >= threshold) for x in s], np.int32))[names]
+    def one(t: str | None, *values: float | None) -> tuple:
+        s = model.score(*row_features(t, list(values))) if model else 0.5
+        return s, int(s >= threshold)
 
-    return source.mapInPandas(run, schema)
+    return add_columns(rows, [text, *own], {"score": T.DoubleType(), "predicted": T.IntegerType()}, lambda: one, keep_text).drop(*own)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, ogg, packing, quality, rules, sharding, warc
+from . import langid, mixing, nearduplicates, ogg, packing, quality, rules, sharding, warc
 from .common import held_out, store, table
 
 SHARDS, SHARD_SEED = 8, 20_240_229
@@ -66,6 +66,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "source")
 
 
+def op9_nearduplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of similarity 0.75."""
+    return nearduplicates.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg": op1_ogg,
     "op2_langid": op2_langid,
@@ -75,4 +80,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_rules": op7_rules,
     "op8_mixing": op8_mixing,
+    "op9_nearduplicates": op9_nearduplicates,
 }
