@@ -298,3 +298,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     out = sets.select("k", "text_", "n_shingles").join(of_text, "text_", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("c_")).otherwise(F.col("k"))
     return out.select(F.col("k").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("k") == component, F.lit(True)).alias("kept"))
+
+
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df without those that aren't the first of their component."""
+    gone = near_duplicates(df, key, text).where("not kept").select(key)
+    return df.join(small(store(gone, "gone")), key, "left_anti").select(*df.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, nearduplicates, ogg, packing, quality, rules, sharding, warc
+from . import langid, linetemplates, mixing, nearduplicates, ogg, packing, quality, rules, sharding, warc
 from .common import held_out, store, table
 
 SHARDS, SHARD_SEED = 8, 20_240_229
@@ -71,6 +71,13 @@ def op9_nearduplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearduplicates.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_linetemplates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses by recurring line templates, and the digest of what it keeps."""
+    left = linetemplates.drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce(F.col("text"), F.lit(""))
+    return left.select("doc_id", "n_lines", "dropped_lines", "dropped_tokens", F.octet_length(kept).cast("long").alias("kept_bytes"), F.md5(kept.cast("binary")).alias("kept_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg": op1_ogg,
     "op2_langid": op2_langid,
@@ -81,4 +88,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_rules": op7_rules,
     "op8_mixing": op8_mixing,
     "op9_nearduplicates": op9_nearduplicates,
+    "op10_linetemplates": op10_linetemplates,
 }
