@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, store
+from .common import small, small_lists, store
 
 MIN_TOKENS, LEADING, MATCH, MAX_LEADERS, MIN_DOCS, LONG_TOKENS = 4, 4, 70, 8, 3, 50
 VARIABLE = "<*>"
@@ -25,19 +25,20 @@ _BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def masked(line: Column) -> Column:
-    """The line's tokens with one blank between them, variable fields masked."""
-    squeezed = F.trim(F.when(line.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(line, _BLANKS, " ")).otherwise(line))
-    return F.when(squeezed.rlike("[0-9]"), F.regexp_replace(squeezed, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)).otherwise(squeezed)
+    """The line's tokens with one blank between them, variable fields masked. Most lines need no change, which one look tells."""
+    squeezed = F.trim(F.regexp_replace(line, _BLANKS, " "))
+    return F.when(line.rlike(r"[0-9\x09-\x0D]|  |^ | $"), F.regexp_replace(squeezed, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)).otherwise(line)
 
 
 def _tokens(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
 def lines_of(df: DataFrame, text: str, key: str) -> DataFrame:
-    """d, text_ (hash of the text), pos, line (masked), n (tokens), leaf, of lines with MIN_TOKENS tokens or more."""
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("d"), F.xxhash64(text).alias("text_"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
-    rows = rows.select("d", "text_", "pos", masked(F.col("raw")).alias("line")).withColumn("n", _tokens(F.col("line"))).where(F.col("n") >= MIN_TOKENS)
+    """d, text_ (hash of the text), pos, line (masked), n (tokens), leaf, of lines with MIN_TOKENS tokens or more. Lines are masked and counted inside the array, so that no filter above repeats the work."""
+    lines = F.transform(F.transform(F.split(text, "\n"), masked), lambda x: F.struct(x.alias("line"), _tokens(x).alias("n")))
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("d"), F.xxhash64(text).alias("text_"), F.posexplode(lines).alias("pos", "x"))
+    rows = rows.where(F.col("x.n") >= MIN_TOKENS).select("d", "text_", "pos", "x.line", "x.n")
     return rows.withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", LEADING)))
 
 
@@ -51,7 +52,7 @@ def _agree(a: str, b: str) -> Column:
 def templates(df: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Stored lines of leaves that several texts reach (d, text_, pos, n, hash), and the template of each line's hash in a leaf (hash, template). A leaf's hot lines are counted with partial sums, by text, before they meet."""
     lines = lines_of(df, text, key)
-    leaves = lines.groupBy("leaf").agg(F.min("text_").alias("lo"), F.max("text_").alias("hi")).where("lo <> hi").select("leaf")
+    leaves = store(lines.groupBy("leaf").agg(F.min("text_").alias("lo"), F.max("text_").alias("hi")).where("lo <> hi").select("leaf"), "leaves")
     met = lines.join(small(leaves), "leaf", "left_semi")
     met = store(met.select("leaf", "d", "text_", "pos", "n", "line", F.xxhash64("leaf", "line").alias("hash")), "lines")
     classes = met.groupBy("leaf", "hash").agg(F.count("*").alias("docs"), F.first("line").alias("line"))
@@ -78,8 +79,8 @@ def dropped(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     by_text = placed.groupBy("template", "text_").agg(F.min("d").alias("d"), F.max("n").alias("n"))
     recurs = by_text.groupBy("template").agg(F.count("*").alias("docs"), F.max("n").alias("n"), F.min_by("text_", F.struct("d", "text_")).alias("first_"))
     recurs = recurs.where((F.col("docs") >= MIN_DOCS) | (F.col("n") >= LONG_TOKENS) & (F.col("docs") >= 2)).select("template", "first_")
-    gone = placed.join(small(recurs), "template").where(F.col("text_") != F.col("first_"))
-    return gone.groupBy("text_").agg(F.sort_array(F.collect_list("pos")).alias("at_"), F.sum("n").alias("lost_"))
+    gone = placed.join(small(store(recurs, "recurring")), "template").where(F.col("text_") != F.col("first_"))
+    return store(gone.groupBy("text_").agg(F.sort_array(F.collect_list("pos")).alias("at_"), F.sum("n").alias("lost_")), "gone")
 
 
 def _kept_lines() -> Column:
@@ -92,7 +93,7 @@ def drop_templates(df: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     """df with the recurring lines dropped from its texts, n_lines (before), dropped_lines and dropped_tokens."""
     gone = dropped(df, text, key)
     rows = df.drop("n_lines", "dropped_lines", "dropped_tokens").withColumns({"text_": F.xxhash64(text), "lines_": F.split(text, "\n")})
-    out = rows.join(gone, "text_", "left").withColumns({
+    out = rows.join(small_lists(gone, "at_"), "text_", "left").withColumns({
         text: F.when(F.col("at_").isNull(), F.col(text)).otherwise(F.array_join(_kept_lines(), "\n")), "n_lines": F.coalesce(F.size("lines_"), F.lit(0)),
         "dropped_lines": F.coalesce(F.size("at_"), F.lit(0)), "dropped_tokens": F.coalesce("lost_", F.lit(0)).cast("long"),
     })
