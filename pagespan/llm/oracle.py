@@ -1,3 +1,56 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+from .rules import LINE_WORDS, MAX_DOCS, MAX_REPEAT, MIN_LEFT, MIN_WORDS
+from .sharding import ROUNDS, round_keys
+from .warc import MIN_REVISIT
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_OP4 = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages), d AS (SELECT page_id, octet_length(raw)::BIGINT AS n, sha256(raw) AS h FROM p),
+f AS (SELECT *, CASE WHEN n >= {MIN_REVISIT} THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS first_id FROM d)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to, NULL::VARCHAR AS error FROM f"""
+
+
+def sharding_sql(shards: int, seed: int) -> str:
+    """The permutation walked in a recursive query; crc32 byte by byte over the text's hexadecimal form."""
+    keys = ", ".join(map(str, round_keys(seed)))
+    x1 = f"((xor(r, [{keys}][step % {ROUNDS} + 1]))::HUGEINT * 2654435769 % 4294967296)::BIGINT"
+    x2 = "(xor({0}, {0} >> 15)::HUGEINT * 2246822519 % 4294967296)::BIGINT"
+    return f"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256))::BIGINT AS i))),
+docs AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+crc AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, size), lambda i: ('0x' || h[2 * i - 1 : 2 * i])::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]))) AS text_crc32 FROM docs, tab),
+n AS (SELECT count(*) AS n FROM documents), b AS (SELECT n, greatest(1, CAST(ceil(log2(greatest(n, 2)) / 2) AS INT)) AS hb FROM n),
+walk AS (SELECT rn, rn >> hb AS l, rn % (1 << hb) AS r, 0 AS step FROM (SELECT row_number() OVER (ORDER BY doc_id, size, text_crc32) - 1 AS rn FROM crc), b
+  UNION ALL SELECT rn, r, xor(l, (xor(y, y >> 13)) % (1 << hb)), step + 1 FROM (SELECT *, {x2.format('x')} AS y FROM (SELECT rn, l, r, step, n, hb, {x1} AS x FROM walk, b WHERE step = 0 OR step % {ROUNDS} <> 0 OR (l << hb) + r >= n))),
+pos AS (SELECT rn, (l << hb) + r AS p FROM walk, b WHERE step > 0 AND step % {ROUNDS} = 0 AND (l << hb) + r < n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (p % {shards})::INT AS shard, p // {shards} AS slot, NULL::INT AS grown_shard FROM (SELECT *, row_number() OVER (ORDER BY doc_id, size, text_crc32) - 1 AS rn FROM crc) JOIN pos USING (rn)"""
+
+
+_OP7 = rf"""
+WITH d AS (SELECT doc_id, coalesce('=' || source, 'null') AS host, text, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, w[i : i + 2] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM rep, (SELECT unnest([0, 1, 2]) AS j) GROUP BY 1),
+ln AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d WHERE text IS NOT NULL),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+norm AS (SELECT doc_id, host, text, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS l, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM ln),
+one AS (SELECT host, l, text, min(doc_id) AS doc_id, arg_min(w, doc_id) AS w FROM (SELECT host, l, text, doc_id, sum(n) AS w FROM norm WHERE n >= {LINE_WORDS} GROUP BY ALL) GROUP BY ALL),
+freq AS (SELECT host, l, arg_min(text, doc_id) AS first_text FROM one GROUP BY ALL HAVING count(*) > {MAX_DOCS}),
+lost AS (SELECT host, text, sum(w)::BIGINT AS words_removed FROM one JOIN freq USING (host, l) WHERE text <> first_text GROUP BY ALL),
+base AS (SELECT d.doc_id, d.host, d.text, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id)),
+v AS (SELECT base.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed, coalesce(words_removed, 0) AS words_removed FROM base LEFT JOIN lost ON base.host = lost.host AND base.text = lost.text)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - words_removed >= {MIN_LEFT} AND 2 * (n_words - words_removed) >= n_words AS kept, words_removed FROM v"""
+
+_OP9 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_ >= 75 * (x.n + y.n - both_)),
+e AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS v, doc_id AS r FROM d UNION SELECT reach.v, e.b FROM reach JOIN e ON e.a = reach.r)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r) AS component_id, min(r) = d.doc_id AS kept FROM d JOIN reach ON v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+ORACLE: dict[str, str] = {"op4_warc": _OP4, "op5_sharding": sharding_sql(8, 20_240_229), "op7_rules": _OP7, "op9_nearduplicates": _OP9}
