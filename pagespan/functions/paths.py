@@ -131,7 +131,7 @@ def inlineable(media_type: Column | str) -> Column:
 
 def data_uri(media_type: Column | str, content: Column | str) -> Column:
     content = F.col(content) if isinstance(content, str) else content
-    return F.concat(lit("data:"), string(media_type), lit(";base64,"), F.base64(content))
+    return F.concat(lit("data:"), string(media_type), lit(";base64,"), F.replace(F.base64(content), lit("\r\n"), lit("")))
 
 
 def escapes_root(path: Column | str) -> Column:

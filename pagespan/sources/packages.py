@@ -63,7 +63,7 @@ def entries(archives: DataFrame, content: bool = True, names: list[str] | None =
                     continue
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, schema.types, strict=True)], schema=schema)
 
-    return archives.select("pub_id", "content").mapInArrow(run, ENTRIES)
+    return archives.select(F.col("pub_id").cast("string").alias("pub_id"), "content").mapInArrow(run, ENTRIES)
 
 
 def unreadable(archives: DataFrame) -> DataFrame:
