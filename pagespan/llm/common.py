@@ -9,7 +9,7 @@ import sys
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
@@ -22,12 +22,22 @@ from pyspark.sql.pandas.types import to_arrow_type
 WORD = r"[^\x20\x09-\x0D]+"
 #: Largest side, in rows, that an operator broadcasts after counting it; above it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: And in bytes, where a column holds texts.
+BROADCAST_TEXT = 8 << 20
+
+#: Limits of an Arrow batch that goes to Python, where the session allows more: texts may be long, and workers have little memory.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ensure_importable(spark: SparkSession) -> None:
-    """Ship this package to the Python workers unless their path has it anyway."""
+    """Ship this package to the Python workers unless their path has it anyway, and keep their batches small."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
     paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT in map(os.path.abspath, filter(None, paths)) or getattr(spark.sparkContext, "_pagespan_sent", False):
         return
@@ -104,6 +114,18 @@ def add_columns(df: DataFrame, inputs: list[str], more: dict[str, T.DataType], m
     return source.mapInArrow(run, schema)
 
 
+def apart(df: DataFrame, *needed: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """df's needed columns with the others as one struct, so that no name inside an operator meets theirs; and what puts them back: back(result, made, drop) has df's columns but for those dropped or made anew, then those made."""
+    rest = [c for c in df.columns if c not in needed]
+    packed = df.select(*dict.fromkeys(needed), *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__rest")] if rest else []))
+
+    def back(out: DataFrame, made: Sequence[str] = (), drop: Sequence[str] = ()) -> DataFrame:
+        gone = {m.lower() for m in [*made, *drop]}
+        return out.select(*[F.col("__rest").getField(c).alias(c) if c in rest else F.col(c) for c in df.columns if c.lower() not in gone], *made)
+
+    return packed, back
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True for the rows that training must not see: crc32 of the id as text, mod 4, is 2."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -119,9 +141,10 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many (narrow) rows, else as it is: the join then shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, text: str | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most so many narrow rows (and at most BROADCAST_TEXT bytes in the column text), else as it is: the join then shuffles."""
+    n, held = df.select(F.octet_length(text).alias("b") if text else F.lit(0).alias("b")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= BROADCAST_TEXT else df
 
 
 def small_lists(df: DataFrame, lists: str, values: int = 2 * BROADCAST_ROWS) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, ensure_importable
+from .common import add_columns, ensure_importable, small
 
 BUCKETS, DIMS, ORDERS, PIECE = 1 << 14, 16, (1, 2, 3), 1 << 20
 #: Bound of the training sample: about so many rows for each language, drawn by a hash of the row.
@@ -132,7 +132,7 @@ def fit(df: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang"
     known = df.where(may_learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k"))
     share = known.groupBy("l").agg((F.lit(float(per_lang)) / F.count("*")).alias("p"))
     draw = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit(SEED)), F.lit(1_000_000)) / 1e6
-    sample = known.join(F.broadcast(share), "l").where(draw < F.col("p")).select("l", "t")
+    sample = known.join(small(share), "l").where(draw < F.col("p")).select("l", "t")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -1,8 +1,8 @@
 """Line dedup by a log-template tree of fixed depth, in DataFrame functions only.
 
 A line of at least MIN_TOKENS tokens goes down the tree by its token count and its first LEADING tokens; a token with a
-digit is a variable field and reads as `<*>` everywhere. In a leaf the distinct lines gather round leaders: the line of
-most documents leads a template, and lines that agree with it in MATCH percent of the tokens join it; the rest gather
+digit is a variable field and reads as `<*>` everywhere. In a leaf the distinct lines gather round leaders: the line that
+occurs most (of equals the last by code points) leads a template, and lines that agree with it in MATCH percent of the tokens join it; the rest gather
 round the next leader. After MAX_LEADERS leaders a line that is left is a template by itself. A template recurs if it
 stands in MIN_DOCS distinct texts, or in two if it has LONG_TOKENS or more; its lines are dropped from all texts but the
 one of the smallest id.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, small_lists, store
+from .common import apart, small, small_lists, store
 
 MIN_TOKENS, LEADING, MATCH, MAX_LEADERS, MIN_DOCS, LONG_TOKENS = 4, 4, 70, 8, 3, 50
 VARIABLE = "<*>"
@@ -58,7 +58,8 @@ def templates(df: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
     classes = met.groupBy("leaf", "hash").agg(F.count("*").alias("docs"), F.first("line").alias("line"))
     left, found = store(classes, "classes"), []
     for _ in range(MAX_LEADERS):
-        lead = left.groupBy("leaf").agg(F.max_by(F.struct("hash", "line"), F.struct("docs", "hash")).alias("lead")).select("leaf", F.col("lead.hash").alias("template"), F.col("lead.line").alias("leader"))
+        lead = left.groupBy("leaf").agg(F.max_by(F.struct("hash", "line"), F.struct("docs", "line")).alias("lead")).select("leaf", F.col("lead.hash").alias("template"), F.col("lead.line").alias("leader"))
+        lead = small(store(lead, "leaders"), text="leader")
         tried = store(left.join(lead, "leaf").withColumn("near", (F.col("hash") == F.col("template")) | (_agree("line", "leader") >= MATCH)), "tried")
         found.append(tried.where("near").select("hash", "template"))
         left = tried.where("not near").select("leaf", "hash", "docs", "line")
@@ -91,15 +92,17 @@ def _kept_lines() -> Column:
 
 def drop_templates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """df with the recurring lines dropped from its texts, n_lines (before), dropped_lines and dropped_tokens."""
-    gone = dropped(df, text, key)
-    rows = df.drop("n_lines", "dropped_lines", "dropped_tokens").withColumns({"text_": F.xxhash64(text), "lines_": F.split(text, "\n")})
+    docs, back = apart(df, key, text)
+    gone = dropped(docs, text, key)
+    rows = docs.withColumns({"text_": F.xxhash64(text), "lines_": F.split(text, "\n")})
     out = rows.join(small_lists(gone, "at_"), "text_", "left").withColumns({
         text: F.when(F.col("at_").isNull(), F.col(text)).otherwise(F.array_join(_kept_lines(), "\n")), "n_lines": F.coalesce(F.size("lines_"), F.lit(0)),
         "dropped_lines": F.coalesce(F.size("at_"), F.lit(0)), "dropped_tokens": F.coalesce("lost_", F.lit(0)).cast("long"),
     })
-    return out.drop("text_", "at_", "lost_", "lines_")
+    return back(out, ["n_lines", "dropped_lines", "dropped_tokens"])
 
 
 def clean(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """df with the recurring lines dropped; a document that has lost lines and holds no word any more goes."""
-    return drop_templates(df, text, key).where((F.col("dropped_lines") == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(*df.columns)
+    docs, back = apart(df, key, text)
+    return back(drop_templates(docs, text, key).where((F.col("dropped_lines") == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]")))

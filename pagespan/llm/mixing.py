@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_importable, n_words, store
+from .common import apart, ensure_importable, n_words, small, store
 
 WEIGHTS, MAX_EPOCHS, SEED, MAX_SOURCES = (5, 2, 1), 3, 97, 100_000
 #: Steps of the hash for each class of sizes; a threshold falls on a step.
@@ -64,10 +64,11 @@ def thresholds(bins: pd.DataFrame, share: float) -> list[tuple[int, int]]:
 def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", weights: tuple[float, ...] | dict[str | None, float] = WEIGHTS, share: float = 1.0, cap: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """df with size (words), source_size, target and times (how often the mix takes the row). weights: by source, or repeating over the sources in the order of their code points, null last; share: of all sizes."""
     ensure_importable(df.sparkSession)
-    out = ("size", "source_size", "target", "times", "taken")
-    draw = F.xxhash64(F.col(key).cast("string"), F.coalesce(F.col(text), F.lit("")), F.lit(seed))
-    rows = df.drop(*out).withColumns({"size": n_words(F.col(text)), "name_": _name(source)})
-    rows = rows.withColumns({"cls_": F.length(F.bin("size")), "bin_": F.pmod(draw, F.lit(BINS)).cast("int")})
+    docs, back = apart(df, key, text, source)
+    drawn = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+    draw = F.conv(F.substring(drawn, 1, 8), 16, 10).cast("long")
+    rows = docs.withColumns({"size": n_words(F.col(text)), "name_": _name(source)})
+    rows = rows.withColumns({"cls_": F.length(F.bin("size")), "bin_": (draw % BINS).cast("int")})
     bins = store(rows.groupBy("name_", "cls_", "bin_").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "bins")
     sums = {r["name_"]: r["n"] for r in bins.groupBy("name_").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(sums) > MAX_SOURCES:
@@ -85,11 +86,13 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "d
 
     chosen = bins.groupBy("name_").applyInPandas(one, "name_ string, cls_ int, below_ int, whole_ int, source_size long, target double")
     chosen = store(chosen, "thresholds")  # for each source at most a row for each power of two
-    placed = rows.join(F.broadcast(chosen), ["name_", "cls_"], "left")
+    placed = rows.join(small(chosen), ["name_", "cls_"], "left")
     placed = placed.withColumn("times", F.col("whole_") + (F.col("bin_") < F.col("below_")).cast("int"))
-    return placed.drop("name_", "cls_", "bin_", "below_", "whole_")
+    return back(placed, ["size", "source_size", "target", "times"])
 
 
-def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row as often as the mix takes it."""
-    return mixed.where("times > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*columns)
+def sample(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """Each row of df as often as the mix takes it."""
+    docs, back = apart(df, key, text, source)
+    mixed = mix(docs, source, text, key, **options).where("times > 0")
+    return back(mixed.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times")))))

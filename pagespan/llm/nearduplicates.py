@@ -33,7 +33,7 @@ from .components import components
 from .textnum import mix, shingle_hashes, word_hashes
 
 WORDS, THRESHOLD, SEED = 5, 0.75, 7
-COORDINATES, TREES, BRANCHES, LEAF, DEPTH = 64, 5, 2, 1000, 12
+COORDINATES, TREES, BRANCHES, LEAF, DEPTH = 64, 5, 2, 500, 12
 #: Estimates from COORDINATES values: candidates from this many equal values on (mean 48, deviation 3.5 at 0.75).
 AT_LEAST = 31
 #: Shingles that a block of a candidate cluster may hold in one task.

@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from .linetemplates import LEADING, LONG_TOKENS, MATCH, MAX_LEADERS, MIN_DOCS, MIN_TOKENS
+from .mixing import BINS, MAX_EPOCHS, SEED, WEIGHTS
 from .rules import LINE_WORDS, MAX_DOCS, MAX_REPEAT, MIN_LEFT, MIN_WORDS
 from .sharding import ROUNDS, round_keys
 from .warc import MIN_REVISIT
@@ -53,4 +55,36 @@ e AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (SELECT doc_id AS v, doc_id AS r FROM d UNION SELECT reach.v, e.b FROM reach JOIN e ON e.a = reach.r)
 SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r) AS component_id, min(r) = d.doc_id AS kept FROM d JOIN reach ON v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
 
-ORACLE: dict[str, str] = {"op4_warc": _OP4, "op5_sharding": sharding_sql(8, 20_240_229), "op7_rules": _OP7, "op9_nearduplicates": _OP9}
+_OP8 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS name, len({_WORDS})::BIGINT AS size, ('0x' || md5('{SEED}|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, ''))[1:8])::BIGINT % {BINS} AS bin FROM documents),
+c AS (SELECT *, length(bin(size)) AS cls FROM d),
+src AS (SELECT name, sum(size)::BIGINT AS ss, {list(WEIGHTS)}[(row_number() OVER (ORDER BY name = 'null', name) - 1) % {len(WEIGHTS)} + 1] AS w FROM c GROUP BY name),
+ord AS (SELECT *, row_number() OVER o AS k, coalesce(sum({MAX_EPOCHS} * ss) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used, sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open_ FROM src WHERE ss > 0 WINDOW o AS (ORDER BY ss::DOUBLE / w, name)),
+lvl AS (SELECT (SELECT sum(ss) FROM src)::DOUBLE - arg_min(used, k) AS left_, arg_min(open_, k) AS open_ FROM ord WHERE ((SELECT sum(ss) FROM src)::DOUBLE - used) * w / open_ <= {MAX_EPOCHS} * ss),
+t AS (SELECT name, ss, CASE WHEN ss = 0 THEN 0 WHEN left_ * w / open_ > {MAX_EPOCHS} * ss THEN {MAX_EPOCHS} * ss ELSE left_ * w / open_ END::DOUBLE AS target FROM src, lvl),
+rate AS (SELECT *, CASE WHEN ss > 0 THEN least({MAX_EPOCHS}::DOUBLE, target / ss) ELSE 0 END AS r FROM t),
+cum AS (SELECT name, cls, bin, sum(sum(size)) OVER (PARTITION BY name, cls ORDER BY bin)::DOUBLE AS reached FROM c GROUP BY name, cls, bin),
+cl AS (SELECT name, cls, list_prepend(0::DOUBLE, list(reached ORDER BY bin)) AS rs, list_prepend(0, list(bin + 1 ORDER BY bin)) AS es, row_number() OVER (PARTITION BY name ORDER BY cls DESC) AS j FROM cum GROUP BY name, cls),
+walk AS (SELECT name, 0::BIGINT AS j, 0::DOUBLE AS carry, 0::BIGINT AS cls, 0::BIGINT AS below FROM rate
+  UNION ALL SELECT name, j, goal - rs[i], cls, es[i] FROM (SELECT *, list_position(list_transform(rs, lambda x: abs(x - goal)), list_min(list_transform(rs, lambda x: abs(x - goal)))) AS i FROM (SELECT walk.name, cl.j, cl.cls, rs, es, carry + (r - floor(r)) * rs[-1] AS goal FROM walk JOIN cl ON cl.name = walk.name AND cl.j = walk.j + 1 JOIN rate ON rate.name = walk.name)))
+SELECT doc_id, size, ss AS source_size, target, (size * (floor(r) + CASE WHEN bin < below THEN 1 ELSE 0 END))::BIGINT AS taken, source FROM c JOIN rate USING (name) JOIN walk USING (name, cls) WHERE j > 0"""
+
+_OP10 = rf"""
+WITH RECURSIVE raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
+tok AS (SELECT doc_id, text, pos, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM raw),
+ln AS (SELECT doc_id, text, pos, w, len(w) AS n, w[1 : {LEADING}] AS lead, array_to_string(w, ' ') AS line FROM tok WHERE len(w) >= {MIN_TOKENS}),
+met AS (SELECT * FROM ln SEMI JOIN (SELECT n, lead FROM ln GROUP BY ALL HAVING count(DISTINCT text) > 1) USING (n, lead)),
+cls AS (SELECT n, lead, line, any_value(w) AS w, count(*) AS docs FROM met GROUP BY n, lead, line),
+walk AS (SELECT n, lead, line, w, docs, NULL::VARCHAR AS template, 0 AS round FROM cls
+  UNION ALL SELECT n, lead, line, w, docs, CASE WHEN line = top OR 100.0 * len(list_filter(list_zip(w, top_w), lambda z: z[1] = z[2])) / n >= {MATCH} THEN top END, round + 1
+  FROM (SELECT *, first_value(line) OVER g AS top, first_value(w) OVER g AS top_w FROM walk WHERE template IS NULL AND round < {MAX_LEADERS} WINDOW g AS (PARTITION BY n, lead ORDER BY docs DESC, line DESC))),
+tpl AS (SELECT line, coalesce(template, line) AS template FROM walk WHERE template IS NOT NULL OR round = {MAX_LEADERS}),
+placed AS (SELECT DISTINCT template, text, pos, n FROM met JOIN tpl USING (line)),
+ids AS (SELECT text, min(doc_id) AS d FROM documents GROUP BY 1),
+rec AS (SELECT template, arg_min(text, d) AS first_text FROM (SELECT DISTINCT template, text, n FROM placed) JOIN ids USING (text) GROUP BY 1 HAVING count(DISTINCT text) >= {MIN_DOCS} OR max(n) >= {LONG_TOKENS} AND count(DISTINCT text) >= 2),
+gone AS (SELECT placed.text, pos, n FROM placed JOIN rec USING (template) WHERE placed.text <> first_text),
+kept AS (SELECT text, count(*) FILTER (NOT g) AS n_kept, count(*) AS n_lines, sum(CASE WHEN g THEN n ELSE 0 END) AS lost, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT g), '') AS t
+  FROM (SELECT r.text, r.pos, r.line, gone.n, gone.pos IS NOT NULL AS g FROM (SELECT DISTINCT text, pos, line FROM raw) r LEFT JOIN gone ON gone.text = r.text AND gone.pos = r.pos) GROUP BY text)
+SELECT doc_id, coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_lines - n_kept, 0)::INT AS dropped_lines, coalesce(lost, 0)::BIGINT AS dropped_tokens, strlen(coalesce(t, ''))::BIGINT AS kept_bytes, md5(coalesce(t, '')) AS kept_md5 FROM documents LEFT JOIN kept USING (text)"""
+
+ORACLE: dict[str, str] = {"op4_warc": _OP4, "op5_sharding": sharding_sql(8, 20_240_229), "op7_rules": _OP7, "op8_mixing": _OP8, "op9_nearduplicates": _OP9, "op10_linetemplates": _OP10}

@@ -19,13 +19,15 @@ from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
-from .common import ensure_importable, small, store
+from .common import add_columns, small, store
 
 LENGTH, WINDOW, END, MAX_SOURCES = 2048, 16, 1, 100_000
 _encoders: dict[str, object] = {}
@@ -53,24 +55,23 @@ def encoder(name: str):
 
 
 def tokenize(df: DataFrame, key: str, source: str, text: str, vocabulary: str, end: int = END) -> DataFrame:
-    """The stored token table: key, queue, part, start (tokens of that queue before it in its part), n_tokens, ids (little-endian uint16, or uint32 where an id needs it)."""
-    ensure_importable(df.sparkSession)
+    """The stored token table: k, queue, part, start (tokens of that queue before it in its part), n_tokens, ids (little-endian uint16, or uint32 where an id needs it)."""
     queue = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
-    rows = df.select(F.col(key).cast("string").alias("k"), queue.alias("queue"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = df.select(F.col(key).alias("k"), queue.alias("queue"), queue.alias("q"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    more = {"part": T.IntegerType(), "start": T.LongType(), "n_tokens": T.LongType(), "ids": T.BinaryType()}
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, seen, part_id = encoder(vocabulary), {}, TaskContext.get().partitionId()
-        for part in parts:
-            for a in range(0, len(part), 1000):
-                out = []
-                for k, q, t in part.iloc[a : a + 1000].itertuples(index=False):
-                    ids = np.append(encode(t), np.uint32(end))
-                    start = seen.get(q, 0)
-                    seen[q] = start + len(ids)
-                    out.append((k, q, part_id, start, len(ids), (ids.astype(np.uint16) if ids.max() < 65536 else ids).tobytes()))
-                yield pd.DataFrame(out, columns=["k", "queue", "part", "start", "n_tokens", "ids"])
+    def make():
+        encode, seen, part = encoder(vocabulary), {}, TaskContext.get().partitionId()
 
-    return store(rows.mapInPandas(run, "k string, queue string, part int, start long, n_tokens long, ids binary"), "tokens")
+        def one(q: str, t: str) -> tuple:
+            ids = np.append(encode(t), np.uint32(end))
+            start = seen.get(q, 0)
+            seen[q] = start + len(ids)
+            return part, start, len(ids), (ids.astype(np.uint16) if ids.max() < 65536 else ids).tobytes()
+
+        return one
+
+    return store(add_columns(rows, ["q", "t"], more, make), "tokens")
 
 
 @dataclass
@@ -173,23 +174,26 @@ def pack(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     of = {x: i for i, x in enumerate(names)}
     before = sums.select("queue", "part", (F.sum("n").over(W.partitionBy("queue").orderBy("part")) - F.col("n")).alias("before"))
     placed = tokens.join(small(before), ["queue", "part"]).select("k", "queue", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
-    kind = df.schema[key].dataType.simpleString()
-    names_out = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window_id", "source"] + ["ids"] * with_ids
+    kinds = {"start": T.LongType(), "length": T.LongType(), "ids_crc32": T.LongType(), "doc_tokens": T.LongType(), "sequence_id": T.LongType(), "offset": T.LongType(), "window_id": T.LongType(), "source": T.StringType()} | ({"ids": T.BinaryType()} if with_ids else {})
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(k, v) for k, v in kinds.items())])
+    arrow = [to_arrow_type(t) for t in kinds.values()]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(phases, length, window)
-        for part in parts:
-            for a in range(0, len(part), 2000):
-                out = []
-                for k, queue, start, n, raw in part.iloc[a : a + 2000].itertuples(index=False):
-                    ids = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype("<u4")
-                    for first, size, sequence, offset in cutter.cut(of[queue], start, n):
-                        piece = ids[first : first + size].tobytes()
-                        out.append((k, first, size, zlib.crc32(piece), n, sequence, offset, sequence // window, None if queue == "null" else queue[1:], *([piece] if with_ids else [])))
-                yield pd.DataFrame(out, columns=names_out)
-
-    out = placed.mapInPandas(run, f"{key} string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window_id long, source string" + ", ids binary" * with_ids)
-    return out.withColumn(key, F.col(key).cast(kind))
+        for b in batches:
+            at, out = [], []
+            for i, (queue, start, n, raw) in enumerate(zip(*(b.column(c).to_pylist() for c in ("queue", "start", "n_tokens", "ids")), strict=True)):
+                ids = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype("<u4")
+                name = None if queue == "null" else queue[1:]
+                for first, size, sequence, offset in cutter.cut(of[queue], start, n):
+                    piece = ids[first : first + size].tobytes()
+                    at.append(i)
+                    out.append((first, size, zlib.crc32(piece), n, sequence, offset, sequence // window, name, *([piece] if with_ids else [])))
+            if out:
+                made = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(at)), *made], names=schema.names)
+
+    return placed.mapInArrow(run, schema)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, ensure_importable, small
+from .common import add_columns, apart, ensure_importable, small
 from .textnum import mix, word_hashes
 
 WORDS, FACTORS, SEED, EPOCHS, BATCH = 1 << 14, 8, 29, 12, 64
@@ -153,11 +153,13 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc_i
 
 def score(df: DataFrame, model: Model | None, text: str = "text", meta: tuple[str, ...] = (), threshold: float = 0.7, keep_text: bool = False) -> DataFrame:
     """df with score (higher: label 1 likelier) and predicted (1 from the threshold on). The metadata columns stay."""
-    own = [f"m{i}__" for i in range(len(meta))]
-    rows = df.select("*", *[F.col(c).cast("double").alias(n) for c, n in zip(meta, own, strict=True)])
+    rows, back = apart(df, text, *meta)
+    own = [f"__m{i}" for i in range(len(meta))]
+    rows = rows.withColumns({n: F.col(c).cast("double") for c, n in zip(meta, own, strict=True)})
 
     def one(t: str | None, *values: float | None) -> tuple:
         s = model.score(*row_features(t, list(values))) if model else 0.5
         return s, int(s >= threshold)
 
-    return add_columns(rows, [text, *own], {"score": T.DoubleType(), "predicted": T.IntegerType()}, lambda: one, keep_text).drop(*own)
+    out = add_columns(rows, [text, *own], {"score": T.DoubleType(), "predicted": T.IntegerType()}, lambda: one, keep_text)
+    return back(out, ["score", "predicted"], [] if keep_text else [text])

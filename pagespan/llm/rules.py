@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, store, words
+from .common import apart, small, small_lists, store, words
 
 MIN_WORDS, MAX_REPEAT, MAX_DOCS, LINE_WORDS, MIN_LEFT = 50, 50, 20, 3, 25
 _BLANKS = r"[\x20\x09-\x0D]+"
@@ -74,8 +74,8 @@ def removed_lines(df: DataFrame, text: str = "text", host: str = "source", key:
     )
     found = store(found, "lines")
     frequent = found.groupBy("host_", "h").agg(F.count("*").alias("n"), F.min_by("text_", F.struct("d", "text_")).alias("first_")).where(F.col("n") > max_docs).select("host_", "h", "first_")
-    hit = found.join(small(frequent), ["host_", "h"]).where(F.col("text_") != F.col("first_"))
-    return hit.groupBy("host_", "text_").agg(F.sum("w").alias("lost_"), F.collect_list("h").alias("gone_"))
+    hit = found.join(small(store(frequent, "frequent")), ["host_", "h"]).where(F.col("text_") != F.col("first_"))
+    return store(hit.groupBy("host_", "text_").agg(F.sum("w").alias("lost_"), F.collect_list("h").alias("gone_")), "gone")
 
 
 def _verdict() -> Column:
@@ -85,18 +85,22 @@ def _verdict() -> Column:
 
 def judge(df: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", max_docs: int = MAX_DOCS) -> DataFrame:
     """df without its text, with the base counts, words_removed and kept."""
-    lost = removed_lines(df, text, host, key, max_docs).select("host_", "text_", "lost_")
-    rows = base(df, text).withColumns({"host_": _host(host), "text_": F.xxhash64(text)}).drop(text)
-    out = rows.join(small(lost), ["host_", "text_"], "left")
-    return out.withColumns({"words_removed": F.coalesce("lost_", F.lit(0)), "kept": _verdict()}).drop("host_", "text_", "lost_")
+    docs, back = apart(df, key, text, host)
+    lost = removed_lines(docs, text, host, key, max_docs).select("host_", "text_", "lost_")
+    rows = base(docs, text).withColumns({"host_": _host(host), "text_": F.xxhash64(text)})
+    out = rows.join(small(lost), ["host_", "text_"], "left").withColumns({"words_removed": F.coalesce("lost_", F.lit(0)), "kept": _verdict()})
+    return back(out, [*OUT, "words_removed", "kept"], [text])
 
 
 def clean(df: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", max_docs: int = MAX_DOCS) -> DataFrame:
     """The kept rows of df with the frequent lines removed from their texts; the columns of df."""
-    # lists of hashes in slots, so that a look-up reads a short list
-    gone = removed_lines(df, text, host, key, max_docs).withColumn("gone_", F.transform(F.sequence(F.lit(0), F.lit(_SLOTS - 1)), lambda b: F.filter("gone_", lambda h: F.pmod(h, F.lit(_SLOTS)) == b)))
-    rows = base(df, text).where("not base_failed").withColumns({"host_": _host(host), "text_": F.xxhash64(text)})
-    out = rows.join(gone, ["host_", "text_"], "left").where(_verdict())
-    stays = lambda h: h.isNull() | ~F.array_contains(F.get("gone_", F.pmod(h, F.lit(_SLOTS)).cast("int")), h)
+    docs, back = apart(df, key, text, host)
+    gone = removed_lines(docs, text, host, key, max_docs)
+    rows = base(docs, text).where("not base_failed").withColumns({"host_": _host(host), "text_": F.xxhash64(text)})
+    out = rows.join(small_lists(gone, "gone_"), ["host_", "text_"], "left").where(_verdict())
+    # hashes in slots, so that a look-up reads a short list; made after the join, which carries plain lists
+    slots = F.transform(F.sequence(F.lit(0), F.lit(_SLOTS - 1)), lambda b: F.filter("gone_", lambda h: F.pmod(h, F.lit(_SLOTS)) == b))
+    out = out.withColumn("slots_", F.when(F.col("gone_").isNotNull(), slots))
+    stays = lambda h: h.isNull() | ~F.array_contains(F.get("slots_", F.pmod(h, F.lit(_SLOTS)).cast("int")), h)
     left = F.filter(F.split(text, "\n"), lambda x: stays(line_hash(x)))
-    return out.withColumn(text, F.when(F.col("gone_").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).select(*df.columns)
+    return back(out.withColumn(text, F.when(F.col("gone_").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))))

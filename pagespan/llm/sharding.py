@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import ensure_importable, store
+from .common import apart, ensure_importable, store
 
 ROUNDS = 6
 _M = np.uint64(0xFFFFFFFF)
@@ -77,7 +77,7 @@ def row_at(shard: int, slot: int, n: int, shards: int, seed: int) -> int:
     return int(unpermute(np.array([slot * shards + shard]), n, seed)[0])
 
 
-def number_rows(df: DataFrame, order: list[str | Column], name: str = "row_number") -> tuple[DataFrame, int]:
+def number_rows(df: DataFrame, order: list[str], name: str = "row_number") -> tuple[DataFrame, int]:
     """df with global row numbers from 0 in the given order, and the number of rows. Sorted once by range and stored; then only the partitions' counts are summed up."""
     sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
     at = F.monotonically_increasing_id()
@@ -88,20 +88,23 @@ def number_rows(df: DataFrame, order: list[str | Column], name: str = "row_numbe
     return stored.join(F.broadcast(before), "part_").withColumn(name, F.col("before_") + F.col("at_")).drop("part_", "at_", "before_"), int(total)
 
 
-def shard(df: DataFrame, order: list[str | Column], shards: int, seed: int) -> DataFrame:
+def shard(df: DataFrame, order: list[str], shards: int, seed: int) -> DataFrame:
     """df with row_number, shard and slot (from 0 without gaps in each shard)."""
     ensure_importable(df.sparkSession)
-    numbered, n = number_rows(df.drop("row_number", "shard", "slot"), order)
+    rows, back = apart(df, *order)
+    numbered, n = number_rows(rows, order)
 
     @F.pandas_udf("long")
     def position(rows: pd.Series) -> pd.Series:
         return pd.Series(permute(rows.to_numpy(np.int64), n, seed))
 
     placed = numbered.withColumn("position_", position("row_number"))
-    return placed.withColumns({"shard": (F.col("position_") % shards).cast("int"), "slot": F.expr(f"position_ div {shards}")}).drop("position_")
+    out = placed.withColumns({"shard": (F.col("position_") % shards).cast("int"), "slot": F.expr(f"position_ div {shards}")})
 
+    return back(out, ["row_number", "shard", "slot"])
 
-def write_shards(df: DataFrame, path: str, order: list[str | Column], shards: int, seed: int) -> None:
+
+def write_shards(df: DataFrame, path: str, order: list[str], shards: int, seed: int) -> None:
     """df as Parquet in one folder for each shard, sorted by slot in each file; a shard's rows go to several files by ranges of slots."""
     placed = shard(df, order, shards, seed)
     placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -18,7 +18,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_importable
+from .common import apart, ensure_importable
 
 MIN_REVISIT, SALTS = 100, 32
 #: Magic number of the skippable frame that carries a dictionary, as the zstd variant of WARC has it.
@@ -117,12 +117,14 @@ def read(archive: bytes) -> Iterator[dict]:
 
 def decide(df: DataFrame, key: str, payload: str) -> DataFrame:
     """df with payload_ (bytes), payload_bytes, payload_digest and refers_to (null: a response). Counts digests with partial sums first; only digests that repeat are joined back, salted."""
+    pages, back = apart(df, key, payload)
     raw = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8") if dict(df.dtypes)[payload] != "binary" else F.coalesce(F.col(payload), F.lit(b""))
-    known = df.select("*", raw.alias("payload_")).withColumns({"payload_bytes": F.octet_length("payload_").cast("long"), "payload_digest": F.sha2("payload_", 256)})
+    known = pages.withColumn("payload_", raw).withColumns({"payload_bytes": F.octet_length("payload_").cast("long"), "payload_digest": F.sha2("payload_", 256)})
     seen = known.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_digest").agg(F.min(key).alias("first_"), F.count("*").alias("n_")).where("n_ > 1").drop("n_")
     salted = seen.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = known.withColumn("salt_", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["payload_digest", "salt_"], "left")
-    return out.withColumn("refers_to", F.when((F.col("payload_bytes") >= MIN_REVISIT) & (F.col(key) != F.col("first_")), F.col("first_"))).drop("salt_", "first_")
+    out = out.withColumn("refers_to", F.when((F.col("payload_bytes") >= MIN_REVISIT) & (F.col(key) != F.col("first_")), F.col("first_")))
+    return back(out, ["payload_", "payload_bytes", "payload_digest", "refers_to"])
 
 
 def train_dictionary(df: DataFrame, key: str, payload: str) -> bytes:
@@ -143,7 +145,7 @@ def write(df: DataFrame, key: str = "page_id", uri: str = "url", payload: str =
     """Archives as rows (archive string, content binary), one or more for each partition of df. Each holds about ARCHIVE_BYTES of payload."""
     ensure_importable(df.sparkSession)
     known = train_dictionary(df, key, payload) if dictionary is None else dictionary
-    rows = decide(df, key, payload).select(
+    rows = decide(df.select(*dict.fromkeys([key, uri, payload])), key, payload).select(
         F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.coalesce(F.col(uri).cast("string"), F.lit("")).alias("u"),
         F.when(F.col("refers_to").isNull(), F.col("payload_")).alias("p"), "payload_digest", "payload_bytes", F.col("refers_to").cast("string").alias("r"), F.spark_partition_id().alias("part"),
     )

@@ -189,5 +189,5 @@ def test_mix(spark):
     assert all(abs(got[n] - targets[n]) <= 0.02 * targets[n] + 300 for n in names)
     key = lambda rs: sorted((str(r["doc_id"]), r["times"]) for r in rs)
     assert key(mixing.mix(df.repartition(7)).collect()) == key(out)
-    assert mixing.repeat(mixing.mix(df), df.columns).count() == sum(r["times"] for r in out)
+    assert mixing.sample(df).count() == sum(r["times"] for r in out) and mixing.sample(df).columns == df.columns
     assert mixing.mix(df.limit(0)).count() == 0
