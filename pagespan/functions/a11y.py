@@ -13,7 +13,12 @@ CANONICAL_10 = "http://www." + PROFILE_10
 # Known terms; any other spelling is kept as it is.
 ACCESS_MODES = ("auditory", "chartOnVisual", "chemOnVisual", "colorDependent", "diagramOnVisual", "mathOnVisual", "musicOnVisual", "tactile", "textOnVisual", "textual", "visual")
 PRIMARY_MODES = ("auditory", "tactile", "textual", "visual")
-HAZARDS = ("none", "flashing", "noFlashingHazard", "motionSimulation", "noMotionSimulationHazard", "sound", "noSoundHazard", "unknown", "unknownFlashingHazard", "unknownMotionSimulationHazard", "unknownSoundHazard")
+HAZARDS = ("none", "flashing", "noFlashingHazard", "motionSimulation", "noMotionSimulationHazard", "sound", "noSoundHazard", "unknown")
+FEATURES = (
+    "annotations", "ARIA", "bookmark", "index", "pageBreakMarkers", "pageNavigation", "readingOrder", "structuralNavigation", "tableOfContents", "taggedPDF", "alternativeText", "audioDescription", "captions", "describedMath",
+    "longDescription", "rubyAnnotations", "signLanguage", "transcript", "displayTransformability", "synchronizedAudioText", "timingControl", "unlocked", "ChemML", "latex", "MathML", "ttsMarkup", "highContrastAudio",
+    "highContrastDisplay", "largePrint", "braille", "tactileGraphic", "tactileObject", "none",
+)
 EXEMPTIONS = ("eaa-microenterprise", "eaa-fundamental-alteration", "eaa-disproportionate-burden")
 _TEXT = r"^EPUB Accessibility (.+?) - WCAG (.+?) Level (.*\S.*)$"
 

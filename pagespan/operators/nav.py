@@ -6,6 +6,8 @@ a list's entries in pre-order, so a parent comes before its children and a tree
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -128,6 +130,17 @@ def title_map(nodes: DataFrame) -> DataFrame:
     return toc.groupBy("pub_id", "href_key").agg(F.min_by("title", "pre_order").alias("title"))
 
 
+def chapter_titles(chapters: DataFrame, nodes: DataFrame, mode: str = "normalized") -> DataFrame:
+    """chapters (pub_id, href, opf_dir) with the toc's title of their file: hrefs compared in their comparable forms, or, strict, as they are written."""
+    titles = title_map(nodes)
+    if mode == "strict":
+        return chapters.join(titles.withColumnRenamed("href_key", "href"), ["pub_id", "href"], "left")
+    dirs = chapters.select("pub_id", "opf_dir").distinct()
+    known = nodes.where(F.col("list") == "toc").join(dirs, "pub_id").withColumn("k_", comparable("href", "opf_dir")[1])
+    best = known.groupBy("pub_id", "k_").agg(F.min_by("title", "pre_order").alias("title"))
+    return chapters.withColumn("k_", comparable("href", "opf_dir")[1]).join(best, ["pub_id", "k_"], "left").drop("k_")
+
+
 def comparable(href: Column | str, opf_dir: Column | str) -> tuple[Column, Column]:
     """An href's two comparable forms: as a package path, and without the package document's folder."""
     full = F.regexp_replace(paths.percent_decode(paths.before(paths.before(string(href), "?"), "#")), "^/+", "")
@@ -206,6 +219,49 @@ def cover_image(items: DataFrame, covers: DataFrame) -> DataFrame:
     return best.select("pub_id", "c.*")
 
 
+# --- trees as JSON
+
+def to_tree(rows: list[dict]) -> list[dict]:
+    """Adjacency rows (parents before children) as nested entries: title, href, role if there is one, children."""
+    made: dict[int, dict] = {}
+    top: list[dict] = []
+    for r in sorted(rows, key=lambda r: r["node_id"]):
+        entry = {"title": r["title"], "href": r["href"]} | ({"role": r["role"]} if r.get("role") else {}) | {"children": []}
+        made[r["node_id"]] = entry
+        (top if r["parent_id"] is None else made[r["parent_id"]]["children"]).append(entry)
+    return top
+
+
+def from_tree(entries: list[dict]) -> list[dict]:
+    """Nested entries as adjacency rows in pre-order."""
+    out: list[dict] = []
+
+    def visit(kids: list[dict], parent: int | None, depth: int) -> None:
+        for i, e in enumerate(kids):
+            me = len(out)
+            out.append({"list": "toc", "node_id": me, "parent_id": parent, "depth": depth, "ord": i, "title": e.get("title", ""), "href": e.get("href", ""), "role": e.get("role")})
+            visit(e.get("children") or [], me, depth + 1)
+
+    visit(entries, None, 0)
+    return out
+
+
+_tree_json = Udf(lambda rows: json.dumps(to_tree([dict(r) if isinstance(r, dict) else r.asDict() for r in rows]), ensure_ascii=False), "string")
+_json_rows = Udf(lambda text: from_tree(json.loads(text)) if text else [], f"array<{NODE}>")
+
+
+def trees_to_json(nodes: DataFrame) -> DataFrame:
+    """pub_id, list, tree (JSON): one row for each list of each publication."""
+    role = F.col("role") if "role" in nodes.columns else lit(None).cast("string")
+    row = F.struct("node_id", "parent_id", "title", "href", role.alias("role"))
+    return nodes.groupBy("pub_id", "list").agg(_tree_json(F.collect_list(row)).alias("tree"))
+
+
+def trees_from_json(trees: DataFrame) -> DataFrame:
+    """Adjacency rows of trees (pub_id, tree)."""
+    return trees.select("pub_id", F.explode(_json_rows("tree")).alias("n")).select("pub_id", "n.*", F.col("n.node_id").alias("pre_order"))
+
+
 # --- media overlays
 
 _SMIL = "struct<node_id int, parent_id int, kind string, text_ref string, audio_src string, clip_begin string, clip_end string, role array<string>>"

@@ -82,3 +82,14 @@ def location_of_progression(progression: Column | str, n: Column | str) -> Colum
     count = string(n)
     p = F.greatest(F.least(string(progression).cast("float"), lit(1.0).cast("float")), lit(0.0).cast("float"))
     return F.when(count > 0, F.least((p * count.cast("float")).cast("float").cast("long"), count - 1))
+
+
+def missing_items(spine: DataFrame, items: DataFrame) -> DataFrame:
+    """pub_id, kind, message of linear spine items without a manifest item: strict reading refuses such a publication, lenient reading leaves the item out."""
+    lost = spine.where("linear").join(items.select("pub_id", F.col("id").alias("idref")), ["pub_id", "idref"], "left_anti")
+    return lost.select("pub_id", lit("invalid_format").alias("kind"), F.concat(lit("spine item without a manifest item: "), "idref").alias("message"))
+
+
+def strict(spine: DataFrame, items: DataFrame) -> DataFrame:
+    """The spine without the publications that missing_items() names."""
+    return spine.join(missing_items(spine, items).select("pub_id").distinct(), "pub_id", "left_anti")

@@ -135,4 +135,7 @@ SELECT l_orderkey, l_linenumber, seconds, 'a.mp3' || CASE WHEN seconds IS NULL T
     "book_search_capped": rf"WITH {_PAGES}, t AS (SELECT pub_id, spine_index, row_number() OVER (PARTITION BY pub_id ORDER BY spine_index) AS k FROM pb WHERE regexp_matches(regexp_replace(html, '(?s)<!--.*?-->|<[^>]*>', chr(1), 'g'), '(?i)example\.')) SELECT pub_id, count(*) AS hits, min(spine_index) AS first_chapter, max(spine_index) AS last_chapter FROM t WHERE k <= 4 GROUP BY 1",
     "prepare_stats": f"WITH {_PAGES}, p AS (SELECT *, page_id % 4 AS k FROM pb WHERE pub_id < 20) SELECT pub_id, idref AS chapter, CASE WHEN k = 0 THEN 4 ELSE 5 END::BIGINT AS considered, CASE WHEN k = 3 THEN 4 ELSE 3 END::BIGINT AS inlined, (k = 1)::BIGINT AS skipped_oversize, (k = 2)::BIGINT AS missing, 1::BIGINT AS skipped_type, CASE WHEN k IN (0, 3) THEN 3 ELSE 2 END::BIGINT AS data_uris FROM p",
     "stream_positions": f"WITH {_CONV} SELECT pub_id, spine_index, {_count(1024)} AS n FROM conv WHERE linear",
+    "toc_json": f"WITH {_TREE} SELECT node_id, parent_id, depth, title, href FROM tree",
+    "positions_nav_titles": f"WITH {_CONV}, {_WORDS} SELECT pub_id, spine_index, title, NULL::VARCHAR AS strict_title FROM words",
+    "spine_quarantine": f"WITH {_SPINE}, m AS (SELECT pub_id, count(*) AS items, count(*) FILTER (linear AND idref LIKE 'cover%') AS missing FROM spine GROUP BY 1) SELECT pub_id, items, missing, CASE WHEN missing = 0 THEN items ELSE 0 END AS kept FROM m",
 }

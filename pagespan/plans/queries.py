@@ -523,6 +523,31 @@ def toc_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toc_tree(spark, sf_dir).groupBy("pub_id", "depth").agg(F.count("*").alias("entries"), F.countDistinct("parent_id").alias("parents"))
 
 
+@query
+def toc_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree as nested JSON and back."""
+    back = nav.trees_from_json(nav.trees_to_json(toc_tree(spark, sf_dir)))
+    return back.select("node_id", "parent_id", "depth", "title", "href")
+
+
+@query
+def positions_nav_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles from a toc whose hrefs are package paths, for chapters whose hrefs are relative to the package document."""
+    toc = _first_words(spark, sf_dir).withColumn("href", F.concat(lit("OEBPS/"), "href"))
+    chapters = conv_books(spark, sf_dir).withColumn("opf_dir", lit("OEBPS"))
+    loose, exact = nav.chapter_titles(chapters, toc), nav.chapter_titles(chapters, toc, "strict")
+    return loose.select("pub_id", "spine_index", "title").join(exact.select("pub_id", "spine_index", F.col("title").alias("strict_title")), ["pub_id", "spine_index"])
+
+
+@query
+def spine_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands whose reading order names items that the manifest lacks."""
+    items, spine, _ = _packages(spark, sf_dir)
+    bad = positions.missing_items(spine, items).groupBy("pub_id").agg(F.count("*").alias("missing"))
+    kept = positions.strict(spine, items).groupBy("pub_id").agg(F.count("*").alias("kept"))
+    return spine.groupBy("pub_id").agg(F.count("*").alias("items")).join(bad, "pub_id", "left").join(kept, "pub_id", "left").select("pub_id", "items", F.coalesce("missing", lit(0)).alias("missing"), F.coalesce("kept", lit(0)).alias("kept"))
+
+
 @query
 def smil_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = conv_books(spark, sf_dir)

@@ -261,3 +261,21 @@ def test_source_and_sink(spark, tmp_path):
     (folder / "OEBPS").mkdir(parents=True)
     (folder / "OEBPS" / "x.txt").write_text("hi")
     assert [tuple(r)[:4] for r in packages.read_folder(spark, str(tmp_path / "root")).collect()] == [("bk", "OEBPS/x.txt", None, 2)]
+
+
+def test_trees_as_json(spark, entries, packed):
+    _, _, _, nodes = parts(entries, packed)
+    tree = nav.to_tree([r.asDict() for r in nodes.where("list = 'toc'").collect()])
+    assert tree == [{"title": "One", "href": "OEBPS/text/ch 1.xhtml", "children": [{"title": "One.1", "href": "OEBPS/text/ch 1.xhtml#s", "children": []}]}, {"title": "Two", "href": "OEBPS/text/ch2.xhtml", "children": []}]
+    back = nav.trees_from_json(nav.trees_to_json(nodes.where("list = 'toc'"))).select(*nodes.columns)
+    assert sorted(map(str, back.collect())) == sorted(map(str, nodes.where("list = 'toc'").collect()))
+
+
+def test_chapter_titles_and_strict_spine(spark, entries, packed):
+    items, _, chapters, nodes = parts(entries, packed)
+    known = chapters.where("href is not null")
+    assert {r["href"]: r["title"] for r in nav.chapter_titles(known, nodes).collect()} == {"text/ch 1.xhtml": "One", "text/ch2.xhtml": "Two"}
+    assert {r["title"] for r in nav.chapter_titles(known, nodes, "strict").collect()} == {None}
+    assert positions.missing_items(opf.spine(packed), items).count() == 0  # the item without a manifest entry isn't linear
+    assert positions.missing_items(opf.spine(packed).withColumn("linear", F.lit(True)), items).first()["message"].endswith("cv")
+    assert positions.strict(opf.spine(packed).withColumn("linear", F.lit(True)), items).count() == 0
