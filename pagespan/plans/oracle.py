@@ -33,7 +33,7 @@ _NAME = "regexp_extract({}, '[^/]*$')"
 # The pages' fixed skeleton: links, an advertisement, a heading, paragraphs that may not be closed, a footer.
 _TEXT = """replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')"""
 _BLOCKS = rf"""{_PAGES},
-body AS (SELECT page_id, spine_index, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(html, '<nav><ul>(.*?)</ul></nav>', 1) AS nav, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS head, regexp_extract(html, '(?s)</h1>(.*?)</article>', 1) AS art FROM pb),
+body AS (SELECT page_id, spine_index, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(html, '(?s)<nav><ul>(.*?)</ul></nav>', 1) AS nav, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS head, regexp_extract(html, '(?s)</h1>(.*?)</article>', 1) AS art FROM pb),
 li AS (SELECT page_id, spine_index, lang, 'li' AS tag_name, i AS k, '/4/2/2/' || (2 * i) AS path, x AS raw FROM (SELECT *, unnest(regexp_extract_all(nav, '<li>(.*?)</li>', 1)) AS x, unnest(range(1, len(regexp_extract_all(nav, '<li>(.*?)</li>', 1)) + 1)) AS i FROM body)),
 h AS (SELECT page_id, spine_index, lang, 'h1' AS tag_name, 1000 AS k, '/4/6/2' AS path, head AS raw FROM body),
 p AS (SELECT page_id, spine_index, lang, 'p' AS tag_name, 1000 + i AS k, '/4/6/' || (2 * i + 2) AS path, x AS raw FROM (SELECT *, unnest(string_split(art, '<p>')[2:]) AS x, unnest(range(1, len(string_split(art, '<p>')))) AS i FROM body)),
@@ -138,4 +138,25 @@ SELECT l_orderkey, l_linenumber, seconds, 'a.mp3' || CASE WHEN seconds IS NULL T
     "toc_json": f"WITH {_TREE} SELECT node_id, parent_id, depth, title, href FROM tree",
     "positions_nav_titles": f"WITH {_CONV}, {_WORDS} SELECT pub_id, spine_index, title, NULL::VARCHAR AS strict_title FROM words",
     "spine_quarantine": f"WITH {_SPINE}, m AS (SELECT pub_id, count(*) AS items, count(*) FILTER (linear AND idref LIKE 'cover%') AS missing FROM spine GROUP BY 1) SELECT pub_id, items, missing, CASE WHEN missing = 0 THEN items ELSE 0 END AS kept FROM m",
+    "rewrite_resources": """SELECT page_id, md5(array_to_string(list_transform(string_split(html, 'href="'), lambda x, i: CASE WHEN i = 1 THEN x WHEN regexp_matches(string_split(x, '"')[1], '[aeiou]$') THEN 'new/' || length('OEBPS' || string_split(x, '"')[1]) || x[length(string_split(x, '"')[1]) + 1 :] ELSE x END), 'href="')) AS md5 FROM pages""",
+    # Unclosed b elements come back in every later paragraph and in the footer, three at most.
+    "cfi_annotate": f"""WITH {_BLOCKS}, par AS (SELECT page_id, k, len(regexp_extract_all(raw, '<b>')) AS bs, len(regexp_extract_all(raw, '<br>')) AS brs FROM p),
+c AS (SELECT *, least(3, coalesce(sum(bs) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS again, sum(bs) OVER (PARTITION BY page_id) AS total FROM par),
+e AS (SELECT page_id, sum(1 + bs + brs + again) + least(3, max(total)) AS n FROM c GROUP BY 1), l AS (SELECT page_id, count(*) AS n FROM li GROUP BY 1)
+SELECT page_id, (12 + 2 * l.n + e.n)::INT AS n, 'epubcfi(/6/' || (2 * (spine_index + 1)) || '[ch' || spine_index || ']!/2)' AS first_cfi, 'epubcfi(/6/' || (2 * (spine_index + 1)) || '[ch' || spine_index || ']!/4)' AS body_cfi FROM body JOIN l USING (page_id) JOIN e USING (page_id)""",
+    "search_coordinates": f"""WITH {_BLOCKS}, par AS (SELECT page_id, k, path, raw, len(regexp_extract_all(raw, '<b>')) AS bs FROM p),
+c AS (SELECT *, least(3, coalesce(sum(bs) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS again FROM par),
+f AS (SELECT page_id, least(3, sum(bs)) AS again FROM par GROUP BY 1),
+texts AS (SELECT page_id, -3 AS k, 1 AS idx, '/2/4' AS path, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS raw FROM pages
+UNION ALL SELECT page_id, k, 1, path || '/2', raw FROM li
+UNION ALL SELECT page_id, 900, 1, '/4/4', regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) FROM pages
+UNION ALL SELECT page_id, k, 1, path, raw FROM h
+UNION ALL SELECT page_id, k, 2 * i - 1, path || repeat('/2', (again + bs)::INT), x FROM (SELECT *, unnest(string_split(raw, '<br>')) AS x, unnest(range(1, len(string_split(raw, '<br>')) + 1)) AS i FROM c)
+UNION ALL SELECT page_id, 100000, 1, '/4/8' || repeat('/2', again::INT), regexp_extract(html, '(?s)<footer>(.*?)(?:</footer>.*)?$', 1) FROM pages JOIN f USING (page_id)),
+t AS (SELECT page_id, k, idx, path, {_TEXT.format("regexp_replace(raw, '<[^>]*>', '', 'g')")} AS text FROM texts),
+parts AS (SELECT *, string_split_regex(text, '(?i)the') AS ps FROM t),
+hit AS (SELECT page_id, k, idx, path, j, list_sum(list_transform(ps[1:j], lambda x: strlen(x)))::BIGINT + 3 * (j - 1) AS a FROM (SELECT *, unnest(range(1, len(ps))) AS j FROM parts)),
+o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k, idx, j) - 1 AS hit_ord FROM hit),
+top AS (SELECT pub_id, spine_index, hit_ord, 'epubcfi(/6/' || (2 * (spine_index + 1)) || '[ch' || spine_index || ']!' || path || ',/' || idx || ':' || a || ',/' || idx || ':' || (a + 3) || ')' AS cfi FROM o JOIN pb USING (page_id) WHERE hit_ord < 3)
+SELECT pub_id, spine_index, hit_ord::INT AS hit_ord, cfi FROM top QUALIFY row_number() OVER (PARTITION BY pub_id ORDER BY spine_index, hit_ord) <= 10""",
 }

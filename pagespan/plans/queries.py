@@ -382,6 +382,12 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_books(page_books(spark, sf_dir), "the", per_chapter=3, total=10)
 
 
+@query
+def search_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits' coordinates alone, which SQL can derive from the pages' skeleton."""
+    return search_hits(spark, sf_dir).select("pub_id", "spine_index", "hit_ord", "cfi")
+
+
 @query
 def property_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
