@@ -11,6 +11,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +65,27 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+class Scratch:
+    """Tables stored inside a with block go when it ends, but for those that keep() names; what is read of them must be stored by then."""
+
+    open_: ClassVar[list[list[DataFrame]]] = []
+
+    def __enter__(self) -> Scratch:
+        self.open_.append([])
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Leaves the table to an enclosing block, if there is one."""
+        self.open_[-1] = [x for x in self.open_[-1] if x is not df]
+        if len(self.open_) > 1:
+            self.open_[-2].append(df)
+        return df
+
+    def __exit__(self, *error: object) -> None:
+        for df in self.open_.pop():
+            forget(df)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and return the stored table: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -71,6 +93,8 @@ def store(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pagespan_path = path
+    if Scratch.open_:
+        Scratch.open_[-1].append(out)
     return out
 
 

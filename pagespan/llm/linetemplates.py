@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, small, small_lists, store
+from .common import Scratch, apart, small, small_lists, store
 
 MIN_TOKENS, LEADING, MATCH, MAX_LEADERS, MIN_DOCS, LONG_TOKENS = 4, 4, 70, 8, 3, 50
 VARIABLE = "<*>"
@@ -75,13 +75,14 @@ def templates(df: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
 
 def dropped(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """By text_: the places of the lines to drop (at_) and their tokens (lost_)."""
-    met, of = templates(df, text, key)
-    placed = store(met.groupBy("hash", "text_", "pos").agg(F.min("d").alias("d"), F.max("n").alias("n")).join(small(of), "hash").select("template", "text_", "pos", "d", "n"), "placed")
-    by_text = placed.groupBy("template", "text_").agg(F.min("d").alias("d"), F.max("n").alias("n"))
-    recurs = by_text.groupBy("template").agg(F.count("*").alias("docs"), F.max("n").alias("n"), F.min_by("text_", F.struct("d", "text_")).alias("first_"))
-    recurs = recurs.where((F.col("docs") >= MIN_DOCS) | (F.col("n") >= LONG_TOKENS) & (F.col("docs") >= 2)).select("template", "first_")
-    gone = placed.join(small(store(recurs, "recurring")), "template").where(F.col("text_") != F.col("first_"))
-    return store(gone.groupBy("text_").agg(F.sort_array(F.collect_list("pos")).alias("at_"), F.sum("n").alias("lost_")), "gone")
+    with Scratch() as scratch:
+        met, of = templates(df, text, key)
+        placed = store(met.groupBy("hash", "text_", "pos").agg(F.min("d").alias("d"), F.max("n").alias("n")).join(small(of), "hash").select("template", "text_", "pos", "d", "n"), "placed")
+        by_text = placed.groupBy("template", "text_").agg(F.min("d").alias("d"), F.max("n").alias("n"))
+        recurs = by_text.groupBy("template").agg(F.count("*").alias("docs"), F.max("n").alias("n"), F.min_by("text_", F.struct("d", "text_")).alias("first_"))
+        recurs = recurs.where((F.col("docs") >= MIN_DOCS) | (F.col("n") >= LONG_TOKENS) & (F.col("docs") >= 2)).select("template", "first_")
+        gone = placed.join(small(store(recurs, "recurring")), "template").where(F.col("text_") != F.col("first_"))
+        return scratch.keep(store(gone.groupBy("text_").agg(F.sort_array(F.collect_list("pos")).alias("at_"), F.sum("n").alias("lost_")), "gone"))
 
 
 def _kept_lines() -> Column:

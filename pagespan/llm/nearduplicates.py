@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import BROADCAST_ROWS, add_columns, forget, small, store
+from .common import BROADCAST_ROWS, Scratch, add_columns, forget, small, store
 from .components import components
 from .textnum import mix, shingle_hashes, word_hashes
 
@@ -291,10 +291,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """Per row of df: key, n_shingles, component_id (the smallest key that links lead to), kept (the key is it)."""
     docs = df.where(F.col(key).isNotNull())
     sets = describe(df, key, text)
-    vertices = store(sets.where("n_shingles > 0 and k is not null").groupBy("text_").agg(F.min("k").alias("v"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "vertices")
-    edges = candidates(vertices.select("v", "sig"))
-    exact = confirmed(components(edges), docs, vertices, key, text)
-    of_text = vertices.select("text_", "v").join(exact.select(F.col("node").alias("v"), "component"), "v", "left").select("text_", F.coalesce("component", "v").alias("c_"))
+    with Scratch() as scratch:
+        vertices = store(sets.where("n_shingles > 0 and k is not null").groupBy("text_").agg(F.min("k").alias("v"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "vertices")
+        edges = candidates(vertices.select("v", "sig"))
+        exact = confirmed(components(edges), docs, vertices, key, text)
+        of_text = vertices.select("text_", "v").join(exact.select(F.col("node").alias("v"), "component"), "v", "left").select("text_", F.coalesce("component", "v").alias("c_"))
+        of_text = scratch.keep(store(of_text, "components"))
     out = sets.select("k", "text_", "n_shingles").join(of_text, "text_", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("c_")).otherwise(F.col("k"))
     return out.select(F.col("k").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("k") == component, F.lit(True)).alias("kept"))
@@ -302,5 +304,6 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df without those that aren't the first of their component."""
-    gone = near_duplicates(df, key, text).where("not kept").select(key)
-    return df.join(small(store(gone, "gone")), key, "left_anti").select(*df.columns)
+    with Scratch() as scratch:
+        gone = scratch.keep(store(near_duplicates(df, key, text).where("not kept").select(key), "gone"))
+    return df.join(small(gone), key, "left_anti").select(*df.columns)

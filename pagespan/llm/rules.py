@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, small, small_lists, store, words
+from .common import Scratch, apart, small, small_lists, store, words
 
 MIN_WORDS, MAX_REPEAT, MAX_DOCS, LINE_WORDS, MIN_LEFT = 50, 50, 20, 3, 25
 _BLANKS = r"[\x20\x09-\x0D]+"
@@ -72,10 +72,11 @@ def removed_lines(df: DataFrame, text: str = "text", host: str = "source", key:
         .groupBy("host_", "h", "text_", "d").agg(F.sum("w").alias("w"))
         .groupBy("host_", "h", "text_").agg(F.max("w").alias("w"), F.min("d").alias("d"))
     )
-    found = store(found, "lines")
-    frequent = found.groupBy("host_", "h").agg(F.count("*").alias("n"), F.min_by("text_", F.struct("d", "text_")).alias("first_")).where(F.col("n") > max_docs).select("host_", "h", "first_")
-    hit = found.join(small(store(frequent, "frequent")), ["host_", "h"]).where(F.col("text_") != F.col("first_"))
-    return store(hit.groupBy("host_", "text_").agg(F.sum("w").alias("lost_"), F.collect_list("h").alias("gone_")), "gone")
+    with Scratch() as scratch:
+        found = store(found, "lines")
+        frequent = found.groupBy("host_", "h").agg(F.count("*").alias("n"), F.min_by("text_", F.struct("d", "text_")).alias("first_")).where(F.col("n") > max_docs).select("host_", "h", "first_")
+        hit = found.join(small(store(frequent, "frequent")), ["host_", "h"]).where(F.col("text_") != F.col("first_"))
+        return scratch.keep(store(hit.groupBy("host_", "text_").agg(F.sum("w").alias("lost_"), F.collect_list("h").alias("gone_")), "gone"))
 
 
 def _verdict() -> Column:
