@@ -165,9 +165,9 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, text: str | None = None) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, text: Column | str | None = None) -> DataFrame:
     """df with a broadcast hint if it has at most so many narrow rows (and at most BROADCAST_TEXT bytes in the column text), else as it is: the join then shuffles."""
-    n, held = df.select(F.octet_length(text).alias("b") if text else F.lit(0).alias("b")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    n, held = df.select(F.octet_length(text).alias("b") if text is not None else F.lit(0).alias("b")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
     return F.broadcast(df) if n <= rows and held <= BROADCAST_TEXT else df
 
 

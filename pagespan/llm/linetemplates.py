@@ -3,7 +3,8 @@
 A line of at least MIN_TOKENS tokens goes down the tree by its token count and its first LEADING tokens; a token with a
 digit is a variable field and reads as `<*>` everywhere. In a leaf the distinct lines gather round leaders: the line that
 occurs most (of equals the last by code points) leads a template, and lines that agree with it in MATCH percent of the tokens join it; the rest gather
-round the next leader. After MAX_LEADERS leaders a line that is left is a template by itself. A template recurs if it
+round the next leader, until no line of the leaf is left. A round tries several leaders at once, twice as many as the
+round before (at most BATCH): the first lines by that order, less those that an earlier one of them takes. A template recurs if it
 stands in MIN_DOCS distinct texts, or in two if it has LONG_TOKENS or more; its lines are dropped from all texts but the
 one of the smallest id.
 
@@ -16,10 +17,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import Scratch, apart, small, small_lists, store
 
 MIN_TOKENS, LEADING, MATCH, MAX_LEADERS, MIN_DOCS, LONG_TOKENS = 4, 4, 70, 8, 3, 50
+#: Most leaders of a leaf that a round tries. MAX_LEADERS is only where the SQL stops.
+BATCH = 512
 VARIABLE = "<*>"
 _BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -42,13 +46,21 @@ def lines_of(df: DataFrame, text: str, key: str) -> DataFrame:
     return rows.withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", LEADING)))
 
 
-def _agree(a: str, b: str) -> Column:
-    """Percent of the places at which two lines have the same token."""
-    x, y = F.split(a, " "), F.split(b, " ")
+def _agree(x: Column, y: Column) -> Column:
+    """Percent of the places at which two lines' tokens are the same."""
     same = F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
     return 100 * same / F.size(x)
 
 
+def _leaders(left: DataFrame, most: int) -> DataFrame:
+    """By leaf its next leaders in their order (leaders: hash, w), out of the first lines that are left. The limit holds in each task before a leaf's lines meet."""
+    first = left.withColumn("r_", F.row_number().over(W.partitionBy("leaf").orderBy(F.desc("docs"), F.desc("line")))).where(F.col("r_") <= most)
+    tried = first.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("r_", "hash", "line"))).alias("x"))
+    tried = tried.select("leaf", F.transform("x", lambda v: F.struct(v["hash"].alias("hash"), F.split(v["line"], " ").alias("w"))).alias("x"))
+    lead = F.aggregate(F.slice("x", 2, most), F.slice("x", 1, 1), lambda got, v: F.when(F.exists(got, lambda g: _agree(g["w"], v["w"]) >= MATCH), got).otherwise(F.concat(got, F.array(v))))
+    return tried.select("leaf", lead.alias("leaders"))
+
+
 def templates(df: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Stored lines of leaves that several texts reach (d, text_, pos, n, hash), and the template of each line's hash in a leaf (hash, template). A leaf's hot lines are counted with partial sums, by text, before they meet."""
     lines = lines_of(df, text, key)
@@ -56,17 +68,14 @@ def templates(df: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
     met = lines.join(small(leaves), "leaf", "left_semi")
     met = store(met.select("leaf", "d", "text_", "pos", "n", "line", F.xxhash64("leaf", "line").alias("hash")), "lines")
     classes = met.groupBy("leaf", "hash").agg(F.count("*").alias("docs"), F.first("line").alias("line"))
-    left, found = store(classes, "classes"), []
-    for _ in range(MAX_LEADERS):
-        lead = left.groupBy("leaf").agg(F.max_by(F.struct("hash", "line"), F.struct("docs", "line")).alias("lead")).select("leaf", F.col("lead.hash").alias("template"), F.col("lead.line").alias("leader"))
-        lead = small(store(lead, "leaders"), text="leader")
-        tried = store(left.join(lead, "leaf").withColumn("near", (F.col("hash") == F.col("template")) | (_agree("line", "leader") >= MATCH)), "tried")
-        found.append(tried.where("near").select("hash", "template"))
-        left = tried.where("not near").select("leaf", "hash", "docs", "line")
-        if not left.limit(1).count():
-            break
-    else:
-        found.append(left.select("hash", F.col("hash").alias("template")))
+    left, found, most = store(classes, "classes"), [], 1
+    while not found or left.limit(1).count():
+        lead = small(store(_leaders(left, most), "leaders"), text=F.concat_ws(" ", F.flatten("leaders.w")))
+        # the line is split inside an array, once for all leaders
+        takes = F.flatten(F.transform(F.array(F.split("line", " ")), lambda w: F.filter("leaders", lambda x: _agree(x["w"], w) >= MATCH)))
+        tried = store(left.join(lead, "leaf").withColumn("template", F.get(takes, F.lit(0))["hash"]).drop("leaders"), "tried")
+        found.append(tried.where("template is not null").select("hash", "template"))
+        left, most = tried.where("template is null").drop("template"), min(2 * most, BATCH)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -192,3 +192,31 @@ def test_line_templates_drop_every_exact_repeat(spark, sf_dir):
     most = Counter(i for i, _, tokens in lines if len(set.union(*leaves[len(tokens), tokens[:4]].values())) > 1)
     for i in first.values():
         assert least[i] <= out[i]["dropped_lines"] <= most[i]
+
+
+def test_line_templates_beyond_eight_leaders(spark, monkeypatch):
+    """One leaf with twelve frequent lines and, behind them, a template whose field has no digit; then leaders in the order of one at a time."""
+    rng = np.random.default_rng(11)
+    busy = [f"Click here to read {words(rng, 7)}" for _ in range(12)]
+    rows = [(100 * (k + 1) + j, f"{words(rng, 9)}\n{b}", None) for k, b in enumerate(busy) for j in range(2)]
+    rows += [(5000 + j, f"{words(rng, 9)}\nClick here to read more about {words(rng, 1)} today and every day", None) for j in range(6)]
+    texts = {i: t.split("\n") for i, t, _ in rows}
+    out = {r["doc_id"]: r["text"].split("\n") for r in linetemplates.drop_templates(docs(spark, rows)).collect()}
+    assert all(out[i] == texts[i][: 1 if 5000 < i else 2] for i in texts)
+    monkeypatch.setattr(linetemplates, "BATCH", 4)
+    near = []
+    for _ in range(60):
+        w = busy[int(rng.integers(3))].split()
+        near.append(" ".join(w[:4] + [x if rng.random() < 0.6 else str(rng.choice(["x", "y"])) for x in w[4:]]))
+    rows = [(i, f"{words(rng, 9)}\n{x}", None) for i, x in enumerate(near)]
+    left, of = Counter(near), {}
+    while left:
+        lead = max(left, key=lambda x: (left[x], x))
+        for x in [x for x in left if 10 * sum(a == b for a, b in zip(x.split(), lead.split(), strict=True)) >= 7 * 11]:
+            of[x] = lead
+            del left[x]
+    groups = defaultdict(list)
+    for i, x in enumerate(near):
+        groups[of[x]].append(i)
+    gone = {i for g in groups.values() if len(g) >= 3 for i in g[1:]}
+    assert len(groups) > 8 and {r["doc_id"] for r in linetemplates.drop_templates(docs(spark, rows)).where("dropped_lines > 0").collect()} == gone
