@@ -14,7 +14,7 @@ from pagespan.llm.common import store, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, without the lines that many documents of their source share."""
-    return rules.clean(docs)
+    return rules.clean(docs, line_words=1)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

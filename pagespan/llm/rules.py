@@ -1,7 +1,7 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Base rules fail a text with under MIN_WORDS words or with more than MAX_REPEAT percent of its words in repeated 3-word
-windows. Then lines (lower case, blanks squeezed, at least LINE_WORDS words) are hashed and counted by host: a line in
+windows. Then lines (lower case, blanks squeezed, at least LINE_WORDS words, in the pipeline one) are hashed and counted by host: a line in
 more than MAX_DOCS distinct documents of a host is removed from all of them but the one with the smallest id that holds
 it. A document that keeps under MIN_LEFT words, or under half of its words, is depleted and rejected.
 
@@ -52,22 +52,22 @@ def base(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")) | never)
 
 
-def line_hash(line: Column) -> Column:
+def line_hash(line: Column, line_words: int = LINE_WORDS) -> Column:
     """Of the normalised line; null if it has too few words."""
     norm = F.lower(F.trim(F.regexp_replace(line, _BLANKS, " ")))
-    return F.when(F.regexp_count(norm, F.lit("[^ ]+")) >= LINE_WORDS, F.xxhash64(norm))
+    return F.when(F.regexp_count(norm, F.lit("[^ ]+")) >= line_words, F.xxhash64(norm))
 
 
 def _host(host: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("null"))
 
 
-def removed_lines(df: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", max_docs: int = MAX_DOCS) -> DataFrame:
+def removed_lines(df: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", max_docs: int = MAX_DOCS, line_words: int = LINE_WORDS) -> DataFrame:
     """By host and text: lost_ (words in the lines to remove) and gone_ (their hashes). Partial sums by host, line and text come before any row of a frequent line meets another."""
     found = (
         df.where(F.col(text).isNotNull())
         .select(F.col(key).alias("d"), _host(host).alias("host_"), F.xxhash64(text).alias("text_"), F.explode(F.split(text, "\n")).alias("line"))
-        .select("d", "host_", "text_", line_hash(F.col("line")).alias("h"), F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).alias("w"))
+        .select("d", "host_", "text_", line_hash(F.col("line"), line_words).alias("h"), F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).alias("w"))
         .where(F.col("h").isNotNull())
         .groupBy("host_", "h", "text_", "d").agg(F.sum("w").alias("w"))
         .groupBy("host_", "h", "text_").agg(F.max("w").alias("w"), F.min("d").alias("d"))
@@ -84,24 +84,24 @@ def _verdict() -> Column:
     return ~F.col("base_failed") & (left >= MIN_LEFT) & (2 * left >= F.col("n_words"))
 
 
-def judge(df: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", max_docs: int = MAX_DOCS) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", max_docs: int = MAX_DOCS, line_words: int = LINE_WORDS) -> DataFrame:
     """df without its text, with the base counts, words_removed and kept."""
     docs, back = apart(df, key, text, host)
-    lost = removed_lines(docs, text, host, key, max_docs).select("host_", "text_", "lost_")
+    lost = removed_lines(docs, text, host, key, max_docs, line_words).select("host_", "text_", "lost_")
     rows = base(docs, text).withColumns({"host_": _host(host), "text_": F.xxhash64(text)})
     out = rows.join(small(lost), ["host_", "text_"], "left").withColumns({"words_removed": F.coalesce("lost_", F.lit(0)), "kept": _verdict()})
     return back(out, [*OUT, "words_removed", "kept"], [text])
 
 
-def clean(df: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", max_docs: int = MAX_DOCS) -> DataFrame:
+def clean(df: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", max_docs: int = MAX_DOCS, line_words: int = LINE_WORDS) -> DataFrame:
     """The kept rows of df with the frequent lines removed from their texts; the columns of df."""
     docs, back = apart(df, key, text, host)
-    gone = removed_lines(docs, text, host, key, max_docs)
+    gone = removed_lines(docs, text, host, key, max_docs, line_words)
     rows = base(docs, text).where("not base_failed").withColumns({"host_": _host(host), "text_": F.xxhash64(text)})
     out = rows.join(small_lists(gone, "gone_"), ["host_", "text_"], "left").where(_verdict())
     # hashes in slots, so that a look-up reads a short list; made after the join, which carries plain lists
     slots = F.transform(F.sequence(F.lit(0), F.lit(_SLOTS - 1)), lambda b: F.filter("gone_", lambda h: F.pmod(h, F.lit(_SLOTS)) == b))
     out = out.withColumn("slots_", F.when(F.col("gone_").isNotNull(), slots))
     stays = lambda h: h.isNull() | ~F.array_contains(F.get("slots_", F.pmod(h, F.lit(_SLOTS)).cast("int")), h)
-    left = F.filter(F.split(text, "\n"), lambda x: stays(line_hash(x)))
+    left = F.filter(F.split(text, "\n"), lambda x: stays(line_hash(x, line_words)))
     return back(out.withColumn(text, F.when(F.col("gone_").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))))

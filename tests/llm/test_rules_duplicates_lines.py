@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pagespan.llm import linetemplates, nearduplicates, rules
 from pagespan.llm.components import components
 
@@ -220,3 +221,13 @@ def test_line_templates_beyond_eight_leaders(spark, monkeypatch):
         groups[of[x]].append(i)
     gone = {i for g in groups.values() if len(g) >= 3 for i in g[1:]}
     assert len(groups) > 8 and {r["doc_id"] for r in linetemplates.drop_templates(docs(spark, rows)).where("dropped_lines > 0").collect()} == gone
+
+
+def test_pipeline_rules_count_short_lines(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, "\n".join([words(rng, 60), " Read\tMORE", " ", "home"]), "h") for i in range(22)]
+    rows += [(100 + i, "\n".join([words(rng, 24), *(["home"] * 30)]), "h") for i in range(2)]
+    texts = {i: t for i, t, _ in rows}
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality_rules(spark, docs(spark, rows), "").collect()}
+    assert set(kept) == set(range(22)) and kept[0] == texts[0]  # the menus are depleted
+    assert all(kept[i].split("\n") == [texts[i].split("\n")[0], " "] for i in range(1, 22))
