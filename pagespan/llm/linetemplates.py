@@ -1,6 +1,7 @@
 """Line dedup by a log-template tree of fixed depth, in DataFrame functions only.
 
-A line of at least MIN_TOKENS tokens goes down the tree by its token count and its first LEADING tokens; a token with a
+A line of at least MIN_TOKENS tokens (in the pipeline one) goes down the tree by its token count and its first LEADING
+tokens (all, if it has fewer); a token with a
 digit is a variable field and reads as `<*>` everywhere. In a leaf the distinct lines gather round leaders: the line that
 occurs most (of equals the last by code points) leads a template, and lines that agree with it in MATCH percent of the tokens join it; the rest gather
 round the next leader, until no line of the leaf is left. A round tries several leaders at once, twice as many as the
@@ -38,11 +39,11 @@ def _tokens(line: Column) -> Column:
     return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
-def lines_of(df: DataFrame, text: str, key: str) -> DataFrame:
-    """d, text_ (hash of the text), pos, line (masked), n (tokens), leaf, of lines with MIN_TOKENS tokens or more. Lines are masked and counted inside the array, so that no filter above repeats the work."""
+def lines_of(df: DataFrame, text: str, key: str, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """d, text_ (hash of the text), pos, line (masked), n (tokens), leaf, of lines with min_tokens tokens or more. Lines are masked and counted inside the array, so that no filter above repeats the work."""
     lines = F.transform(F.transform(F.split(text, "\n"), masked), lambda x: F.struct(x.alias("line"), _tokens(x).alias("n")))
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("d"), F.xxhash64(text).alias("text_"), F.posexplode(lines).alias("pos", "x"))
-    rows = rows.where(F.col("x.n") >= MIN_TOKENS).select("d", "text_", "pos", "x.line", "x.n")
+    rows = rows.where(F.col("x.n") >= min_tokens).select("d", "text_", "pos", "x.line", "x.n")
     return rows.withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", LEADING)))
 
 
@@ -61,9 +62,9 @@ def _leaders(left: DataFrame, most: int) -> DataFrame:
     return tried.select("leaf", lead.alias("leaders"))
 
 
-def templates(df: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def templates(df: DataFrame, text: str = "text", key: str = "doc_id", min_tokens: int = MIN_TOKENS) -> tuple[DataFrame, DataFrame]:
     """Stored lines of leaves that several texts reach (d, text_, pos, n, hash), and the template of each line's hash in a leaf (hash, template). A leaf's hot lines are counted with partial sums, by text, before they meet."""
-    lines = lines_of(df, text, key)
+    lines = lines_of(df, text, key, min_tokens)
     leaves = store(lines.groupBy("leaf").agg(F.min("text_").alias("lo"), F.max("text_").alias("hi")).where("lo <> hi").select("leaf"), "leaves")
     met = lines.join(small(leaves), "leaf", "left_semi")
     met = store(met.select("leaf", "d", "text_", "pos", "n", "line", F.xxhash64("leaf", "line").alias("hash")), "lines")
@@ -82,10 +83,10 @@ def templates(df: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
     return met.drop("line", "leaf"), out
 
 
-def dropped(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def dropped(df: DataFrame, text: str = "text", key: str = "doc_id", min_tokens: int = MIN_TOKENS) -> DataFrame:
     """By text_: the places of the lines to drop (at_) and their tokens (lost_)."""
     with Scratch() as scratch:
-        met, of = templates(df, text, key)
+        met, of = templates(df, text, key, min_tokens)
         placed = store(met.groupBy("hash", "text_", "pos").agg(F.min("d").alias("d"), F.max("n").alias("n")).join(small(of), "hash").select("template", "text_", "pos", "d", "n"), "placed")
         by_text = placed.groupBy("template", "text_").agg(F.min("d").alias("d"), F.max("n").alias("n"))
         recurs = by_text.groupBy("template").agg(F.count("*").alias("docs"), F.max("n").alias("n"), F.min_by("text_", F.struct("d", "text_")).alias("first_"))
@@ -100,10 +101,10 @@ def _kept_lines() -> Column:
     return F.flatten(F.transform(F.concat("at_", F.array(F.size("lines_"))), lambda p, i: F.slice("lines_", after(i) + 1, p - after(i))))
 
 
-def drop_templates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def drop_templates(df: DataFrame, text: str = "text", key: str = "doc_id", min_tokens: int = MIN_TOKENS) -> DataFrame:
     """df with the recurring lines dropped from its texts, n_lines (before), dropped_lines and dropped_tokens."""
     docs, back = apart(df, key, text)
-    gone = dropped(docs, text, key)
+    gone = dropped(docs, text, key, min_tokens)
     rows = docs.withColumns({"text_": F.xxhash64(text), "lines_": F.split(text, "\n")})
     out = rows.join(small_lists(gone, "at_"), "text_", "left").withColumns({
         text: F.when(F.col("at_").isNull(), F.col(text)).otherwise(F.array_join(_kept_lines(), "\n")), "n_lines": F.coalesce(F.size("lines_"), F.lit(0)),
@@ -112,7 +113,7 @@ def drop_templates(df: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     return back(out, ["n_lines", "dropped_lines", "dropped_tokens"])
 
 
-def clean(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def clean(df: DataFrame, text: str = "text", key: str = "doc_id", min_tokens: int = MIN_TOKENS) -> DataFrame:
     """df with the recurring lines dropped; a document that has lost lines and holds no word any more goes."""
     docs, back = apart(df, key, text)
-    return back(drop_templates(docs, text, key).where((F.col("dropped_lines") == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]")))
+    return back(drop_templates(docs, text, key, min_tokens).where((F.col("dropped_lines") == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]")))

@@ -231,3 +231,15 @@ def test_pipeline_rules_count_short_lines(spark):
     kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality_rules(spark, docs(spark, rows), "").collect()}
     assert set(kept) == set(range(22)) and kept[0] == texts[0]  # the menus are depleted
     assert all(kept[i].split("\n") == [texts[i].split("\n")[0], " "] for i in range(1, 22))
+
+
+def test_pipeline_drops_short_templates(spark):
+    rng = np.random.default_rng(13)
+    rows = [(i, "\n".join([words(rng, 30), "All rights reserved.", f" page  {i}", "home", " ", words(rng, 2)]), None) for i in range(5)]
+    rows += [(10 + i, words(rng, 9) + "\nonly two", None) for i in range(2)]
+    texts = {i: t for i, t, _ in rows}
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs(spark, rows), "").collect()}
+    assert out[0] == texts[0] and out[10] == texts[10] and out[11] == texts[11]
+    for i in range(1, 5):
+        a = texts[i].split("\n")
+        assert out[i].split("\n") == [a[0], a[4], a[5]]
