@@ -13,6 +13,8 @@ as they come; an empty table gives no pieces. Sources are kept as one small row
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +36,7 @@ _encoders: dict[str, object] = {}
 
 
 def encoder(name: str):
-    """bytes-to-ids function by file name. The .tiktoken file holds the same vocabulary as the .json file of that name; both libraries give the same ids, this one four times as fast."""
+    """bytes-to-ids function by file name. The .tiktoken file holds the same vocabulary as the .json file of that name; both libraries give the same ids, this one four times as fast. The .json file's added tokens, which the ranks lack, are read from it."""
     if name not in _encoders:
         import public_tokenizers
 
@@ -44,8 +46,12 @@ def encoder(name: str):
 
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            e = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _encoders[name] = lambda text: e.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
+            added = {}
+            if os.path.exists(whole := path.removesuffix(".tiktoken") + ".json"):
+                with open(whole, "rb") as f:
+                    added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+            e = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+            _encoders[name] = lambda text: e.encode_to_numpy(text, allowed_special="all").astype(np.uint32)
         else:
             from tokenizers import Tokenizer
 

@@ -160,6 +160,14 @@ def test_both_libraries_give_the_same_ids(spark, sf_dir):
         assert a(t).tolist() == b(t).tolist()
 
 
+def test_both_libraries_give_the_same_ids_for_added_tokens():
+    a, b = packing.encoder("byte_bpe_50k.json"), packing.encoder("byte_bpe_50k.tiktoken")
+    end = "<|endoftext|>"
+    assert b(f"see {end} here").tolist() == [3826, 220, 50256, 994]
+    for t in [end, end * 3, f"a{end}b", f"  {end}\n\n {end}  x", f"<|{end}|>", end[:-1], end.upper(), f"it{end}'s", f"é🙂 {end} 漢"]:
+        assert a(t).tolist() == b(t).tolist(), t
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 1000), st.sampled_from([5, 2, 1])), min_size=1, max_size=9))
 def test_water_fill(sources):
