@@ -16,7 +16,6 @@ from .html import html_annotate, html_promote_styles, html_rewrite, local_refere
 from .nav import comparable, fits
 
 MAX_INLINE = 4 << 20
-MAX_DEPTH = 16
 
 
 def candidates(chapter_href: Column, ref: Column, opf_dir: Column) -> Column:
@@ -67,14 +66,16 @@ def read(resolved: DataFrame, entries: DataFrame, encryption: DataFrame | None =
     return out.withColumn("content", crypto.read_encrypted("content", F.coalesce("identifier", lit("")), "algorithm", hook)).drop("algorithm", "identifier")
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df computed and without its lineage, which would double with each round: in spark.checkpoint.dir, if it is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def reference_closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """roots (pub_id, chapter, path) with all that they reach over edges (pub_id, path, target), as pub_id, chapter, path; each once, cycles end. A round adds what is new, until nothing is."""
-    seen = roots.select("pub_id", "chapter", "path").distinct()
-    front = seen
-    for _ in range(MAX_DEPTH):
-        front = front.join(edges, ["pub_id", "path"]).select("pub_id", "chapter", F.col("target").alias("path")).distinct().join(seen, ["pub_id", "chapter", "path"], "left_anti")
-        if not front.limit(1).count():
-            break
+    front = seen = _cut(roots.select("pub_id", "chapter", "path").distinct())
+    while front.limit(1).count():
+        front = _cut(front.join(edges, ["pub_id", "path"]).select("pub_id", "chapter", F.col("target").alias("path")).distinct().join(seen, ["pub_id", "chapter", "path"], "left_anti"))
         seen = seen.unionByName(front)
     return seen
 
@@ -87,7 +88,7 @@ def prepare(chapters: DataFrame, resources: DataFrame, max_bytes: int = MAX_INLI
     typed = resources.select("pub_id", "path", "content", paths.resolve_media_type("path", "media_type").alias("type"), F.octet_length("content").alias("size"))
     start = chapters.select("pub_id", "chapter", F.explode(F.array_distinct(local_references("html", "path"))).alias("path"))
     sheets = typed.where((F.col("type") == "text/css") & (F.col("size") <= max_bytes)).select("pub_id", "path", F.col("content").cast("string").alias("css"))
-    edges = sheets.select("pub_id", "path", F.explode(F.array_distinct(css_references("css", "path"))).alias("target"))
+    edges = _cut(sheets.select("pub_id", "path", F.explode(F.array_distinct(css_references("css", "path"))).alias("target")))
     reach = reference_closure(start, edges)
     state = F.when(F.col("size").isNull(), "missing").when(F.col("size") > max_bytes, "skipped_oversize").when(paths.inlineable("type"), "inlined").otherwise("skipped_type")
     known = reach.join(typed.select("pub_id", "path", "type", "size"), ["pub_id", "path"], "left").withColumn("state", state)
@@ -95,13 +96,13 @@ def prepare(chapters: DataFrame, resources: DataFrame, max_bytes: int = MAX_INLI
     stats = known.groupBy("pub_id", "chapter").agg(F.struct(F.count("*").alias("considered"), count("inlined"), count("skipped_oversize"), count("missing"), count("skipped_type")).alias("stats"))
     plain = typed.where(paths.inlineable("type") & (F.col("size") <= max_bytes) & (F.col("type") != "text/css")).select("pub_id", "path", paths.data_uri("type", "content").alias("uri"))
     done, left = plain, sheets
-    for _ in range(MAX_DEPTH):
+    while True:
         open_ = edges.join(left.select("pub_id", F.col("path").alias("target")), ["pub_id", "target"], "left_semi").select("pub_id", "path").distinct()
         ready = left.join(open_, ["pub_id", "path"], "left_anti")
         if not ready.limit(1).count():
             break
-        done = done.unionByName(_sheet_uris(ready, edges, done))
-        left = left.join(open_, ["pub_id", "path"], "left_semi")
+        done = done.unionByName(_cut(_sheet_uris(ready, edges, done)))
+        left = _cut(left.join(open_, ["pub_id", "path"], "left_semi"))
     done = done.unionByName(_sheet_uris(left, edges, done))
     urls = reach.join(done, ["pub_id", "path"]).groupBy("pub_id", "chapter").agg(F.map_from_entries(F.collect_list(F.struct("path", "uri"))).alias("urls"))
     html = F.col("html") if base is None else html_annotate("html", F.col(base))

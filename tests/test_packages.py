@@ -1,4 +1,6 @@
+import base64
 import io
+import re
 import zipfile
 
 import pytest
@@ -279,3 +281,20 @@ def test_chapter_titles_and_strict_spine(spark, entries, packed):
     assert positions.missing_items(opf.spine(packed), items).count() == 0  # the item without a manifest entry isn't linear
     assert positions.missing_items(opf.spine(packed).withColumn("linear", F.lit(True)), items).first()["message"].endswith("cv")
     assert positions.strict(opf.spine(packed).withColumn("linear", F.lit(True)), items).count() == 0
+
+
+def test_imports_deeper_than_sixteen(spark):
+    n = 20
+    chain = [(f"s{i}.css", f"@import 's{i + 1}.css';".encode()) for i in range(n)] + [(f"s{n}.css", b"p{b:url(x.png)}"), ("x.png", b"png"), ("c1.css", b"@import 'c2.css';"), ("c2.css", b"@import 'c1.css';")]
+    edges = spark.createDataFrame([("b", f"s{i}.css", f"s{i + 1}.css") for i in range(n)] + [("b", f"s{n}.css", "s3.css")], "pub_id string, path string, target string")
+    roots = spark.createDataFrame([("b", "c", "s0.css")], "pub_id string, chapter string, path string")
+    assert sorted(r["path"] for r in resolve.reference_closure(roots, edges).collect()) == sorted(f"s{i}.css" for i in range(n + 1))
+    files = spark.createDataFrame([("b", p, c, None) for p, c in chain], "pub_id string, path string, content binary, media_type string")
+    page = "<html><head><link rel='stylesheet' href='s0.css'><link rel='stylesheet' href='c1.css'></head></html>"
+    chapters = spark.createDataFrame([("b", "c", "t.xhtml", page)], "pub_id string, chapter string, path string, html string")
+    got = resolve.prepare(chapters, files).first()
+    assert got["stats"].asDict() == {"considered": n + 4, "inlined": n + 4, "skipped_oversize": 0, "missing": 0, "skipped_type": 0}
+    text = got["prepared"]
+    for _ in range(n):  # each sheet holds the next one
+        text = base64.b64decode(re.search(r"data:text/css;base64,([A-Za-z0-9+/=]+)", text)[1]).decode()
+    assert "data:image/png" in text
