@@ -2,11 +2,14 @@
 
 A document's set holds its distinct 5-word shingles (A-Z lower-cased; fewer words: the whole sequence). Equal texts become
 one vertex. Each vertex gets COORDINATES minwise values. A tree starts with all vertices in one node; a node sends each
-vertex down BRANCHES paths, each by a coordinate that the node chooses and the vertex's value there, so that pairs of
-similarity s keep together on a path with probability s. Nodes of up to LEAF vertices are compared exhaustively on the
-minwise values; larger ones branch on. TREES independent trees bring the chance to miss a pair of similarity 0.75 to
-about 1e-5. A large node that mostly holds copies of its pivot can't be split: it, and what is left at DEPTH, becomes one
-candidate cluster whole. Candidates are linked where the estimate is five deviations or less below the threshold.
+vertex down a path by a coordinate that the node chooses and the vertex's value there, so that pairs of similarity s keep
+together on a path with probability s. Roots and every other node have a second path: one and a half on average, so a
+group whose members agree on a value with probability p grows by 1.5 p a level, while the paths that a pair of
+similarity 0.75 stays on grow by 1.125. Nodes of up to LEAF vertices are compared exhaustively on the minwise values;
+larger ones branch on. TREES trees bring the chance to miss a pair of similarity 0.75 to about 1e-5 where they end within
+three levels (RECALL below tells what was measured deeper). A large node that mostly holds copies of its pivot can't be
+split: it, and what is left at DEPTH, becomes one candidate cluster whole. Candidates are linked where the estimate is
+five deviations or less below the threshold.
 
 Links are confirmed on full sets: a candidate cluster's texts come together in blocks of bounded size, and a document is
 compared with all others of its block until the block's components stop changing. Clusters of several blocks are compared
@@ -33,11 +36,11 @@ from .components import components
 from .textnum import mix, shingle_hashes, word_hashes
 
 WORDS, THRESHOLD, SEED = 5, 0.75, 7
-COORDINATES, TREES, BRANCHES, LEAF, DEPTH = 64, 5, 2, 500, 12
+COORDINATES, TREES, LEAF, DEPTH = 64, 8, 500, 40
 #: Estimates from COORDINATES values: candidates from this many equal values on (mean 48, deviation 3.5 at 0.75).
 AT_LEAST = 31
 #: Shingles that a block of a candidate cluster may hold in one task.
-BLOCK_SHINGLES, PIVOTS = 2_000_000, 4
+BLOCK_SHINGLES, PIVOTS = 200_000, 4
 _U = np.uint64
 _rng = np.random.default_rng(SEED)
 _MULTIPLY = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | _U(1)
@@ -58,31 +61,41 @@ def signature(sets: np.ndarray) -> np.ndarray:
 
 
 def describe(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stored: k, text_ (digest of the text), n_shingles, sig (null for an empty set)."""
+    """Stored: k, text_ (digest of the text), n_shingles, sig (minwise values; null for an empty set), low (their lowest bytes, which estimates need)."""
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("text_"))
 
     def one(t: bytes | None) -> tuple:
         s = shingles(t) if t else ()
-        return len(s), signature(s).tobytes() if len(s) else None
+        if not len(s):
+            return 0, None, None
+        sig = signature(s)
+        return len(s), sig.tobytes(), sig.astype(np.uint8).tobytes()
 
-    return store(add_columns(rows, ["t"], {"n_shingles": T.LongType(), "sig": T.BinaryType()}, lambda: one), "sets")
+    return store(add_columns(rows, ["t"], {"n_shingles": T.LongType(), "sig": T.BinaryType(), "low": T.BinaryType()}, lambda: one), "sets")
 
 
-def _keys(rows: DataFrame) -> DataFrame:
-    """The children of each (node, v, sig): BRANCHES rows with the key of the child node. The node's number picks the coordinates."""
+def _paths(node: np.ndarray, sig: np.ndarray, both: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The two paths out of each row's node, as (whether the node has the path, key of the child). The node's number picks the coordinates and, unless both, whether there is a second path: every other node has one."""
+    first = (mix(node * _U(3) + _U(1)) % _U(COORDINATES)).astype(np.int64)
+    step = (mix(node * _U(5) + _U(2)) % _U(COORDINATES // 2)).astype(np.int64) * 2 + 1  # odd, so the coordinates differ
+    second = np.ones(len(node), bool) if both else mix(node * _U(7) + _U(3)) % _U(2) == 0
+    for j, there in enumerate((np.ones(len(node), bool), second)):
+        i = (first + j * step) % COORDINATES
+        child = mix(node * _U(0x9E3779B97F4A7C15) + mix(i.astype(_U) * _U(0xD6E8FEB86659FD93) + sig[np.arange(len(sig)), i]))
+        yield there, child.view(np.int64)
+
+
+def _roots(vertices: DataFrame) -> DataFrame:
+    """(node, v) of the first level: of each tree both paths out of its root."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             sig = np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(-1, COORDINATES)
-            node = part["node"].to_numpy(np.int64).view(np.uint64)
-            first = (mix(node * _U(3) + _U(1)) % _U(COORDINATES)).astype(np.int64)
-            for j in range(BRANCHES):  # different coordinates, as the steps are odd
-                step = (mix(node * _U(5) + _U(2)) % _U(COORDINATES // 2)).astype(np.int64) * 2 + 1
-                i = (first + j * step) % COORDINATES
-                child = mix(node * _U(0x9E3779B97F4A7C15) + mix(i.astype(_U) * _U(0xD6E8FEB86659FD93) + sig[np.arange(len(sig)), i]))
-                yield pd.DataFrame({"node": child.view(np.int64), "v": part["v"]})
+            for tree in range(1, TREES + 1):
+                for _, child in _paths(np.full(len(sig), tree, _U), sig, True):
+                    yield pd.DataFrame({"node": child, "v": part["v"]})
 
-    return rows.select("node", "v", "sig").mapInPandas(run, f"node long, v {rows.schema['v'].dataType.simpleString()}")
+    return vertices.select("v", "sig").mapInPandas(run, f"node long, v {vertices.schema['v'].dataType.simpleString()}")
 
 
 def _forest(sig: np.ndarray) -> list[tuple[int, int]]:
@@ -100,25 +113,25 @@ def _forest(sig: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _leaf_edges(rows: DataFrame) -> DataFrame:
-    """rows: node, v, sig of nodes of bounded size."""
+    """rows: node, v, low of nodes of bounded size."""
     kind = rows.schema["v"].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {"node": None, "v": [], "sig": []}
+        held: dict = {"node": None, "v": [], "low": []}
         out: list = []
 
         def close() -> None:
             if len(held["v"]) > 1:
                 v = held["v"]
-                out.extend((v[i], v[j]) for i, j in _forest(np.frombuffer(b"".join(held["sig"]), np.uint32).reshape(-1, COORDINATES)))
+                out.extend((v[i], v[j]) for i, j in _forest(np.frombuffer(b"".join(held["low"]), np.uint8).reshape(-1, COORDINATES)))
 
         for part in parts:
-            for node, v, sig in zip(part["node"].to_numpy(), part["v"].to_numpy(), part["sig"], strict=True):
+            for node, v, low in zip(part["node"].to_numpy(), part["v"].to_numpy(), part["low"], strict=True):
                 if node != held["node"]:
                     close()
-                    held = {"node": node, "v": [], "sig": []}
+                    held = {"node": node, "v": [], "low": []}
                 held["v"].append(v)
-                held["sig"].append(sig)
+                held["low"].append(low)
             yield pd.DataFrame(out, columns=["a", "b"])
             out = []
         close()
@@ -127,42 +140,56 @@ def _leaf_edges(rows: DataFrame) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node", "v").mapInPandas(run, f"a {kind}, b {kind}")
 
 
+def _looked_at(rows: DataFrame) -> DataFrame:
+    """rows (node, v, pivot, sig, low, plow) of large nodes with near (1 where the estimate to the pivot allows a link) in place of plow, and the keys of the next nodes on the paths (next)."""
+    kind = rows.schema["v"].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            low, plow = (np.frombuffer(b"".join(part[c]), np.uint8).reshape(-1, COORDINATES) for c in ("low", "plow"))
+            sig = np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(-1, COORDINATES)
+            paths = list(_paths(part["node"].to_numpy(np.int64).view(_U), sig, False))
+            to = [[int(child[i]) for there, child in paths if there[i]] for i in range(len(part))]
+            yield part[["node", "v", "pivot", "sig", "low"]].assign(near=((low == plow).sum(axis=1) >= AT_LEAST).astype(np.int64), next=to)
+
+    return rows.select("node", "v", "pivot", "sig", "low", "plow").mapInPandas(run, f"node long, v {kind}, pivot {kind}, sig binary, low binary, near long, next array<long>")
+
+
 def candidates(vertices: DataFrame) -> DataFrame:
-    """Stored edges (a, b) whose components hold every pair that shares a leaf and is estimated close, and every unsplit node. vertices: v, sig."""
-    kind = vertices.schema["v"].dataType.simpleString()
-    at = vertices.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(TREES).cast("long"))).alias("node"), "v", "sig")
+    """Stored edges (a, b) whose components hold every pair that shares a leaf and is estimated close, and every unsplit node. vertices: v, sig, low.
+
+    Only (node, v) passes through the levels; a level's tables go as soon as its edges and the next level are stored, and from the second level on only the vertices that are still in a large node are read. Joins that bring the values to the nodes always shuffle, so that the plan is the same at every size.
+    """
     found: list[DataFrame] = []
+    pool, keys = vertices, store(_roots(vertices), "keys")
     for depth in range(1, DEPTH + 1):
-        keys = store(_keys(at), "keys")
         sizes = store(keys.groupBy("node").agg(F.count("*").alias("n"), F.min("v").alias("pivot")).where("n > 1"), "nodes")
         # a node known by its size: leaves are gathered, larger ones stay spread
-        leaves = keys.join(sizes.where(F.col("n") <= LEAF).select("node"), "node").join(vertices, "v")
-        found.append(store(_leaf_edges(leaves.select("node", "v", "sig")), "edges"))
-        large = sizes.where(F.col("n") > LEAF)
-        if not large.limit(1).count():
-            forget(keys)
-            forget(sizes)
-            break
-        # each large node's rows with its pivot's values; there are at most rows / LEAF such nodes
-        pivots = small(large.join(vertices.withColumnRenamed("v", "pivot"), "pivot").select("node", "pivot", "n", F.col("sig").alias("psig")), BROADCAST_ROWS // 10)
-        rows = keys.join(pivots, "node").join(vertices, "v")
-
-        def close(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                a = np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(-1, COORDINATES)
-                b = np.frombuffer(b"".join(part["psig"]), np.uint32).reshape(-1, COORDINATES)
-                yield part[["node", "v", "pivot", "sig"]].assign(near=((a == b).sum(axis=1) >= AT_LEAST).astype(np.int64))
-
-        rows = store(rows.mapInPandas(close, f"node long, v {kind}, pivot {kind}, sig binary, near long"), "large")
-        share = rows.groupBy("node").agg((F.avg("near") > 0.5).alias("whole"))
-        known = rows.join(small(share, BROADCAST_ROWS // 10), "node")
-        last = depth == DEPTH
-        whole = F.lit(True) if last else F.col("whole")
-        # the whole node, or those close to the pivot, become one candidate cluster
-        found.append(store(known.where(whole | (F.col("near") == 1)).where("v <> pivot").select(F.col("pivot").alias("a"), F.col("v").alias("b")).distinct(), "edges"))
-        at = known.where(~whole).select("node", "v", "sig")
-        if last or not at.limit(1).count():
+        leaves = keys.join(small(sizes.where(F.col("n") <= LEAF).select("node")), "node").join(pool.select("v", "low").hint("merge"), "v")
+        found.append(store(_leaf_edges(leaves.select("node", "v", "low")), "edges"))
+        large = sizes.where(F.col("n") > LEAF).select("node", "pivot")
+        done = not large.limit(1).count()
+        if not done:
+            # each large node's rows with its pivot's values; there are at most rows / LEAF such nodes
+            pivots = store(pool.select(F.col("v").alias("pivot"), F.col("low").alias("plow")).join(small(large), "pivot"), "pivots")
+            inside = keys.join(small(pivots, BROADCAST_ROWS // 10), "node").join(pool.select("v", "sig", "low").hint("merge"), "v")
+            rows = store(_looked_at(inside), "large")
+            share = store(rows.groupBy("node").agg((F.avg("near") > 0.5).alias("whole")), "share")
+            known = rows.join(small(share), "node")
+            whole = F.lit(True) if depth == DEPTH else F.col("whole")
+            # the whole node, or those close to the pivot, become one candidate cluster
+            found.append(store(known.where(whole | (F.col("near") == 1)).where("v <> pivot").select(F.col("pivot").alias("a"), F.col("v").alias("b")).distinct(), "edges"))
+            on = known.where(~whole)
+            below = store(on.select(F.explode("next").alias("node"), "v"), "keys")
+            left = store(on.groupBy("v").agg(F.first("sig").alias("sig"), F.first("low").alias("low")), "pool")
+            done = not below.limit(1).count()
+            for x in (pivots, rows, share):
+                forget(x)
+        for x in (keys, sizes, *([] if pool is vertices else [pool])):
+            forget(x)
+        if done:
             break
+        keys, pool = below, left
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -292,8 +319,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     docs = df.where(F.col(key).isNotNull())
     sets = describe(df, key, text)
     with Scratch() as scratch:
-        vertices = store(sets.where("n_shingles > 0 and k is not null").groupBy("text_").agg(F.min("k").alias("v"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "vertices")
-        edges = candidates(vertices.select("v", "sig"))
+        vertices = store(sets.where("n_shingles > 0 and k is not null").groupBy("text_").agg(F.min("k").alias("v"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("low").alias("low")), "vertices")
+        edges = candidates(vertices.select("v", "sig", "low"))
         exact = confirmed(components(edges), docs, vertices, key, text)
         of_text = vertices.select("text_", "v").join(exact.select(F.col("node").alias("v"), "component"), "v", "left").select("text_", F.coalesce("component", "v").alias("c_"))
         of_text = scratch.keep(store(of_text, "components"))
