@@ -216,8 +216,9 @@ def _child(index: Column) -> Column:
     return F.when(index % 2 == 1, half).otherwise(F.greatest(half - 1, lit(0))).cast("long")
 
 
-def _resolved(spine: Column, steps: Column, p: Column, side: Column) -> Column:
-    """One end resolved; null without local steps."""
+def _resolved(spine: Column, p: Column) -> Column:
+    """One end (steps, char_offset, side, temporal, spatial) resolved; null without steps."""
+    steps = p["steps"]
     odd = lambda s: s["index"] % 2 == 1
     at = lambda s: (_child(s["index"]) + 1).cast("string")
     element = lambda s, name: F.when(s["assertion"].isNull(), F.concat(lit(name + "["), at(s), lit("]"))).otherwise(
@@ -228,7 +229,7 @@ def _resolved(spine: Column, steps: Column, p: Column, side: Column) -> Column:
     decoded = F.transform(steps, lambda s: F.struct(F.when(odd(s), lit("text")).otherwise(lit("element")).alias("node_type"), _child(s["index"]).alias("index"), s["assertion"].alias("id")))
     value = F.struct(
         spine.alias("spine_index"), decoded.alias("steps"), p["char_offset"].alias("char_offset"), odd(F.element_at(steps, -1)).alias("is_text_node"), xpath("*").alias("xpath"),
-        xpath("*[local-name()]").alias("xpath_ns_agnostic"), F.try_element_at(ids, lit(-1))["assertion"].alias("id_shortcut"), side.alias("side"), p["temporal"].alias("temporal"), p["spatial"].alias("spatial"),
+        xpath("*[local-name()]").alias("xpath_ns_agnostic"), F.try_element_at(ids, lit(-1))["assertion"].alias("id_shortcut"), p["side"].alias("side"), p["temporal"].alias("temporal"), p["spatial"].alias("spatial"),
     )
     return F.when(F.size(F.coalesce(steps, F.array().cast(T.ArrayType(STEP)))) > 0, value)
 
@@ -241,9 +242,11 @@ def cfi_resolve(cfi: Column | str, full_range: bool = False) -> Column:
     none = F.array().cast(T.ArrayType(STEP))
     local = F.coalesce(parent["local_steps"], none)
     joined = lambda p: F.concat(local, F.coalesce(p["local_steps"], p["steps"] if full_range else none))
-    end = lambda p: _resolved(spine, joined(p), p, F.coalesce(p["side"], parent["side"]))
-    start = F.when(c["kind"] == "point", _resolved(spine, parent["local_steps"], parent, parent["side"])).otherwise(end(c["start"]))
-    return F.when(start.isNotNull(), F.struct(start.alias("start"), F.when(c["kind"] == "range", end(c["end"])).alias("end")))
+    end = lambda p, steps: F.struct(steps.alias("steps"), p["char_offset"].alias("char_offset"), F.coalesce(p["side"], parent["side"]).alias("side"), p["temporal"].alias("temporal"), p["spatial"].alias("spatial"))
+    ends = F.when(c["kind"] == "point", F.array(end(parent, local))).otherwise(F.array(end(c["start"], joined(c["start"])), end(c["end"], joined(c["end"]))))
+    # both ends go through one expression, and what it gives is bound to a name, so that the plan stays small
+    both = F.transform(F.array(F.transform(ends, lambda p: _resolved(spine, p))), lambda r: F.when(F.get(r, lit(0)).isNotNull(), F.struct(F.get(r, lit(0)).alias("start"), F.get(r, lit(1)).alias("end"))))
+    return F.get(both, lit(0))
 
 
 def _common(a: Column, b: Column) -> Column:

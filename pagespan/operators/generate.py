@@ -9,12 +9,14 @@ aren't there count as null.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..functions.deep import unwind
 from ..functions.types import lit
 from ..sources.packages import pack
 from .html import inferred_properties, inject_head
@@ -75,17 +77,17 @@ def validate(books: DataFrame, resources: DataFrame, spine: DataFrame, toc: Data
     """errors(pub_id, ord, message), in order: blank metadata, an empty spine, spine items and toc entries without a resource, a missing cover."""
     blank = lambda c: F.trim(F.coalesce(F.col(c), lit(""))) == ""
     named = [(0, "title"), (1, "identifier"), (2, "language")]
-    checks = [books.where(blank(c)).select("pub_id", F.struct(lit(k).alias("k"), lit(0).alias("i")).alias("ord"), lit(f"Missing mandatory metadata: <dc:{c}>").alias("message")) for k, c in named]
+    checks = [books.where(blank(c)).select("pub_id", F.struct(lit(k).alias("k"), lit(0).alias("i")).alias("ord"), lit(f"{c} is blank").alias("message")) for k, c in named]
     at = lambda k, i: F.struct(lit(k).alias("k"), i.cast("int").alias("i")).alias("ord")
-    checks.append(books.join(spine, "pub_id", "left_anti").select("pub_id", at(3, lit(0)), lit("The spine (reading order) is completely empty.").alias("message")))
+    checks.append(books.join(spine, "pub_id", "left_anti").select("pub_id", at(3, lit(0)), lit("reading order has no items").alias("message")))
     ids, hrefs = resources.select("pub_id", F.col("id").alias("idref")).distinct(), resources.select("pub_id", F.col("href").alias("file")).distinct()
-    checks.append(spine.join(ids, ["pub_id", "idref"], "left_anti").select("pub_id", at(4, F.col("spine_index")), F.format_string("Spine item idref '%s' does not exist in resources.", "idref").alias("message")))
+    checks.append(spine.join(ids, ["pub_id", "idref"], "left_anti").select("pub_id", at(4, F.col("spine_index")), F.format_string("reading order: no resource with id %s", "idref").alias("message")))
     if toc is not None:
         entries = toc.withColumn("file", paths.before(F.col("href"), "#"))
-        checks.append(entries.join(hrefs, ["pub_id", "file"], "left_anti").select("pub_id", at(5, F.col("node_id")), F.format_string("TOC entry '%s' points to missing file: %s", "title", "file").alias("message")))
+        checks.append(entries.join(hrefs, ["pub_id", "file"], "left_anti").select("pub_id", at(5, F.col("node_id")), F.format_string("table of contents: no file %s for entry %s", "file", "title").alias("message")))
     if "cover_id" in books.columns:
         covers = books.where(F.col("cover_id").isNotNull()).select("pub_id", F.col("cover_id").alias("idref"))
-        checks.append(covers.join(ids, ["pub_id", "idref"], "left_anti").select("pub_id", at(6, lit(0)), F.format_string("Cover image id '%s' is missing in resources.", "idref").alias("message")))
+        checks.append(covers.join(ids, ["pub_id", "idref"], "left_anti").select("pub_id", at(6, lit(0)), F.format_string("cover: no resource with id %s", "idref").alias("message")))
     out = checks[0]
     for c in checks[1:]:
         out = out.unionByName(c)
@@ -192,19 +194,19 @@ def nav_text(toc: list[dict], landmarks: list[dict], pages: list[dict]) -> str:
     x.open("body")
     below = _children(toc)
 
-    def entries(parent: int | None) -> None:
+    def entries(parent: int | None) -> Iterator:
         if below.get(parent):
             x.open("ol")
             for n in below[parent]:
                 x.open("li")
                 x.text("a", n["title"], href=n["href"])
-                entries(n["node_id"])
+                yield entries(n["node_id"])
                 x.close("li")
             x.close("ol")
 
     x.open("nav", epub__type="toc", id="toc")
     x.text("h1", "Table of Contents")
-    entries(None)
+    unwind(entries(None))
     x.close("nav")
     for kind, head, rows in (("landmarks", "Landmarks", [(m["title"], {"epub__type": m["epub_type"], "href": m["href"]}) for m in landmarks]), ("page-list", "Page List", [(p["name"], {"href": p["href"]}) for p in pages])):
         if rows:
@@ -238,18 +240,18 @@ def ncx_text(book: dict, toc: list[dict], pages: list[dict]) -> str:
     label("docTitle", book.get("title") or "Untitled")
     below, order = _children(toc), 0
 
-    def points(parent: int | None) -> None:
+    def points(parent: int | None) -> Iterator:
         nonlocal order
         for n in below.get(parent, []):
             order += 1
             x.open("navPoint", id=f"navPoint-{order}", playOrder=order)
             label("navLabel", n["title"])
             x.empty("content", src=n["href"])
-            points(n["node_id"])
+            yield points(n["node_id"])
             x.close("navPoint")
 
     x.open("navMap")
-    points(None)
+    unwind(points(None))
     x.close("navMap")
     if pages:
         x.open("pageList")

@@ -85,11 +85,11 @@ def search(html: str, base: str, pattern: str, ignore_case: bool = False) -> lis
     out = []
     for n in text_nodes(html):
         text = n["text"]
-        raw = None
+        raw, at, b = None, 0, 0  # b: bytes before the character number at
         for m in find.finditer(text):
             raw = text.encode("utf-8", "surrogatepass") if raw is None else raw
-            a = len(text[: m.start()].encode("utf-8", "surrogatepass"))
-            b = a + len(m.group().encode("utf-8", "surrogatepass"))
+            a = b + len(text[at : m.start()].encode("utf-8", "surrogatepass"))
+            at, b = m.end(), a + len(m.group().encode("utf-8", "surrogatepass"))
             lo, hi = max(0, a - AROUND), min(len(raw), b + AROUND)
             while lo > 0 and raw[lo] & 0xC0 == 0x80:
                 lo -= 1
@@ -255,17 +255,25 @@ def inferred_properties(html: Column | str) -> Column:
     return F.filter(F.array(*[F.when(low.contains(mark), lit(name)) for mark, name in (("<script", "scripted"), ("<svg", "svg"), ("<math", "mathml"))]), lambda x: x.isNotNull())
 
 
-# What counts as a written reference. Attribute names are found inside longer ones too.
-_ATTRIBUTE_REF = r"""(?i)(?:src|href|poster)\s*=\s*["']([^"']+)["']"""
-_SRCSET_REF = r"""(?i)srcset\s*=\s*["']([^"']+)["']"""
-_URL_REF = r"""(?i)url\(\s*['"]?([^'")]+)['"]?\s*\)"""
+#: A name and a quoted value, wherever they stand; a value ends at either quote.
+_QUOTED = r"""([\w:-]+)\s*=\s*["']([^"']+)["']"""
+# The ends of the attribute names that refer to one file.
+REFERRING = ("src", "href", "poster")
+
+
+def _urls(text: Column) -> Column:
+    """What stands in url(...), without blanks and quotes around it; with a quote inside it is no reference."""
+    pieces = F.filter(F.slice(F.split(text, r"(?i)url\("), lit(2), F.length(text) + 1), lambda x: x.contains(")"))
+    inner = F.transform(pieces, lambda x: F.btrim(F.substring_index(x, ")", 1), lit(" \t\r\n\f'\"")))
+    return F.filter(inner, lambda x: ~x.rlike("['\"]"))
 
 
 def local_references(html: Column | str, path: Column | str) -> Column:
-    """Package paths that a chapter refers to: src, href and poster, then srcset, then url(...). Quoted values only; external and fragment-only ones are left out. Built-in functions only."""
+    """Package paths that a chapter refers to: src, href and poster (also at the end of longer names), then srcset, then url(...). Quoted values only; external and fragment-only ones are left out. Built-in functions only."""
     h = string(html)
-    found = lambda pattern: F.regexp_extract_all(h, lit(pattern), lit(1))
-    candidates = F.flatten(F.transform(found(_SRCSET_REF), lambda x: F.transform(F.split(x, ","), lambda c: F.regexp_extract(F.trim(c), r"^(\S*)", 1))))
-    every = F.transform(F.concat(found(_ATTRIBUTE_REF), candidates, found(_URL_REF)), lambda x: F.trim(x))
+    pairs = F.zip_with(F.regexp_extract_all(h, lit(_QUOTED), lit(1)), F.regexp_extract_all(h, lit(_QUOTED), lit(2)), lambda n, v: F.struct(F.lower(n).alias("n"), v.alias("v")))
+    ends = lambda names: F.transform(F.filter(pairs, lambda p: p["n"].rlike(f"({'|'.join(names)})$")), lambda p: p["v"])
+    candidates = F.flatten(F.transform(ends(["srcset"]), lambda x: F.transform(F.split(x, ","), lambda c: F.substring_index(F.regexp_replace(F.trim(c), r"\s", " "), " ", 1))))
+    every = F.transform(F.concat(ends(REFERRING), candidates, _urls(h)), lambda x: F.trim(x))
     local = F.filter(every, lambda x: (x != "") & ~x.startswith("#") & ~paths.is_external(x))
     return F.transform(local, lambda x: paths.normalize(paths.dir_of(path), x))

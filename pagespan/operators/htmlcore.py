@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections.abc import Iterator
 from html.entities import html5
 
+from ..functions.deep import unwind
+
 SPACE = " \t\n\r\f"
 # Elements by how the tree rules treat them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -817,7 +820,7 @@ def serialize(node: Node) -> str:
     """Children of a node as HTML."""
     out: list[str] = []
 
-    def one(n: Node) -> None:
+    def one(n: Node) -> Iterator:
         if n.name == "#text":
             raw = n.parent is not None and (n.parent.name in RAW_TEXT or n.parent.name in ("noscript", "plaintext"))
             out.append(n.data if raw else re.sub("[& <>]", lambda m: _ESCAPES[m.group()], n.data))
@@ -829,11 +832,11 @@ def serialize(node: Node) -> str:
             if n.name in VOID:
                 return
             for c in n.children:
-                one(c)
+                yield one(c)
             out.append(f"</{n.name}>")
 
     for c in node.children:
-        one(c)
+        unwind(one(c))
     return "".join(out)
 
 

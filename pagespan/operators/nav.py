@@ -7,12 +7,14 @@ a list's entries in pre-order, so a parent comes before its children and a tree
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import paths
+from ..functions.deep import unwind
 from ..functions.media import clock_seconds, media_fragment
 from ..functions.types import Udf, lit, string
 from . import css, htmlcore, xmlcore
@@ -28,7 +30,7 @@ def _resolve(base: str, href: str) -> str:
     return css.fold(base, path) + mark + fragment
 
 
-def _list(ol: htmlcore.Node, base: str, out: list[dict], kind: str, parent: int | None, depth: int) -> None:
+def _list(ol: htmlcore.Node, base: str, out: list[dict], kind: str, parent: int | None, depth: int) -> Iterator:
     ord_ = 0
     for li in ol.children:
         link = li.first("a") if li.name == "li" else None
@@ -42,7 +44,7 @@ def _list(ol: htmlcore.Node, base: str, out: list[dict], kind: str, parent: int
         ord_ += 1
         below = li.first("ol")
         if below is not None:
-            _list(below, base, out, kind, me, depth + 1)
+            yield _list(below, base, out, kind, me, depth + 1)
 
 
 def nav_nodes(html: str, base: str) -> list[dict]:
@@ -54,7 +56,7 @@ def nav_nodes(html: str, base: str) -> list[dict]:
         ol = nav.first("ol")
         for kind in [t.removeprefix("epub:") for t in nav.attrs.get("epub:type", "").split()] if ol is not None else []:
             rows: list[dict] = []
-            _list(ol, base, rows, kind, None, 0)
+            unwind(_list(ol, base, rows, kind, None, 0))
             if rows and kind in LISTS:
                 found[kind] = rows
     if "toc" not in found:
@@ -62,7 +64,7 @@ def nav_nodes(html: str, base: str) -> list[dict]:
         ol = nav.first("ol") if nav is not None else None
         if ol is not None:
             rows = []
-            _list(ol, base, rows, "toc", None, 0)
+            unwind(_list(ol, base, rows, "toc", None, 0))
             found["toc"] = rows
     return [r for kind in LISTS for r in found.get(kind, [])]
 
@@ -72,6 +74,7 @@ def ncx_nodes(xml: bytes | str) -> list[dict]:
     rows = xmlcore.rows(xml)
     out: list[dict] = []
     below: dict[int, list[dict]] = {}
+    counts: dict[str, int] = {}
     for r in rows:
         below.setdefault(r["parent"] if r["parent"] is not None else -1, []).append(r)
 
@@ -84,17 +87,17 @@ def ncx_nodes(xml: bytes | str) -> list[dict]:
                 href = css.decode_percent(c["attrs"].get("src", ""))
         if kind == "page-list" and not (title and href):
             return None
-        me = sum(x["list"] == kind for x in out)
+        me = counts[kind] = counts.get(kind, -1) + 1
         out.append({"list": kind, "node_id": me, "parent_id": parent, "depth": depth, "ord": ord_, "title": title, "href": href, "role": None})
         return me
 
-    def points(r: dict, parent: int | None, depth: int) -> None:
+    def points(r: dict, parent: int | None, depth: int) -> Iterator:
         for i, c in enumerate(x for x in below.get(r["ord"], []) if x["name"] == "navPoint"):
-            points(c, entry(c, "toc", parent, depth, i), depth + 1)
+            yield points(c, entry(c, "toc", parent, depth, i), depth + 1)
 
     for r in rows:
         if r["name"] == "navMap":
-            points(r, None, 0)
+            unwind(points(r, None, 0))
         elif r["name"] == "pageList":
             for i, c in enumerate(x for x in below.get(r["ord"], []) if x["name"] == "pageTarget"):
                 entry(c, "page-list", None, 0, i)
@@ -176,13 +179,17 @@ def spine_items(spine: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def spine_of_href(asked: DataFrame, chapters: DataFrame, href: str = "href") -> DataFrame:
-    """asked (pub_id, href) with spine_of: the first spine item whose href is the same, ends in it, is its end, or has the same file name (fragments don't count). The ends are compared as plain text."""
+    """asked (pub_id, href) with spine_of: the first spine item whose href is the same, ends in it, is its end, or has the same file name (fragments don't count). The ends are compared as plain text: either side is joined by equality with all ends of the other."""
     clean = lambda c: paths.before(c, "#")
+    ends = lambda c: F.explode(F.transform(F.sequence(lit(1), F.length(c) + 1), lambda i: F.substr(c, i)))
     own = chapters.where(F.col("href").isNotNull()).select(F.col("pub_id").alias("p_"), F.col("spine_index").alias("i_"), clean(F.col("href")).alias("m_"))
     want = asked.select("pub_id", F.col(href).alias("h_")).distinct().withColumn("c_", clean(F.col("h_")))
-    a, b = F.col("m_"), F.col("c_")
-    same = (a == b) | F.endswith(a, b) | F.endswith(b, a) | (paths.name_of(a) == paths.name_of(b))
-    best = want.join(own, (F.col("pub_id") == F.col("p_")) & same).groupBy("pub_id", "h_").agg(F.min("i_").alias("spine_of"))
+    whole, name = lambda c: c, paths.name_of
+    tiers = []
+    for left, right in ((whole, ends), (ends, whole), (name, name)):
+        first = own.select("p_", right(F.col("m_")).alias("k_"), "i_").groupBy("p_", "k_").agg(F.min("i_").alias("i_"))
+        tiers.append(want.select("pub_id", "h_", left(F.col("c_")).alias("w_")).join(first, (F.col("pub_id") == F.col("p_")) & (F.col("w_") == F.col("k_"))).select("pub_id", "h_", "i_"))
+    best = tiers[0].unionByName(tiers[1]).unionByName(tiers[2]).groupBy("pub_id", "h_").agg(F.min("i_").alias("spine_of"))
     return asked.join(best.withColumnRenamed("pub_id", "p_"), (F.col("pub_id") == F.col("p_")) & (F.col(href) == F.col("h_")), "left").drop("p_", "h_")
 
 
@@ -236,18 +243,42 @@ def from_tree(entries: list[dict]) -> list[dict]:
     """Nested entries as adjacency rows in pre-order."""
     out: list[dict] = []
 
-    def visit(kids: list[dict], parent: int | None, depth: int) -> None:
+    def visit(kids: list[dict], parent: int | None, depth: int) -> Iterator:
         for i, e in enumerate(kids):
             me = len(out)
             out.append({"list": "toc", "node_id": me, "parent_id": parent, "depth": depth, "ord": i, "title": e.get("title", ""), "href": e.get("href", ""), "role": e.get("role")})
-            visit(e.get("children") or [], me, depth + 1)
+            yield visit(e.get("children") or [], me, depth + 1)
 
-    visit(entries, None, 0)
+    unwind(visit(entries, None, 0))
     return out
 
 
-_tree_json = Udf(lambda rows: json.dumps(to_tree([dict(r) if isinstance(r, dict) else r.asDict() for r in rows]), ensure_ascii=False), "string")
-_json_rows = Udf(lambda text: from_tree(json.loads(text)) if text else [], f"array<{NODE}>")
+def tree_text(entries: list[dict]) -> str:
+    """Nested entries as JSON, however deep they are."""
+    out: list[str] = []
+
+    def write(kids: list[dict]) -> Iterator:
+        out.append("[")
+        for i, e in enumerate(kids):
+            own = json.dumps({k: v for k, v in e.items() if k != "children"}, ensure_ascii=False)
+            out.append((", " if i else "") + own[:-1] + (", " if len(own) > 2 else "") + '"children": ')
+            yield write(e["children"])
+            out.append("}")
+        out.append("]")
+
+    unwind(write(entries))
+    return "".join(out)
+
+
+def _rows_of(text: str | None) -> list[dict]:
+    try:
+        return from_tree(json.loads(text)) if text else []
+    except (ValueError, RecursionError):  # no JSON, or deeper than the JSON reader goes
+        return []
+
+
+_tree_json = Udf(lambda rows: tree_text(to_tree([dict(r) if isinstance(r, dict) else r.asDict() for r in rows])), "string")
+_json_rows = Udf(_rows_of, f"array<{NODE}>")
 
 
 def trees_to_json(nodes: DataFrame) -> DataFrame:
@@ -258,7 +289,7 @@ def trees_to_json(nodes: DataFrame) -> DataFrame:
 
 
 def trees_from_json(trees: DataFrame) -> DataFrame:
-    """Adjacency rows of trees (pub_id, tree)."""
+    """Adjacency rows of trees (pub_id, tree); none of text that isn't JSON or nests deeper than Python reads JSON (some thousand levels)."""
     return trees.select("pub_id", F.explode(_json_rows("tree")).alias("n")).select("pub_id", "n.*", F.col("n.node_id").alias("pre_order"))
 
 
@@ -277,7 +308,7 @@ def smil_rows(xml: bytes | str, base: str) -> list[dict]:
     at = lambda r, name: r["attrs"].get(name, r["attrs"].get("epub:" + name))
     place = lambda src: None if src is None else _resolve(base, src)
 
-    def visit(r: dict, parent: int | None) -> None:
+    def visit(r: dict, parent: int | None) -> Iterator:
         for c in kids.get(r["ord"], []):
             roles = (at(c, "type") or "").split()
             if c["name"] == "seq":
@@ -285,18 +316,18 @@ def smil_rows(xml: bytes | str, base: str) -> list[dict]:
                     continue
                 me = len(out)
                 out.append({"node_id": me, "parent_id": parent, "kind": "seq", "text_ref": place(at(c, "textref")) or "", "audio_src": None, "clip_begin": None, "clip_end": None, "role": roles})
-                visit(c, me)
+                yield visit(c, me)
             elif c["name"] == "par":
                 parts = {x["name"]: x["attrs"] for x in kids.get(c["ord"], [])}
                 words, sound = parts.get("text", {}).get("src"), parts.get("audio", {})
                 if words or sound.get("src"):
                     out.append({"node_id": len(out), "parent_id": parent, "kind": "par", "text_ref": place(words) or "", "audio_src": place(sound.get("src")), "clip_begin": sound.get("clipBegin"), "clip_end": sound.get("clipEnd"), "role": roles})
             else:
-                visit(c, parent)
+                yield visit(c, parent)
 
     for r in rows:
         if r["name"] == "body":
-            visit(r, None)
+            unwind(visit(r, None))
     return out
 
 

@@ -64,6 +64,13 @@ def best_rendition(found: DataFrame, layout: str | None = None, language: str |
     return found.groupBy("pub_id").agg(F.max_by(F.struct(*columns), order).alias("r")).select("pub_id", "r.*")
 
 
+def rendition_at(pubs: DataFrame, found: DataFrame, idx: int = 0) -> DataFrame:
+    """The rendition of that number (0: the default) of each of pubs (pub_id), with error where there is none: every publication comes back."""
+    own = found.where(F.col("idx") == idx)
+    out = pubs.select("pub_id").distinct().join(own, "pub_id", "left")
+    return out.withColumn("error", F.when(F.col("opf_path").isNull(), lit(f"no rendition {idx}")))
+
+
 def is_reflowable(layout: Column | str) -> Column:
     return F.coalesce(string(layout), lit("")) != "pre-paginated"
 

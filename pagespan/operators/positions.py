@@ -1,5 +1,6 @@
 """Reading positions: virtual pages of a publication by entry length, and look-ups between coordinates, positions and
-progressions. One join, two window sums and one explode; look-ups are equi-joins and arithmetic.
+progressions. Sums run over blocks of the spine first and inside each block then, so that no publication, however long, is
+sorted in one task; look-ups are equi-joins and arithmetic.
 
 Inputs: spine(pub_id, spine_index, idref, linear, layout_override), manifest(pub_id, id, href), lengths by pub and href.
 """
@@ -13,6 +14,8 @@ from pyspark.sql.window import Window as W
 from ..functions.types import lit, string
 
 PAGE = 1024
+#: Spine items whose positions are summed up in one task.
+BLOCK = 4096
 
 
 def position_count(length: Column | str, page: int = PAGE) -> Column:
@@ -40,9 +43,12 @@ def positions(chapters: DataFrame, page: int = PAGE) -> DataFrame:
     col = lambda name: F.col(name) if name in has else lit(None).cast("string")
     n = F.when(is_fixed(col("layout_override"), col("layout")), lit(1).cast("long")).otherwise(position_count("length", page))
     counted = chapters.where("linear").select("pub_id", "spine_index", "idref", "href", col("title").alias("title"), n.alias("n"))
-    of_pub = W.partitionBy("pub_id")
-    before = F.coalesce(F.sum("n").over(of_pub.orderBy("spine_index").rowsBetween(W.unboundedPreceding, -1)), lit(0))
-    placed = counted.withColumns({"before": before, "total": F.sum("n").over(of_pub)})
+    counted = counted.withColumn("block", F.floor(F.col("spine_index") / BLOCK))
+    sums = counted.groupBy("pub_id", "block").agg(F.sum("n").alias("n"))
+    run = F.coalesce(F.sum("n").over(W.partitionBy("pub_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), lit(0))
+    sums = sums.select("pub_id", "block", run.alias("start"), F.sum("n").over(W.partitionBy("pub_id")).alias("total"))
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("pub_id", "block").orderBy("spine_index").rowsBetween(W.unboundedPreceding, -1)), lit(0))
+    placed = counted.withColumn("inside", inside).join(sums, ["pub_id", "block"]).withColumn("before", F.col("start") + F.col("inside"))
     each = placed.withColumn("p", F.explode(F.sequence(lit(0).cast("long"), F.col("n") - 1)))
     share = lambda a, b: (a.cast("double") / b.cast("double")).cast("float")
     base = F.concat(lit("epubcfi(/6/"), ((F.col("spine_index") + 1) * 2).cast("string"), lit("["), F.col("idref"), lit("]!/4"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crypto, paths
 from ..functions.types import lit
+from ..storage import forget, store
 from .css import css_references, css_rewrite
 from .html import html_annotate, html_promote_styles, html_rewrite, local_references
 from .nav import comparable, fits
@@ -66,16 +67,11 @@ def read(resolved: DataFrame, entries: DataFrame, encryption: DataFrame | None =
     return out.withColumn("content", crypto.read_encrypted("content", F.coalesce("identifier", lit("")), "algorithm", hook)).drop("algorithm", "identifier")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df computed and without its lineage, which would double with each round: in spark.checkpoint.dir, if it is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def reference_closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """roots (pub_id, chapter, path) with all that they reach over edges (pub_id, path, target), as pub_id, chapter, path; each once, cycles end. A round adds what is new, until nothing is."""
-    front = seen = _cut(roots.select("pub_id", "chapter", "path").distinct())
+    """roots (pub_id, chapter, path) with all that they reach over edges (pub_id, path, target), as pub_id, chapter, path; each once, cycles end. A round adds what is new, until nothing is; its front is stored, so that no round runs again in the next."""
+    front = seen = store(roots.select("pub_id", "chapter", "path").distinct(), "front")
     while front.limit(1).count():
-        front = _cut(front.join(edges, ["pub_id", "path"]).select("pub_id", "chapter", F.col("target").alias("path")).distinct().join(seen, ["pub_id", "chapter", "path"], "left_anti"))
+        front = store(front.join(edges, ["pub_id", "path"]).select("pub_id", "chapter", F.col("target").alias("path")).distinct().join(seen, ["pub_id", "chapter", "path"], "left_anti"), "front")
         seen = seen.unionByName(front)
     return seen
 
@@ -88,7 +84,8 @@ def prepare(chapters: DataFrame, resources: DataFrame, max_bytes: int = MAX_INLI
     typed = resources.select("pub_id", "path", "content", paths.resolve_media_type("path", "media_type").alias("type"), F.octet_length("content").alias("size"))
     start = chapters.select("pub_id", "chapter", F.explode(F.array_distinct(local_references("html", "path"))).alias("path"))
     sheets = typed.where((F.col("type") == "text/css") & (F.col("size") <= max_bytes)).select("pub_id", "path", F.col("content").cast("string").alias("css"))
-    edges = _cut(sheets.select("pub_id", "path", F.explode(F.array_distinct(css_references("css", "path"))).alias("target")))
+    sheets = store(sheets, "sheets")
+    edges = store(sheets.select("pub_id", "path", F.explode(F.array_distinct(css_references("css", "path"))).alias("target")), "edges")
     reach = reference_closure(start, edges)
     state = F.when(F.col("size").isNull(), "missing").when(F.col("size") > max_bytes, "skipped_oversize").when(paths.inlineable("type"), "inlined").otherwise("skipped_type")
     known = reach.join(typed.select("pub_id", "path", "type", "size"), ["pub_id", "path"], "left").withColumn("state", state)
@@ -101,8 +98,9 @@ def prepare(chapters: DataFrame, resources: DataFrame, max_bytes: int = MAX_INLI
         ready = left.join(open_, ["pub_id", "path"], "left_anti")
         if not ready.limit(1).count():
             break
-        done = done.unionByName(_cut(_sheet_uris(ready, edges, done)))
-        left = _cut(left.join(open_, ["pub_id", "path"], "left_semi"))
+        done = done.unionByName(store(_sheet_uris(ready, edges, done), "uris"))
+        left, before = store(left.join(open_, ["pub_id", "path"], "left_semi"), "sheets"), left
+        forget(before)
     done = done.unionByName(_sheet_uris(left, edges, done))
     urls = reach.join(done, ["pub_id", "path"]).groupBy("pub_id", "chapter").agg(F.map_from_entries(F.collect_list(F.struct("path", "uri"))).alias("urls"))
     html = F.col("html") if base is None else html_annotate("html", F.col(base))

@@ -21,6 +21,11 @@ def search_chapters(chapters: DataFrame, pattern: str, ignore_case: bool = False
     return found.select("pub_id", "spine_index", "manifest_id", "hit_ord", "hit.excerpt", "hit.cfi")
 
 
+def search_literal(chapters: DataFrame, text: str) -> DataFrame:
+    """Every place of a text as it is written, case and all; an empty text is nowhere."""
+    return search_chapters(chapters if text else chapters.limit(0), re.escape(text))
+
+
 def search_books(chapters: DataFrame, query: str, per_chapter: int = PER_CHAPTER, total: int = TOTAL, case_insensitive: bool = True, include_non_linear: bool = False) -> DataFrame:
     """Literal search with limits: the first hits of each chapter and then of each publication, in spine order. 0 is the default limit; a blank query finds nothing."""
     wanted = query.strip()

@@ -59,5 +59,5 @@ def toc_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = before.select("r_regionkey", (F.sum("c").over(W.orderBy("r_regionkey")) - F.col("c")).alias("start"))  # a row for each region
     out = rows.withColumn("i", F.row_number().over(regions)).join(F.broadcast(start), "r_regionkey").withColumn("node_id", (F.col("start") + F.col("i") - 1).cast("int"))
     up = out.where("depth < 2").select(F.col("r_regionkey").alias("pr"), F.col("nk").alias("pn"), F.col("depth").alias("pd"), F.col("node_id").alias("parent_id"))
-    joined = out.join(F.broadcast(up), (F.col("depth") == F.col("pd") + 1) & (F.col("r_regionkey") == F.col("pr")) & ((F.col("pd") == 0) | (F.col("nk") == F.col("pn"))), "left")
+    joined = out.join(up, (F.col("depth") == F.col("pd") + 1) & (F.col("r_regionkey") == F.col("pr")) & ((F.col("pd") == 0) | (F.col("nk") == F.col("pn"))), "left")
     return joined.select(lit(1).alias("pub_id"), lit("toc").alias("list"), "node_id", "parent_id", "depth", F.col("node_id").alias("pre_order"), "title", "href")

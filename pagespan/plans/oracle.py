@@ -77,7 +77,7 @@ ORACLE: dict[str, str] = {
     "data_uri": f"WITH {_CONV} SELECT pub_id, spine_index, 'data:application/xhtml+xml;base64,' || to_base64(encode(body)) AS uri FROM conv",
     "rendition_best": "WITH r AS (SELECT o_custkey AS pub_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS idx, 'opf' || o_orderkey AS opf_path, CASE WHEN o_orderkey % 3 IN (1, 2) THEN 2 ELSE 0 END + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS score FROM orders) SELECT pub_id, idx, opf_path FROM r QUALIFY row_number() OVER (PARTITION BY pub_id ORDER BY score DESC, CASE WHEN score > 0 THEN -idx ELSE idx END) = 1",
     "reading_direction": "SELECT doc_id, CASE WHEN doc_id % 11 = 0 OR doc_id % 7 = 0 OR lang IN ('ar', 'fa', 'he', 'ur') THEN 'rtl' ELSE 'ltr' END AS direction FROM documents",
-    "series_primary": "WITH p AS (SELECT * FROM part WHERE p_partkey % 50 < 3), b AS (SELECT DISTINCT p_brand AS pub_id FROM p), s AS (SELECT p_brand AS pub_id, arg_min(p_name, p_partkey) AS series_name, arg_min(p_size, p_partkey)::DOUBLE AS series_position FROM p WHERE p_size % 2 = 0 GROUP BY 1) SELECT pub_id, series_name, series_position FROM b LEFT JOIN s USING (pub_id)",
+    "series_primary": "WITH p AS (SELECT *, (p_partkey // 3)::BIGINT AS pub_id FROM part), b AS (SELECT DISTINCT pub_id FROM p), s AS (SELECT pub_id, arg_min(p_name, p_partkey) AS series_name, arg_min(p_size, p_partkey)::DOUBLE AS series_position FROM p WHERE p_size % 2 = 0 GROUP BY 1) SELECT pub_id, series_name, series_position FROM b LEFT JOIN s USING (pub_id)",
     "epub_roundtrip_metadata": f"WITH {_CONV} SELECT pub_id, regexp_replace(array_to_string(string_split(body, ' ')[1:4], ' '), '^\\s+|\\s+$', '', 'g') AS title, 'urn:conv:' || pub_id AS identifier, 'en' AS language, '2024-01-01T00:00:00Z' AS modified, 'reflowable' AS layout FROM conv WHERE spine_index = 0",
     "epub_roundtrip_spine": f"WITH {_CONV} SELECT pub_id, spine_index, idref, linear, href, 'application/xhtml+xml' AS media_type FROM conv",
     "epub_roundtrip_bytes": f"WITH {_CONV}, d AS (SELECT pub_id, 'OEBPS/' || href AS path, '<html><head></head><body><p>' || {_MASKED} || '</p></body></html>' AS html FROM conv) SELECT pub_id, path, strlen(html)::BIGINT AS length, md5(html) AS md5 FROM d",
@@ -116,14 +116,14 @@ SELECT pub_id, id, href, media_type FROM t WHERE tier IS NOT NULL QUALIFY row_nu
     "toc_flatten": f"WITH {_TREE} SELECT node_id, parent_id, depth, title, href FROM tree",
     "toc_depth": f"WITH {_TREE} SELECT 1 AS pub_id, depth, count(*) AS entries, count(DISTINCT parent_id) AS parents FROM tree GROUP BY depth",
     "smil_chain": f"WITH {_CONV}, s AS (SELECT pub_id, spine_index, href, 'OEBPS/smil/ov' || spine_index || '.smil' AS smil_path FROM conv WHERE linear AND spine_index % 2 = 0) SELECT pub_id, spine_index, href, smil_path, lag(smil_path) OVER w AS prev_smil, lead(smil_path) OVER w AS next_smil FROM s WINDOW w AS (PARTITION BY pub_id ORDER BY spine_index)",
-    "validate_packages": """WITH b AS (SELECT c_custkey AS pub_id, CASE WHEN c_nationkey % 5 <> 0 THEN c_name END AS title, CASE WHEN c_nationkey % 3 = 0 THEN ' ' ELSE c_mktsegment END AS identifier, CASE WHEN c_nationkey % 4 = 0 THEN 'o' || c_custkey END AS cover_id FROM customer WHERE c_custkey % 10 = 0),
+    "validate_packages": """WITH b AS (SELECT c_custkey AS pub_id, CASE WHEN c_nationkey % 5 <> 0 THEN c_name END AS title, CASE WHEN c_nationkey % 3 = 0 THEN ' ' ELSE c_mktsegment END AS identifier, CASE WHEN c_nationkey % 4 = 0 THEN 'o' || c_custkey END AS cover_id FROM customer),
 o AS (SELECT o_custkey AS pub_id, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, o_orderstatus AS st FROM orders WHERE o_custkey IN (SELECT pub_id FROM b)),
-e AS (SELECT pub_id, 0 AS ord, 'Missing mandatory metadata: <dc:title>' AS message FROM b WHERE title IS NULL
-UNION ALL SELECT pub_id, 1000000, 'Missing mandatory metadata: <dc:identifier>' FROM b WHERE identifier = ' '
-UNION ALL SELECT pub_id, 3000000, 'The spine (reading order) is completely empty.' FROM b WHERE pub_id NOT IN (SELECT pub_id FROM o WHERE k % 4 <> 0)
-UNION ALL SELECT pub_id, 4000000 + i, 'Spine item idref ''o' || k || ''' does not exist in resources.' FROM o WHERE k % 4 <> 0 AND st = 'F'
-UNION ALL SELECT pub_id, 5000000 + i, 'TOC entry ''o' || k || ''' points to missing file: o' || k || '.x' FROM o WHERE k % 3 = 0 AND st = 'F'
-UNION ALL SELECT pub_id, 6000000, 'Cover image id ''' || cover_id || ''' is missing in resources.' FROM b WHERE cover_id IS NOT NULL AND (pub_id, cover_id) NOT IN (SELECT (pub_id, 'o' || k) FROM o WHERE st <> 'F'))
+e AS (SELECT pub_id, 0 AS ord, 'title is blank' AS message FROM b WHERE title IS NULL
+UNION ALL SELECT pub_id, 1000000, 'identifier is blank' FROM b WHERE identifier = ' '
+UNION ALL SELECT pub_id, 3000000, 'reading order has no items' FROM b WHERE pub_id NOT IN (SELECT pub_id FROM o WHERE k % 4 <> 0)
+UNION ALL SELECT pub_id, 4000000 + i, 'reading order: no resource with id o' || k FROM o WHERE k % 4 <> 0 AND st = 'F'
+UNION ALL SELECT pub_id, 5000000 + i, 'table of contents: no file o' || k || '.x for entry o' || k FROM o WHERE k % 3 = 0 AND st = 'F'
+UNION ALL SELECT pub_id, 6000000, 'cover: no resource with id ' || cover_id FROM b WHERE cover_id IS NOT NULL AND (pub_id, cover_id) NOT IN (SELECT (pub_id, 'o' || k) FROM o WHERE st <> 'F'))
 SELECT pub_id, ord::INT AS ord, message FROM e""",
     "corpus_audit": "WITH p AS (SELECT (page_id // 10)::BIGINT AS pub_id, CASE WHEN contains(html, '</body></html>') THEN 'ok' WHEN page_id % 2 = 0 THEN 'retry' ELSE 'fail' END AS outcome FROM pages) SELECT pub_id, count(*) FILTER (outcome = 'ok') AS ok, count(*) FILTER (outcome = 'retry') AS retry, count(*) FILTER (outcome = 'fail') AS fail, count(*) AS chapters, grouping(pub_id)::INT AS is_total, round(100.0 * count(*) FILTER (outcome <> 'fail') / count(*), 2)::DOUBLE AS usable_pct FROM p GROUP BY ROLLUP (pub_id)",
     "idpf_key": "SELECT c_custkey, sha1('urn:' || regexp_replace(c_name, '\\s', '', 'g') || c_mktsegment) AS key FROM customer",
@@ -133,7 +133,7 @@ SELECT pub_id, ord::INT AS ord, message FROM e""",
 SELECT l_orderkey, l_linenumber, seconds, 'a.mp3' || CASE WHEN seconds IS NULL THEN '' ELSE '#t=0.000,' || format('{:.3f}', seconds) END AS fragment FROM s""",
     "chapter_search_counts": rf"WITH {_PAGES}, t AS (SELECT pub_id, spine_index, len(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->|<[^>]*>', chr(1), 'g'), 'margin|[0-9]+')) AS hits FROM pb) SELECT pub_id, spine_index, hits FROM t WHERE hits > 0",
     "book_search_capped": rf"WITH {_PAGES}, t AS (SELECT pub_id, spine_index, row_number() OVER (PARTITION BY pub_id ORDER BY spine_index) AS k FROM pb WHERE regexp_matches(regexp_replace(html, '(?s)<!--.*?-->|<[^>]*>', chr(1), 'g'), '(?i)example\.')) SELECT pub_id, count(*) AS hits, min(spine_index) AS first_chapter, max(spine_index) AS last_chapter FROM t WHERE k <= 4 GROUP BY 1",
-    "prepare_stats": f"WITH {_PAGES}, p AS (SELECT *, page_id % 4 AS k FROM pb WHERE pub_id < 20) SELECT pub_id, idref AS chapter, CASE WHEN k = 0 THEN 4 ELSE 5 END::BIGINT AS considered, CASE WHEN k = 3 THEN 4 ELSE 3 END::BIGINT AS inlined, (k = 1)::BIGINT AS skipped_oversize, (k = 2)::BIGINT AS missing, 1::BIGINT AS skipped_type, CASE WHEN k IN (0, 3) THEN 3 ELSE 2 END::BIGINT AS data_uris FROM p",
+    "prepare_stats": f"WITH {_PAGES}, p AS (SELECT *, page_id % 4 AS k FROM pb) SELECT pub_id, idref AS chapter, CASE WHEN k = 0 THEN 4 ELSE 5 END::BIGINT AS considered, CASE WHEN k = 3 THEN 4 ELSE 3 END::BIGINT AS inlined, (k = 1)::BIGINT AS skipped_oversize, (k = 2)::BIGINT AS missing, 1::BIGINT AS skipped_type, CASE WHEN k IN (0, 3) THEN 3 ELSE 2 END::BIGINT AS data_uris FROM p",
     "stream_positions": f"WITH {_CONV} SELECT pub_id, spine_index, {_count(1024)} AS n FROM conv WHERE linear",
     "toc_json": f"WITH {_TREE} SELECT node_id, parent_id, depth, title, href FROM tree",
     "positions_nav_titles": f"WITH {_CONV}, {_WORDS} SELECT pub_id, spine_index, title, NULL::VARCHAR AS strict_title FROM words",

@@ -12,6 +12,7 @@ from ..functions import a11y, coords, crypto, media, paths
 from ..functions.types import lit
 from ..operators import css, generate, html, nav, opf, positions, resolve, search
 from ..sources import packages
+from ..storage import store
 from .corpus import conv_books, doc_books, page_books, table, toc_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,8 +132,8 @@ def cfi_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cfi_resolve_xpath(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = coords.cfi_resolve("c")["start"]
-    return _parsed(spark, sf_dir).select("pub_id", "cfi", r["spine_index"].alias("spine_index"), r["xpath"].alias("xpath"), r["xpath_ns_agnostic"].alias("xpath_ns_agnostic"), r["is_text_node"].alias("is_text_node"), F.size(r["steps"]).alias("n_steps"))
+    r = _parsed(spark, sf_dir).select("pub_id", "cfi", coords.cfi_resolve("c").alias("r")).select("pub_id", "cfi", "r.start")
+    return r.select("pub_id", "cfi", "start.spine_index", "start.xpath", "start.xpath_ns_agnostic", "start.is_text_node", F.size("start.steps").alias("n_steps"))
 
 
 @query
@@ -238,9 +239,10 @@ def reading_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def series_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three parts a book, their collections in the order of their keys."""
     p = table(spark, sf_dir, "part")
     entry = F.struct(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 2 == 0, "series").otherwise("set").alias("collection_type"), F.col("p_size").cast("double").alias("position"))
-    books = p.where("p_partkey % 50 < 3").groupBy(F.col("p_brand").alias("pub_id")).agg(F.sort_array(F.collect_list(entry)).alias("belongs_to"))
+    books = p.groupBy(F.floor(F.col("p_partkey") / 3).cast("long").alias("pub_id")).agg(F.sort_array(F.collect_list(entry)).alias("belongs_to"))
     s = opf.series("belongs_to")
     return books.select("pub_id", s["name"].alias("series_name"), s["position"].alias("series_position"))
 
@@ -262,14 +264,14 @@ def _entries(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 @query
 def epub_roundtrip_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _entries(spark, sf_dir, names=["META-INF/container.xml", "OEBPS/content.opf"])
+    e = store(_entries(spark, sf_dir, names=["META-INF/container.xml", "OEBPS/content.opf"]), "entries")
     m = opf.metadata(opf.packages(e, opf.renditions(e)))
     return m.select("pub_id", "title", "identifier", "language", "modified", "layout")
 
 
 @query
 def epub_roundtrip_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _entries(spark, sf_dir, names=["META-INF/container.xml", "OEBPS/content.opf"])
+    e = store(_entries(spark, sf_dir, names=["META-INF/container.xml", "OEBPS/content.opf"]), "entries")
     p = opf.packages(e, opf.renditions(e))
     return nav.spine_items(opf.spine(p), opf.manifest(p)).select("pub_id", "spine_index", "idref", "linear", "href", "media_type")
 
@@ -282,7 +284,7 @@ def epub_roundtrip_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def epub_roundtrip_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _entries(spark, sf_dir)
+    e = store(_entries(spark, sf_dir, names=["META-INF/container.xml", "OEBPS/content.opf", "OEBPS/nav.xhtml", "OEBPS/toc.ncx"]), "entries")
     p = opf.packages(e, opf.renditions(e))
     return nav.navigation(e, opf.manifest(p), opf.metadata(p)).select("pub_id", "list", "node_id", "depth", "title", "href")
 
@@ -421,13 +423,14 @@ def ref_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def prepare_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that refer to images and a style sheet made up from their number; some are missing, too large or of another type."""
-    p = page_books(spark, sf_dir).where("pub_id < 20")
+    p = page_books(spark, sf_dir)
     k = F.col("page_id") % 4
     page = F.concat(lit("<html><head><link rel='stylesheet' href='../s.css'></head><body><img src='../a"), k.cast("string"), lit(".png'><a href='../b.xhtml'>x</a></body></html>"))
     chapters = p.select("pub_id", F.col("idref").alias("chapter"), F.concat(lit("t/"), "idref", lit(".xhtml")).alias("path"), page.alias("html"))
-    pubs = p.select("pub_id").distinct()
-    files = spark.createDataFrame([("s.css", b"@import 'n.css'; p{b:url(a0.png)}"), ("n.css", b"q{}"), ("a0.png", b"png"), ("a1.png", b"x" * 3000), ("b.xhtml", b"<p>"), ("a3.png", b"ok")], "path string, content binary")
-    out = resolve.prepare(chapters, pubs.join(F.broadcast(files)).withColumn("media_type", lit(None).cast("string")), max_bytes=1000)
+    files = {"s.css": "@import 'n.css'; p{b:url(a0.png)}", "n.css": "q{}", "a0.png": "png", "a1.png": "x" * 3000, "b.xhtml": "<p>", "a3.png": "ok"}
+    each = F.explode(F.array(*[F.struct(lit(k).alias("path"), lit(v).cast("binary").alias("content")) for k, v in files.items()]))
+    resources = p.select("pub_id").distinct().select("pub_id", each.alias("f")).select("pub_id", "f.*", lit(None).cast("string").alias("media_type"))
+    out = resolve.prepare(chapters, resources, max_bytes=1000)
     return out.select("pub_id", "chapter", "stats.*", F.regexp_count("prepared", lit("data:")).cast("long").alias("data_uris"))
 
 
@@ -565,7 +568,7 @@ def smil_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def validate_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books of customers with the orders as resources; what isn't there is reported."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0")
+    c = table(spark, sf_dir, "customer")
     o = table(spark, sf_dir, "orders")
     books = c.select(F.col("c_custkey").alias("pub_id"), F.when(F.col("c_nationkey") % 5 != 0, F.col("c_name")).alias("title"), F.when(F.col("c_nationkey") % 3 == 0, " ").otherwise(F.col("c_mktsegment")).alias("identifier"), lit("en").alias("language"), F.when(F.col("c_nationkey") % 4 == 0, F.concat(lit("o"), _text("c_custkey"))).alias("cover_id"))
     keys = books.select("pub_id")

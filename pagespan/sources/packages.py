@@ -6,10 +6,13 @@ so that lengths are known before anything is inflated.
 
 from __future__ import annotations
 
+import glob
 import io
+import os
 import zipfile
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +27,8 @@ ERRORS = "pub_id string, kind string, message string"
 # Image extensions that stand in for one another.
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "webp", "bmp")
 MIMETYPE = b"application/epub+zip"
+#: What a damaged archive can raise.
+DAMAGE = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, ValueError, OSError)
 
 
 def read_archives(spark: SparkSession, path: str, glob: str = "*.epub") -> DataFrame:
@@ -59,7 +64,7 @@ def entries(archives: DataFrame, content: bool = True, names: list[str] | None =
             for pub, raw in zip(b.column("pub_id"), b.column("content"), strict=True):
                 try:
                     rows = list(_open(pub.as_py(), raw.as_py() or b"", wanted, content))
-                except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
+                except DAMAGE:
                     continue
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, schema.types, strict=True)], schema=schema)
 
@@ -73,7 +78,7 @@ def unreadable(archives: DataFrame) -> DataFrame:
         try:
             with zipfile.ZipFile(io.BytesIO(raw or b"")) as z:
                 z.testzip()
-        except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as e:
+        except DAMAGE as e:
             return str(e) or type(e).__name__
         return None
 
@@ -110,45 +115,73 @@ class _Part(InputPartition):
         self.path = path
 
 
+def _mounted(path: str) -> str:
+    """A folder that every machine has mounted; other stores are for read_archives()."""
+    path = path.removeprefix("file://").removeprefix("file:")
+    if "://" in path:
+        raise ValueError(f"{path}: format('epub') needs a mounted folder; read_archives() reads any store")
+    return path.rstrip("/")
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.content = options["path"], options.get("content", "true").lower() == "true"
+        self.path, self.content = _mounted(options["path"]), options.get("content", "true").lower() == "true"
 
     def partitions(self) -> list[_Part]:
-        import glob
-
-        return [_Part(p) for p in sorted(glob.glob(f"{self.path.rstrip('/')}/*.epub"))]
+        return [_Part(p) for p in sorted(glob.glob(f"{glob.escape(self.path)}/*.epub"))]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        import os
-
         with open(partition.path, "rb") as f:
-            yield from _open(os.path.basename(partition.path).removesuffix(".epub"), f.read(), None, self.content)
+            raw = f.read()
+        try:
+            rows = list(_open(unquote(os.path.basename(partition.path).removesuffix(".epub")), raw, None, self.content))
+        except DAMAGE:  # as in entries(); unreadable() tells why
+            return
+        yield from rows
 
 
 class _Message(WriterCommitMessage):
-    pass
+    def __init__(self, written: list[str]):
+        self.written = written
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    """Archives are written beside their place and moved there when all tasks are done; overwriting removes the others."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite = _mounted(options["path"]), overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        import os
+        from pyspark import TaskContext
 
         os.makedirs(self.path, exist_ok=True)
+        written, attempt = [], TaskContext.get().taskAttemptId()
         for b in batches:
-            for pub, raw in zip(b.column("pub_id"), b.column("content"), strict=True):
-                name = f"{self.path.rstrip('/')}/{str(pub.as_py()).replace('/', '_')}.epub"
-                with open(f"{name}.part", "wb") as f:
-                    f.write(raw.as_py())
-                os.replace(f"{name}.part", name)
-        return _Message()
+            for pub, raw in zip(b.column("pub_id").to_pylist(), b.column("content").to_pylist(), strict=True):
+                if pub is None or raw is None:
+                    continue
+                name = f"{self.path}/{quote(str(pub), safe=' ')}.epub"
+                with open(f"{name}.{attempt}.part", "wb") as f:
+                    f.write(raw)
+                written.append(f"{name}.{attempt}.part")
+        return _Message(written)
+
+    def commit(self, messages: list[_Message | None]) -> None:
+        parts = [x for m in messages if m for x in m.written]
+        if self.overwrite:
+            for old in glob.glob(f"{glob.escape(self.path)}/*.epub"):
+                os.remove(old)
+        for x in parts:
+            os.replace(x, x.rsplit(".", 2)[0])
+
+    def abort(self, messages: list[_Message | None]) -> None:
+        for x in [x for m in messages if m for x in m.written]:
+            if os.path.exists(x):
+                os.remove(x)
 
 
 class PackageSource(DataSource):
-    """format("epub"): reads a mounted folder of archives as entries; writes rows (pub_id, content) as one archive each. For remote stores use read_archives()."""
+    """format("epub"): reads a folder of archives, mounted on every machine, as entries; writes rows (pub_id, content) as one archive each, named by the quoted id. Rows without id or content write none, archives that can't be read give no rows. For other stores use read_archives()."""
 
     @classmethod
     def name(cls) -> str:
@@ -161,4 +194,4 @@ class PackageSource(DataSource):
         return _Reader(self.options)
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options)
+        return _Writer(self.options, overwrite)

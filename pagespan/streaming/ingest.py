@@ -4,11 +4,6 @@ stream needs no watermark; only dropping packages that come again does.
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..operators.positions import PAGE, position_count
 from ..sources.packages import entries
+from ..storage import fresh_path
 
 
 def stream_archives(spark: SparkSession, folder: str, glob: str = "*.epub") -> DataFrame:
@@ -41,20 +37,10 @@ def chapter_counts(chapters: DataFrame, page: int = PAGE) -> DataFrame:
     return chapters.where("linear").select("pub_id", "spine_index", position_count("length", page).alias("n"))
 
 
-def work_folder(spark: SparkSession) -> str:
-    """The shared folder of the session, or one of our own where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/pagespan-stream-{uuid.uuid4().hex[:12]}"
-    own = tempfile.mkdtemp(prefix="pagespan-stream-")
-    atexit.register(shutil.rmtree, own, True)
-    return os.path.join(own, "run")
-
-
 def run_available(spark: SparkSession, schema: T.StructType, path: str, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """f over all that is at path now, as a stream that stops when it has read it; the result is the sink's table. A pattern lets single files be a source too."""
     folder, name = path.rsplit("/", 1)
     source = spark.readStream.schema(schema).parquet(f"{folder}/{name[:-1]}[{name[-1]}]")
-    out, at = f(source), work_folder(spark)
+    out, at = f(source), fresh_path(spark, "stream")
     out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out")

@@ -239,8 +239,8 @@ def test_validate(spark):
     bad = b.withColumn("title", F.lit("  ")).unionByName(b.withColumn("pub_id", F.lit("n")))
     got = [(r["pub_id"], r["message"]) for r in generate.validate(bad, resources, order, toc).orderBy("pub_id", "ord").collect()]
     assert got == [
-        ("b", "Missing mandatory metadata: <dc:title>"), ("b", "Spine item idref 'ghost' does not exist in resources."), ("b", "TOC entry 'Lost' points to missing file: text/none.xhtml"), ("b", "Cover image id 'img' is missing in resources."),
-        ("n", "The spine (reading order) is completely empty."), ("n", "Cover image id 'img' is missing in resources."),
+        ("b", "title is blank"), ("b", "reading order: no resource with id ghost"), ("b", "table of contents: no file text/none.xhtml for entry Lost"), ("b", "cover: no resource with id img"),
+        ("n", "reading order has no items"), ("n", "cover: no resource with id img"),
     ]
 
 
@@ -259,12 +259,46 @@ def test_source_and_sink(spark, tmp_path):
     got = spark.read.format("epub").load(str(tmp_path))
     assert {(r["pub_id"], r["path"]) for r in got.select("pub_id", "path").collect()} == {("one", k) for k in FILES} | {("two", "a")}
     assert packages.read_archives(spark, str(tmp_path)).count() == 2
+    alike = spark.createDataFrame([("a/b", archive({"x": "1"})), ("a_b", archive({"x": "22"})), ("bad", b"no zip"), ("none", None), (None, b"")], "pub_id string, content binary")
+    alike.write.format("epub").mode("overwrite").option("path", str(tmp_path)).save()
+    assert {(r["pub_id"], r["path"], r["length"]) for r in spark.read.format("epub").load(str(tmp_path)).collect()} == {("a/b", "x", 1), ("a_b", "x", 2)}
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["a%2Fb.epub", "a_b.epub", "bad.epub"]
+    with pytest.raises(Exception, match="mounted"):
+        spark.read.format("epub").load("s3a://books").count()
     folder = tmp_path / "root" / "bk"
     (folder / "OEBPS").mkdir(parents=True)
     (folder / "OEBPS" / "x.txt").write_text("hi")
     assert [tuple(r)[:4] for r in packages.read_folder(spark, str(tmp_path / "root")).collect()] == [("bk", "OEBPS/x.txt", None, 2)]
 
 
+def test_rendition_at(spark, entries):
+    found = opf.renditions(entries)
+    pubs = spark.createDataFrame([("b",), ("none",)], "pub_id string")
+    got = {(r["pub_id"], i): (r["opf_path"], r["error"]) for i in (0, 2, 9) for r in opf.rendition_at(pubs, found, i).collect()}
+    assert got == {("b", 0): ("OEBPS/content.opf", None), ("b", 2): ("C/c.opf", None), ("b", 9): (None, "no rendition 9"), ("none", 0): (None, "no rendition 0"), ("none", 2): (None, "no rendition 2"), ("none", 9): (None, "no rendition 9")}
+
+
+def test_search_literal(spark):
+    c = spark.createDataFrame([("b", 0, "c", "<p>a.b A.B a.b</p>")], "pub_id string, spine_index int, idref string, html string")
+    assert search.search_literal(c, "a.b").count() == 2 and search.search_literal(c, "").count() == 0
+
+
+def test_closure_has_no_limit(spark):
+    """A chain of 20 sheets, and one that ends in a cycle."""
+    edges = spark.createDataFrame([("b", f"s{i}", f"s{i + 1}") for i in range(20)] + [("c", "x", "y"), ("c", "y", "x")], "pub_id string, path string, target string")
+    roots = spark.createDataFrame([("b", "1", "s0"), ("c", "1", "x")], "pub_id string, chapter string, path string")
+    got = {(r["pub_id"], r["path"]) for r in resolve.reference_closure(roots, edges).collect()}
+    assert got == {("b", f"s{i}") for i in range(21)} | {("c", "x"), ("c", "y")}
+
+
+def test_positions_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(positions, "BLOCK", 4)
+    c = spark.createDataFrame([("b", i, f"i{i}", f"h{i}", i % 3 != 1, 700 * i) for i in range(30)], "pub_id string, spine_index int, idref string, href string, linear boolean, length long")
+    rows = positions.positions(c).orderBy("global_position").collect()
+    n = [max(1, -(-700 * i // 1024)) if i % 3 != 1 else 0 for i in range(30)]
+    assert [r["global_position"] for r in rows] == list(range(1, sum(n) + 1)) and [r["spine_index"] for r in rows] == [i for i in range(30) for _ in range(n[i])]
+
+
 def test_trees_as_json(spark, entries, packed):
     _, _, _, nodes = parts(entries, packed)
     tree = nav.to_tree([r.asDict() for r in nodes.where("list = 'toc'").collect()])
