@@ -60,8 +60,8 @@ def _opf(spark: SparkSession, sf_dir: str) -> DataFrame:
         some(n % 5 == 1, '<meta property="dcterms:conformsTo" id="w">EPUB  Accessibility 1.1 - WCAG 2.', _s(n % 3), ' Level AA</meta><meta property="a11y:certifiedBy" refines="#w">C', k, "</meta>"),
         some(n % 5 == 2, '<meta property="schema:accessMode">textual</meta><meta property="schema:accessModeSufficient">textual, visual</meta><meta property="schema:accessibilitySummary">s', k, "</meta>"),
     ]
-    items = _cat('<item id="i', k, '" href="a%20b/c', k, '.xhtml" media-type="application/xhtml+xml"', some(n % 7 == 0, ' media-overlay="ov"'), '/><item id="i2" href="d.xhtml" media-type="application/xhtml+xml" properties="svg  scripted"></item><item id="none"/>')
-    spine = _cat("<spine", some(n % 3 == 2, ' page-progression-direction="rtl"'), some(n % 2 == 0, ' toc="ncx', k, '"'), '><itemref idref="i', k, '" properties="', some(n % 2 == 0, "rendition:layout-pre-paginated "), 'page-spread-left"/><itemref idref="i2" linear="no" properties="rendition:page-spread-center"/></spine>')
+    items = _cat('<item id="i', k, '" href="a%20b/c', k, '.xhtml" media-type="application/xhtml+xml"', some(n % 7 == 0, ' media-overlay="ov"'), '/><item id="last" href="d.xhtml" media-type="application/xhtml+xml" properties="svg  scripted"></item><item id="none"/>')
+    spine = _cat("<spine", some(n % 3 == 2, ' page-progression-direction="rtl"'), some(n % 2 == 0, ' toc="ncx', k, '"'), '><itemref idref="i', k, '" properties="', some(n % 2 == 0, "rendition:layout-pre-paginated "), 'page-spread-left"/><itemref idref="last" linear="no" properties="rendition:page-spread-center"/></spine>')
     marks = _cat('<guide><reference type="', F.when(n % 2 == 0, "text").otherwise("cover"), '" href="a%20b/c', k, '.xhtml#s" title="', segment, '"/><reference type="" href="x"/></guide>')
     text = F.concat(lit('<?xml version="1.0"?><package version="3.0" unique-identifier="uid"><metadata xmlns:dc="d">'), *meta, lit("</metadata><manifest>"), items, lit("</manifest>"), spine, marks, lit("</package>"))
     return c.select(F.col("c_custkey").alias("pub_id"), lit("OEBPS/content.opf").alias("path"), F.encode(text, "UTF-8").alias("content"))
@@ -122,7 +122,7 @@ def opf_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return opf.guide(_packed(spark, sf_dir))
 
 
-@query(f"WITH {_CUSTOMER} SELECT k AS pub_id, 0 AS spine_index, 'i' || k AS idref, true AS linear, CASE WHEN n % 2 = 0 THEN 'pre-paginated' END AS layout_override, 'left' AS page_spread, 'a b/c' || k || '.xhtml' AS href FROM c UNION ALL SELECT k, 1, 'i2', false, NULL, 'center', 'd.xhtml' FROM c")
+@query(f"WITH {_CUSTOMER} SELECT k AS pub_id, 0 AS spine_index, 'i' || k AS idref, true AS linear, CASE WHEN n % 2 = 0 THEN 'pre-paginated' END AS layout_override, 'left' AS page_spread, 'a b/c' || k || '.xhtml' AS href FROM c UNION ALL SELECT k, 1, 'last', false, NULL, 'center', 'd.xhtml' FROM c")
 def opf_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _packed(spark, sf_dir)
     return nav.spine_items(opf.spine(p), opf.manifest(p)).select("pub_id", "spine_index", "idref", "linear", "layout_override", "page_spread", "href")
