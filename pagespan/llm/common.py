@@ -7,7 +7,6 @@ import os
 import shutil
 import sys
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
@@ -19,12 +18,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .. import storage
+from ..storage import forget
+
 #: One word, as a Java and Python regular expression: ASCII white space separates.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Largest side, in rows, that an operator broadcasts after counting it; above it the join shuffles.
 BROADCAST_ROWS = 500_000
-#: And in bytes, where a column holds texts.
-BROADCAST_TEXT = 8 << 20
+#: And in bytes of its values; a session whose driver or executors have less memory to spare may set less.
+BROADCAST_BYTES = 64 << 20
+#: Parts into which join_hot() cuts the rows of each key.
+SALTS = 32
 
 #: Limits of an Arrow batch that goes to Python, where the session allows more: texts may be long, and workers have little memory.
 BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
@@ -33,7 +37,7 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ensure_importable(spark: SparkSession) -> None:
-    """Ship this package to the Python workers unless their path has it anyway, and keep their batches small."""
+    """Ship this package to the Python workers unless their path has it anyway, and keep their batches small: texts may be long. The session's batches stay that small, as the returned plans run later."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
         now = spark.conf.get(key)
@@ -42,7 +46,7 @@ def ensure_importable(spark: SparkSession) -> None:
     paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT in map(os.path.abspath, filter(None, paths)) or getattr(spark.sparkContext, "_pagespan_sent", False):
         return
-    folder = tempfile.mkdtemp(prefix="pagespan-code-")
+    folder = tempfile.mkdtemp(prefix="pagespan-code-")  # the driver's own; addPyFile sends the file to the executors
     atexit.register(shutil.rmtree, folder, True)
     archive = f"{folder}/pagespan_code.zip"
     with zipfile.ZipFile(archive, "w") as z:
@@ -54,17 +58,6 @@ def ensure_importable(spark: SparkSession) -> None:
     spark.sparkContext._pagespan_sent = True
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(work_dir, "own", None)
-        if not found or not os.path.isdir(found):
-            found = work_dir.own = tempfile.mkdtemp(prefix="pagespan-work-")
-            atexit.register(shutil.rmtree, found, True)
-    return found.rstrip("/")
-
-
 class Scratch:
     """Tables stored inside a with block go when it ends, but for those that keep() names; what is read of them must be stored by then."""
 
@@ -87,26 +80,13 @@ class Scratch:
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and return the stored table: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/pagespan-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._pagespan_path = path
+    """df written to the shared folder and read back: cuts lineage, survives lost executors. Belongs to the innermost Scratch block."""
+    out = storage.store(df, name)
     if Scratch.open_:
         Scratch.open_[-1].append(out)
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a table that store() wrote and that nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "_pagespan_path", None)
-    if path:
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -150,6 +130,12 @@ def apart(df: DataFrame, *needed: str) -> tuple[DataFrame, Callable[..., DataFra
     return packed, back
 
 
+def identity(text: str, key: str, copies: bool = True) -> Column:
+    """The digest that tells documents apart: of key and text, or without copies of the text alone; null where the text is."""
+    own = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.col(text)) if copies else F.col(text)
+    return F.unhex(F.md5(own.cast("binary")))
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True for the rows that training must not see: crc32 of the id as text, mod 4, is 2."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -165,13 +151,33 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, text: Column | str | None = None) -> DataFrame:
-    """df with a broadcast hint if it has at most so many narrow rows (and at most BROADCAST_TEXT bytes in the column text), else as it is: the join then shuffles."""
-    n, held = df.select(F.octet_length(text).alias("b") if text is not None else F.lit(0).alias("b")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and held <= BROADCAST_TEXT else df
+def _value_bytes(f: T.StructField) -> Column:
+    """About how many bytes a value takes."""
+    c, kind = F.col(f"`{f.name}`"), f.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+        return 8 * F.greatest(F.size(c), F.lit(0)) + 16
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+    return F.lit(8)
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, held: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most so many rows and bytes; no more rows than that are read."""
+    size = sum((_value_bytes(f) for f in df.schema.fields), F.lit(16)).cast("long")
+    n, b = df.select(size.alias("b")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return n <= rows and b <= held
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, held: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is small, else as it is: the join then shuffles."""
+    return F.broadcast(df) if is_small(df, rows, held) else df
 
 
-def small_lists(df: DataFrame, lists: str, values: int = 2 * BROADCAST_ROWS) -> DataFrame:
-    """As small(), for rows with a list of numbers each: both rows and values are counted."""
-    n, held = df.agg(F.count("*"), F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()
-    return F.broadcast(df) if n <= BROADCAST_ROWS and held <= values else df
+def join_hot(big: DataFrame, side: DataFrame, on: list[str], spread: str) -> DataFrame:
+    """Inner join where a key may hold a great part of big and one row of side: broadcast, or else salted by the column spread."""
+    if is_small(side):
+        return big.join(F.broadcast(side), on)
+    salted = side.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("salt_", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt_"]).drop("salt_")

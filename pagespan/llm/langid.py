@@ -2,8 +2,9 @@
 by stochastic gradient descent in numpy on a bounded sample for each language, with a temperature and a rejection
 threshold set on rows kept out of the training.
 
-Null texts and texts without a letter are `und` with score 0. Only text and lang of training rows are learned from; a
-table without any gives `und` everywhere. Whole texts count, in pieces. Rows with equal texts get equal answers; further
+Null texts, empty ones and texts without a letter are `und` with score 0. Only text and lang of training rows are learned
+from; a table without any gives `und` everywhere, an empty one stays empty. Whole texts count, very long ones in pieces.
+Rows with equal texts get equal answers; of languages with equal probabilities the first by name is taken. Further
 columns pass through, those named as an output are replaced.
 """
 
@@ -18,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, ensure_importable, small
+from .common import add_columns, ensure_importable
 
 BUCKETS, DIMS, ORDERS, PIECE = 1 << 14, 16, (1, 2, 3), 1 << 20
-#: Bound of the training sample: about so many rows for each language, drawn by a hash of the row.
-ROWS_PER_LANG, SEED, EPOCHS, BATCH, RATE = 800, 17, 15, 32, 40.0
+#: Bounds of the training sample, whose rows are drawn by a hash: about so many rows for each language, and so many languages, the most frequent (of equals the first by name);
+#: in all about so many rows, and bytes of features, if every n-gram of a text falls into its own bucket. Beyond, each language gives less in proportion.
+ROWS_PER_LANG, LANGS, ROWS, BYTES = 800, 500, 40_000, 256 << 20
+SEED, EPOCHS, BATCH, RATE = 17, 15, 32, 40.0
 #: Share of right answers that the rejection may turn down, on the calibration rows.
 REJECT = 0.01
 _letters: list[np.ndarray] = []
@@ -126,13 +129,17 @@ def train(rows: list[tuple[bytes, bytes]], labels: list[str], seed: int = SEED)
     return Model(langs, e @ w, bias, temperature, float(np.quantile(right, REJECT)) if len(right) else 0.0)
 
 
-def fit(df: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = ROWS_PER_LANG) -> Model | None:
-    """Learn from about per_lang rows of each language among those for which may_learn holds."""
+def fit(df: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = ROWS_PER_LANG, langs: int = LANGS, rows: int = ROWS, held: int = BYTES) -> Model | None:
+    """Learn from about per_lang rows of each language among those for which may_learn holds, within the bounds above."""
     ensure_importable(df.sparkSession)
     known = df.where(may_learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k"))
-    share = known.groupBy("l").agg((F.lit(float(per_lang)) / F.count("*")).alias("p"))
+    size = F.least(F.lit(6 * len(ORDERS)) * F.octet_length("t"), F.lit(6 * BUCKETS)).cast("long")
+    found = known.groupBy("l").agg(F.count("*").alias("n"), F.sum(size).alias("b")).orderBy(F.desc("n"), "l").limit(langs).collect()
+    p = {r["l"]: min(1.0, per_lang / r["n"]) for r in found}
+    less = min(1.0, rows / max(1.0, sum(p[r["l"]] * r["n"] for r in found)), held / max(1.0, sum(p[r["l"]] * r["b"] for r in found)))
+    share = df.sparkSession.createDataFrame([(x, p[x] * less) for x in p], f"l {known.schema['l'].dataType.simpleString()}, p double")
     draw = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit(SEED)), F.lit(1_000_000)) / 1e6
-    sample = known.join(small(share), "l").where(draw < F.col("p")).select("l", "t")
+    sample = known.join(F.broadcast(share), "l").where(draw < F.col("p")).select("l", "t")  # a row for each of at most `langs` languages
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

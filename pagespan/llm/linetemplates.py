@@ -1,17 +1,17 @@
 """Line dedup by a log-template tree of fixed depth, in DataFrame functions only.
 
-A line of at least MIN_TOKENS tokens (in the pipeline one) goes down the tree by its token count and its first LEADING
-tokens (all, if it has fewer); a token with a
-digit is a variable field and reads as `<*>` everywhere. In a leaf the distinct lines gather round leaders: the line that
-occurs most (of equals the last by code points) leads a template, and lines that agree with it in MATCH percent of the tokens join it; the rest gather
-round the next leader, until no line of the leaf is left. A round tries several leaders at once, twice as many as the
-round before (at most BATCH): the first lines by that order, less those that an earlier one of them takes. A template recurs if it
-stands in MIN_DOCS distinct texts, or in two if it has LONG_TOKENS or more; its lines are dropped from all texts but the
-one of the smallest id.
-
-Documents with equal texts are one document here: they lose the same lines, so copies are left to the near-duplicate
-stage. Null texts have no lines; repeated rows get equal results; an empty table stays empty. Further columns pass
-through, those named as an output are replaced.
+A line goes down the tree by its token count and its first LEADING tokens (all, if it has fewer); a token with a digit is
+a variable field and reads as `<*>` everywhere. In a leaf the distinct lines gather round leaders: the line that occurs
+most (of equals the last by code points) leads a template, and lines that agree with it in MATCH percent of the tokens
+join it; the rest gather round the next leader, until no line of the leaf is left. A round tries several leaders at once,
+twice as many as the round before (at most BATCH): the first lines by that order, less those that an earlier one of them
+takes. A template that stands in MIN_DOCS distinct documents recurs; its lines are dropped from all of them but the one
+with the smallest key (a document without a key comes before the others).
+
+A document is a key with a text; rows that repeat both are one document and lose the same lines, rows without a key are
+told apart by their texts. With copies=False equal texts are one document whatever their keys. Null texts have no lines,
+lines without a token are never dropped; an empty table stays empty. A very long text is one row of arrays as long as its
+lines, nothing is cut. Further columns pass through, those named as an output are replaced.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import Scratch, apart, small, small_lists, store
+from .common import Scratch, apart, identity, join_hot, small, store
 
-MIN_TOKENS, LEADING, MATCH, MAX_LEADERS, MIN_DOCS, LONG_TOKENS = 4, 4, 70, 8, 3, 50
-#: Most leaders of a leaf that a round tries. MAX_LEADERS is only where the SQL stops.
+LEADING, MATCH, MIN_DOCS = 4, 70, 3
+#: Most leaders of a leaf that a round tries.
 BATCH = 512
 VARIABLE = "<*>"
 _BLANKS = r"[\x20\x09-\x0D]+"
@@ -39,11 +39,11 @@ def _tokens(line: Column) -> Column:
     return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
-def lines_of(df: DataFrame, text: str, key: str, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """d, text_ (hash of the text), pos, line (masked), n (tokens), leaf, of lines with min_tokens tokens or more. Lines are masked and counted inside the array, so that no filter above repeats the work."""
+def lines_of(df: DataFrame, text: str, key: str, copies: bool) -> DataFrame:
+    """d, id_, pos, line (masked), n (tokens), leaf, of lines with a token. Lines are masked and counted inside the array, so that no filter above repeats the work."""
     lines = F.transform(F.transform(F.split(text, "\n"), masked), lambda x: F.struct(x.alias("line"), _tokens(x).alias("n")))
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("d"), F.xxhash64(text).alias("text_"), F.posexplode(lines).alias("pos", "x"))
-    rows = rows.where(F.col("x.n") >= min_tokens).select("d", "text_", "pos", "x.line", "x.n")
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("d"), identity(text, key, copies).alias("id_"), F.posexplode(lines).alias("pos", "x"))
+    rows = rows.where(F.col("x.n") > 0).select("d", "id_", "pos", "x.line", "x.n")
     return rows.withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", LEADING)))
 
 
@@ -62,16 +62,17 @@ def _leaders(left: DataFrame, most: int) -> DataFrame:
     return tried.select("leaf", lead.alias("leaders"))
 
 
-def templates(df: DataFrame, text: str = "text", key: str = "doc_id", min_tokens: int = MIN_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """Stored lines of leaves that several texts reach (d, text_, pos, n, hash), and the template of each line's hash in a leaf (hash, template). A leaf's hot lines are counted with partial sums, by text, before they meet."""
-    lines = lines_of(df, text, key, min_tokens)
-    leaves = store(lines.groupBy("leaf").agg(F.min("text_").alias("lo"), F.max("text_").alias("hi")).where("lo <> hi").select("leaf"), "leaves")
+def templates(df: DataFrame, text: str = "text", key: str = "doc_id", copies: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Stored lines of leaves that several documents reach (d, id_, pos, n, hash), and the template of each line's hash in a leaf (hash, template). A leaf's hot lines are counted with partial sums before they meet."""
+    lines = lines_of(df, text, key, copies)
+    mark = F.xxhash64("id_")
+    leaves = store(lines.groupBy("leaf").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi").select("leaf"), "leaves")
     met = lines.join(small(leaves), "leaf", "left_semi")
-    met = store(met.select("leaf", "d", "text_", "pos", "n", "line", F.xxhash64("leaf", "line").alias("hash")), "lines")
+    met = store(met.select("leaf", "d", "id_", "pos", "n", "line", F.xxhash64("leaf", "line").alias("hash")), "lines")
     classes = met.groupBy("leaf", "hash").agg(F.count("*").alias("docs"), F.first("line").alias("line"))
     left, found, most = store(classes, "classes"), [], 1
     while not found or left.limit(1).count():
-        lead = small(store(_leaders(left, most), "leaders"), text=F.concat_ws(" ", F.flatten("leaders.w")))
+        lead = small(store(_leaders(left, most), "leaders"))
         # the line is split inside an array, once for all leaders
         takes = F.flatten(F.transform(F.array(F.split("line", " ")), lambda w: F.filter("leaders", lambda x: _agree(x["w"], w) >= MATCH)))
         tried = store(left.join(lead, "leaf").withColumn("template", F.get(takes, F.lit(0))["hash"]).drop("leaders"), "tried")
@@ -83,16 +84,16 @@ def templates(df: DataFrame, text: str = "text", key: str = "doc_id", min_tokens
     return met.drop("line", "leaf"), out
 
 
-def dropped(df: DataFrame, text: str = "text", key: str = "doc_id", min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """By text_: the places of the lines to drop (at_) and their tokens (lost_)."""
+def dropped(df: DataFrame, text: str = "text", key: str = "doc_id", copies: bool = True) -> DataFrame:
+    """By id_: the places of the lines to drop (at_) and their tokens (lost_). A template that a great part of the lines has is counted by document before it is counted, and meets its lines salted."""
     with Scratch() as scratch:
-        met, of = templates(df, text, key, min_tokens)
-        placed = store(met.groupBy("hash", "text_", "pos").agg(F.min("d").alias("d"), F.max("n").alias("n")).join(small(of), "hash").select("template", "text_", "pos", "d", "n"), "placed")
-        by_text = placed.groupBy("template", "text_").agg(F.min("d").alias("d"), F.max("n").alias("n"))
-        recurs = by_text.groupBy("template").agg(F.count("*").alias("docs"), F.max("n").alias("n"), F.min_by("text_", F.struct("d", "text_")).alias("first_"))
-        recurs = recurs.where((F.col("docs") >= MIN_DOCS) | (F.col("n") >= LONG_TOKENS) & (F.col("docs") >= 2)).select("template", "first_")
-        gone = placed.join(small(store(recurs, "recurring")), "template").where(F.col("text_") != F.col("first_"))
-        return scratch.keep(store(gone.groupBy("text_").agg(F.sort_array(F.collect_list("pos")).alias("at_"), F.sum("n").alias("lost_")), "gone"))
+        met, of = templates(df, text, key, copies)
+        placed = store(met.join(small(of), "hash").select("template", "id_", "pos", "d", "n"), "placed")
+        by_text = placed.groupBy("template", "id_").agg(F.min("d").alias("d"))
+        recurs = by_text.groupBy("template").agg(F.count("*").alias("docs"), F.min_by("id_", F.struct("d", "id_")).alias("first_")).where(F.col("docs") >= MIN_DOCS)
+        gone = join_hot(placed, store(recurs.select("template", "first_"), "recurring"), ["template"], "id_").where(F.col("id_") != F.col("first_"))
+        at = gone.groupBy("id_").agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("x"))
+        return scratch.keep(store(at.select("id_", F.col("x.pos").alias("at_"), F.aggregate("x.n", F.lit(0).cast("long"), lambda s, n: s + n).alias("lost_")), "gone"))
 
 
 def _kept_lines() -> Column:
@@ -101,19 +102,19 @@ def _kept_lines() -> Column:
     return F.flatten(F.transform(F.concat("at_", F.array(F.size("lines_"))), lambda p, i: F.slice("lines_", after(i) + 1, p - after(i))))
 
 
-def drop_templates(df: DataFrame, text: str = "text", key: str = "doc_id", min_tokens: int = MIN_TOKENS) -> DataFrame:
+def drop_templates(df: DataFrame, text: str = "text", key: str = "doc_id", copies: bool = True) -> DataFrame:
     """df with the recurring lines dropped from its texts, n_lines (before), dropped_lines and dropped_tokens."""
     docs, back = apart(df, key, text)
-    gone = dropped(docs, text, key, min_tokens)
-    rows = docs.withColumns({"text_": F.xxhash64(text), "lines_": F.split(text, "\n")})
-    out = rows.join(small_lists(gone, "at_"), "text_", "left").withColumns({
+    gone = dropped(docs, text, key, copies)
+    rows = docs.withColumns({"id_": identity(text, key, copies), "lines_": F.split(text, "\n")})
+    out = rows.join(small(gone), "id_", "left").withColumns({
         text: F.when(F.col("at_").isNull(), F.col(text)).otherwise(F.array_join(_kept_lines(), "\n")), "n_lines": F.coalesce(F.size("lines_"), F.lit(0)),
         "dropped_lines": F.coalesce(F.size("at_"), F.lit(0)), "dropped_tokens": F.coalesce("lost_", F.lit(0)).cast("long"),
     })
     return back(out, ["n_lines", "dropped_lines", "dropped_tokens"])
 
 
-def clean(df: DataFrame, text: str = "text", key: str = "doc_id", min_tokens: int = MIN_TOKENS) -> DataFrame:
+def clean(df: DataFrame, text: str = "text", key: str = "doc_id", copies: bool = True) -> DataFrame:
     """df with the recurring lines dropped; a document that has lost lines and holds no word any more goes."""
     docs, back = apart(df, key, text)
-    return back(drop_templates(docs, text, key, min_tokens).where((F.col("dropped_lines") == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]")))
+    return back(drop_templates(docs, text, key, copies).where((F.col("dropped_lines") == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]")))

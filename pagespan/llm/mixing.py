@@ -7,9 +7,10 @@ two), largest first: each class's threshold of the hash is put where the taken s
 plus what the classes before have left over, so a source meets its target to about its smallest documents.
 
 The draw depends on the key and, for repeated keys, the text, so reruns and other partitionings agree; identical rows are
-taken alike. Null texts have size 0; a null source is a source of its own, the last in order. An empty table stays empty.
-Further columns pass through, those named as an output are replaced. Each source is one small row on the driver (up to
-MAX_SOURCES).
+taken alike. Where two thresholds come equally near, the lower one is taken. Null texts have size 0; a null source is a
+source of its own, the last in order. A very long text is one row like any other. An empty table stays empty. Further
+columns pass through, those named as an output are replaced. Sources stay in tables, however many there are: the driver
+only sees the level of the water.
 """
 
 from __future__ import annotations
@@ -19,28 +20,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, ensure_importable, n_words, small, store
+from .common import apart, ensure_importable, join_hot, n_words, store
+from .sharding import number_rows
 
-WEIGHTS, MAX_EPOCHS, SEED, MAX_SOURCES = (5, 2, 1), 3, 97, 100_000
+WEIGHTS, MAX_EPOCHS, SEED = (5, 2, 1), 3, 97
 #: Steps of the hash for each class of sizes; a threshold falls on a step.
 BINS = 1024
 
 
-def water_fill(sizes: list[int], weights: list[float], budget: float, cap: float = MAX_EPOCHS) -> list[float]:
-    """Targets by weight with none above cap times its size, as far as the sizes allow."""
-    out, open_, left = [0.0] * len(sizes), [i for i, n in enumerate(sizes) if n > 0 and weights[i] > 0], float(budget)
+def water_fill(sources: DataFrame, budget: float, cap: float = MAX_EPOCHS) -> DataFrame:
+    """sources (n: size, w: weight) with target: by weight with none above cap times its size, as far as the sizes allow. Each round clamps what is above, and shares what is left among the others; a clamped source stays above as the level rises."""
+    live = (F.col("n") > 0) & (F.col("w") > 0)
+    left, open_ = float(budget), float(sources.agg(F.sum(F.when(live, F.col("w")))).first()[0] or 0)
     while open_:
-        total = sum(weights[i] for i in open_)
-        over = [i for i in open_ if left * weights[i] / total > cap * sizes[i]]
-        if not over:
-            for i in open_:
-                out[i] = left * weights[i] / total
+        over = F.lit(left) * F.col("w") / F.lit(open_) > F.lit(cap) * F.col("n")
+        clamped, rest = sources.where(live).agg(F.sum(F.when(over, F.lit(cap) * F.col("n"))), F.sum(F.when(~over, F.col("w")))).first()
+        now = budget - float(clamped or 0), float(rest or 0)
+        if now == (left, open_) or not now[1]:
             break
-        for i in over:
-            out[i] = float(cap * sizes[i])
-        left -= sum(out[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
-    return out
+        left, open_ = now
+    level = F.lit(left) * F.col("w") / F.lit(open_ or 1.0)
+    return sources.withColumn("target", F.when(live, F.least(level, (F.lit(cap) * F.col("n")).cast("double"))).otherwise(0.0))
 
 
 def _name(source: str) -> Column:
@@ -70,23 +70,27 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "d
     rows = docs.withColumns({"size": n_words(F.col(text)), "name_": _name(source)})
     rows = rows.withColumns({"cls_": F.length(F.bin("size")), "bin_": (draw % BINS).cast("int")})
     bins = store(rows.groupBy("name_", "cls_", "bin_").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "bins")
-    sums = {r["name_"]: r["n"] for r in bins.groupBy("name_").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    names = sorted(sums, key=lambda x: (x == "null", [ord(c) for c in x]))
-    own = [weights.get(None if x == "null" else x[1:], 0) for x in names] if isinstance(weights, dict) else [weights[i % len(weights)] for i in range(len(names))]
-    target = dict(zip(names, water_fill([sums[x] for x in names], own, share * sum(sums.values()), cap), strict=True))
-    rate = {x: min(float(cap), target[x] / sums[x]) if sums[x] else 0.0 for x in names}
-
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        x = key[0]
-        r = rate[x]
+    sources = bins.groupBy("name_").agg(F.sum("size").alias("n")).withColumn("last_", F.col("name_") == "null")
+    if isinstance(weights, dict):
+        given = [F.struct(F.lit("null" if k is None else f"={k}"), F.lit(float(w))) for k, w in weights.items()]
+        w = F.coalesce(F.map_from_entries(F.array(*given))[F.col("name_")], F.lit(0.0)) if given else F.lit(0.0)
+    else:
+        sources, _ = number_rows(sources, ["last_", "name_"])
+        w = F.get(F.array(*[F.lit(float(x)) for x in weights]), F.col("row_number") % len(weights))
+    sources = store(sources.select("name_", "n", w.alias("w")), "sources")
+    targets = water_fill(sources, share * (sources.agg(F.sum("n")).first()[0] or 0), cap)
+    rate = F.when(F.col("n") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("n"))).otherwise(0.0)
+    rates = targets.select("name_", F.col("n").alias("source_size"), "target", rate.alias("rate"))
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        first = part.iloc[0]
+        r = float(first["rate"])
         got = thresholds(part.rename(columns={"cls_": "cls", "bin_": "bin"}), r - int(r))
-        return pd.DataFrame([(x, c, b, int(r), int(sums[x]), float(target[x])) for c, b in got], columns=["name_", "cls_", "below_", "whole_", "source_size", "target"])
+        return pd.DataFrame([(first["name_"], c, b, int(r), int(first["source_size"]), float(first["target"])) for c, b in got], columns=["name_", "cls_", "below_", "whole_", "source_size", "target"])
 
-    chosen = bins.groupBy("name_").applyInPandas(one, "name_ string, cls_ int, below_ int, whole_ int, source_size long, target double")
+    chosen = bins.select("name_", "cls_", "bin_", "size").join(rates, "name_").groupBy("name_").applyInPandas(one, "name_ string, cls_ int, below_ int, whole_ int, source_size long, target double")
     chosen = store(chosen, "thresholds")  # for each source at most a row for each power of two
-    placed = rows.join(small(chosen), ["name_", "cls_"], "left")
+    placed = join_hot(rows, chosen, ["name_", "cls_"], "bin_")
     placed = placed.withColumn("times", F.col("whole_") + (F.col("bin_") < F.col("below_")).cast("int"))
     return back(placed, ["size", "source_size", "target", "times"])
 

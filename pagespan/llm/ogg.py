@@ -1,9 +1,11 @@
 """Media columns in Ogg: a writer for 8-bit samples, and a reader that verifies page checksums, reassembles packets
 from their lacing values, separates the logical streams and derives times from granule positions.
 
-Nulls and empty texts are stored as one block of pad bytes. Equal payloads give equal bytes. A page with a wrong
-checksum, version or length is left out and counted; a packet that lacks a part is dropped and counted. Repeated rows
-give repeated results, an empty table an empty one; further columns pass through, those named as an output are replaced.
+Nulls and empty texts are stored as one block of pad bytes, very long texts whole. Equal payloads give equal bytes. A page
+with a wrong checksum, version or length is left out and counted; a packet that lacks a part is dropped and counted, as
+are those of a stream whose header is lost. Streams of another kind are passed over. Bytes that hold no page give an empty
+payload, null media nulls. Repeated rows give repeated results, an empty table an empty one; further columns pass through,
+those named as an output are replaced.
 """
 
 from __future__ import annotations
@@ -142,33 +144,40 @@ def packets(pages: list[tuple]) -> tuple[dict[int, list[tuple[bytes, int]]], int
     return {k: s["out"] for k, s in streams.items()}, lost + sum(bool(s["open"]) for s in streams.values())
 
 
-def timed(stream: list[tuple[bytes, int]]) -> tuple[dict, list[tuple[int, int, bytes]]]:
-    """The stream's header, and its packets as (first sample, end sample, bytes). The last packet of a page ends at the page's granule; those before it count back, as a stream takes every count-th packet."""
-    magic, rate, channels, index, count, size = _HEAD.unpack(stream[0][0])
-    if magic != _MAGIC or rate <= 0:
-        raise ValueError("not a sample stream")
+def header(packet: bytes) -> dict | None:
+    """What a stream's first packet says; None if it is no header of a sample stream."""
+    if len(packet) != _HEAD.size:
+        return None
+    magic, rate, channels, index, count, size = _HEAD.unpack(packet)
+    return {"rate": rate, "channels": channels, "index": index, "count": count, "size": size} if magic == _MAGIC and rate and count else None
+
+
+def timed(stream: list[tuple[bytes, int]], head: dict) -> list[tuple[int, int, bytes]]:
+    """The stream's packets after its header as (first sample, end sample, bytes). The last packet of a page ends at the page's granule; those before it count back, as a stream takes every count-th packet."""
     out, start = [], None
     for data, granule in reversed(stream[1:]):
         if granule >= 0:
             start = granule - len(data)
         elif start is not None:
-            start -= size * count
+            start -= head["size"] * head["count"]
         if start is not None:
             out.append((start, start + len(data), data))
-    return {"rate": rate, "channels": channels, "index": index, "count": count}, out[::-1]
+    return out[::-1]
 
 
 def decode(media: bytes) -> dict:
-    """payload from the packets of all streams in the order of their granule positions, with what the reader found."""
+    """payload from the packets of all sample streams in the order of their granule positions, with what the reader found."""
     pages, bad = read_pages(media)
     streams, lost = packets(pages)
+    begun = {serial for flags, _, serial, *_ in pages if flags & 2}
     found, rate = [], RATE
-    for s in streams.values():
-        if not s:
-            continue
-        head, own = timed(s)
-        rate = head["rate"]
-        found += own
+    for serial, s in streams.items():
+        head = header(s[0][0]) if s and serial in begun else None
+        if head:
+            rate = head["rate"]
+            found += timed(s, head)
+        elif serial not in begun:
+            lost += len(s)
     found.sort(key=lambda x: x[:2])
     gaps = sum(a[1] != b[0] for a, b in zip(found, found[1:], strict=False))
     return {"payload": b"".join(x[2] for x in found), "pages": len(pages), "bad": bad, "lost": lost, "gaps": gaps, "streams": len(streams), "packets": len(found), "rate": rate, "seconds": found[-1][1] / rate if found else 0.0}
@@ -207,7 +216,9 @@ def decode_column(df: DataFrame, media: str = "media", payload: bool = False) ->
     schema = out_schema(df.drop(media), **kinds)
     source = df.select(*[c for c in df.columns if c == media or c.lower() not in kinds])
 
-    def one(m: bytes) -> tuple:
+    def one(m: bytes | None) -> tuple:
+        if m is None:
+            return (None,) * len(kinds)
         d = decode(m)
         p = d["payload"]
         return (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), features(d), d["bad"], d["lost"], *([p] if payload else []))

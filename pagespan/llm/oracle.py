@@ -1,8 +1,8 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-from .linetemplates import LEADING, LONG_TOKENS, MATCH, MAX_LEADERS, MIN_DOCS, MIN_TOKENS
+from .linetemplates import LEADING, MATCH, MIN_DOCS
 from .mixing import BINS, MAX_EPOCHS, SEED, WEIGHTS
-from .rules import LINE_WORDS, MAX_DOCS, MAX_REPEAT, MIN_LEFT, MIN_WORDS
+from .rules import MAX_DOCS, MAX_REPEAT, MIN_LEFT, MIN_WORDS
 from .sharding import ROUNDS, round_keys
 from .warc import MIN_REVISIT
 
@@ -37,12 +37,11 @@ rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k)
 cov AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM rep, (SELECT unnest([0, 1, 2]) AS j) GROUP BY 1),
 ln AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d WHERE text IS NOT NULL),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
-norm AS (SELECT doc_id, host, text, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS l, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM ln),
-one AS (SELECT host, l, text, min(doc_id) AS doc_id, arg_min(w, doc_id) AS w FROM (SELECT host, l, text, doc_id, sum(n) AS w FROM norm WHERE n >= {LINE_WORDS} GROUP BY ALL) GROUP BY ALL),
-freq AS (SELECT host, l, arg_min(text, doc_id) AS first_text FROM one GROUP BY ALL HAVING count(*) > {MAX_DOCS}),
-lost AS (SELECT host, text, sum(w)::BIGINT AS words_removed FROM one JOIN freq USING (host, l) WHERE text <> first_text GROUP BY ALL),
-base AS (SELECT d.doc_id, d.host, d.text, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id)),
-v AS (SELECT base.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed, coalesce(words_removed, 0) AS words_removed FROM base LEFT JOIN lost ON base.host = lost.host AND base.text = lost.text)
+norm AS (SELECT doc_id, host, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS l, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM ln),
+freq AS (SELECT host, l FROM norm WHERE n > 0 GROUP BY ALL HAVING count(DISTINCT doc_id) > {MAX_DOCS}),
+lost AS (SELECT doc_id, sum(n)::BIGINT AS words_removed FROM norm JOIN freq USING (host, l) GROUP BY ALL),
+base AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id)),
+v AS (SELECT base.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed, coalesce(words_removed, 0) AS words_removed FROM base LEFT JOIN lost USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - words_removed >= {MIN_LEFT} AND 2 * (n_words - words_removed) >= n_words AS kept, words_removed FROM v"""
 
 _OP9 = rf"""
@@ -70,21 +69,18 @@ walk AS (SELECT name, 0::BIGINT AS j, 0::DOUBLE AS carry, 0::BIGINT AS cls, 0::B
 SELECT doc_id, size, ss AS source_size, target, (size * (floor(r) + CASE WHEN bin < below THEN 1 ELSE 0 END))::BIGINT AS taken, source FROM c JOIN rate USING (name) JOIN walk USING (name, cls) WHERE j > 0"""
 
 _OP10 = rf"""
-WITH RECURSIVE raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
-tok AS (SELECT doc_id, text, pos, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM raw),
-ln AS (SELECT doc_id, text, pos, w, len(w) AS n, w[1 : {LEADING}] AS lead, array_to_string(w, ' ') AS line FROM tok WHERE len(w) >= {MIN_TOKENS}),
-met AS (SELECT * FROM ln SEMI JOIN (SELECT n, lead FROM ln GROUP BY ALL HAVING count(DISTINCT text) > 1) USING (n, lead)),
+WITH RECURSIVE raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
+tok AS (SELECT doc_id, pos, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM raw),
+ln AS (SELECT doc_id, pos, w, len(w) AS n, w[1 : {LEADING}] AS lead, array_to_string(w, ' ') AS line FROM tok WHERE len(w) > 0),
+met AS (SELECT * FROM ln SEMI JOIN (SELECT n, lead FROM ln GROUP BY ALL HAVING count(DISTINCT doc_id) > 1) USING (n, lead)),
 cls AS (SELECT n, lead, line, any_value(w) AS w, count(*) AS docs FROM met GROUP BY n, lead, line),
-walk AS (SELECT n, lead, line, w, docs, NULL::VARCHAR AS template, 0 AS round FROM cls
-  UNION ALL SELECT n, lead, line, w, docs, CASE WHEN line = top OR 100.0 * len(list_filter(list_zip(w, top_w), lambda z: z[1] = z[2])) / n >= {MATCH} THEN top END, round + 1
-  FROM (SELECT *, first_value(line) OVER g AS top, first_value(w) OVER g AS top_w FROM walk WHERE template IS NULL AND round < {MAX_LEADERS} WINDOW g AS (PARTITION BY n, lead ORDER BY docs DESC, line DESC))),
-tpl AS (SELECT line, coalesce(template, line) AS template FROM walk WHERE template IS NOT NULL OR round = {MAX_LEADERS}),
-placed AS (SELECT DISTINCT template, text, pos, n FROM met JOIN tpl USING (line)),
-ids AS (SELECT text, min(doc_id) AS d FROM documents GROUP BY 1),
-rec AS (SELECT template, arg_min(text, d) AS first_text FROM (SELECT DISTINCT template, text, n FROM placed) JOIN ids USING (text) GROUP BY 1 HAVING count(DISTINCT text) >= {MIN_DOCS} OR max(n) >= {LONG_TOKENS} AND count(DISTINCT text) >= 2),
-gone AS (SELECT placed.text, pos, n FROM placed JOIN rec USING (template) WHERE placed.text <> first_text),
-kept AS (SELECT text, count(*) FILTER (NOT g) AS n_kept, count(*) AS n_lines, sum(CASE WHEN g THEN n ELSE 0 END) AS lost, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT g), '') AS t
-  FROM (SELECT r.text, r.pos, r.line, gone.n, gone.pos IS NOT NULL AS g FROM (SELECT DISTINCT text, pos, line FROM raw) r LEFT JOIN gone ON gone.text = r.text AND gone.pos = r.pos) GROUP BY text)
-SELECT doc_id, coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_lines - n_kept, 0)::INT AS dropped_lines, coalesce(lost, 0)::BIGINT AS dropped_tokens, strlen(coalesce(t, ''))::BIGINT AS kept_bytes, md5(coalesce(t, '')) AS kept_md5 FROM documents LEFT JOIN kept USING (text)"""
+walk AS (SELECT n, lead, line, w, docs, NULL::VARCHAR AS template FROM cls
+  UNION ALL SELECT n, lead, line, w, docs, CASE WHEN line = top OR 100.0 * len(list_filter(list_zip(w, top_w), lambda z: z[1] = z[2])) / n >= {MATCH} THEN top END
+  FROM (SELECT *, first_value(line) OVER g AS top, first_value(w) OVER g AS top_w FROM walk WHERE template IS NULL WINDOW g AS (PARTITION BY n, lead ORDER BY docs DESC, line DESC))),
+placed AS (SELECT DISTINCT template, doc_id, pos, met.n FROM met JOIN walk USING (line) WHERE template IS NOT NULL),
+rec AS (SELECT template, min(doc_id) AS first_id FROM placed GROUP BY 1 HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+gone AS (SELECT doc_id, pos, n FROM placed JOIN rec USING (template) WHERE doc_id <> first_id),
+kept AS (SELECT doc_id, count(*) AS n_lines, count(gone.pos) AS n_gone, sum(gone.n) AS lost, string_agg(line, chr(10) ORDER BY raw.pos) FILTER (gone.pos IS NULL) AS t FROM raw LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_gone, 0)::INT AS dropped_lines, coalesce(lost, 0)::BIGINT AS dropped_tokens, strlen(coalesce(t, ''))::BIGINT AS kept_bytes, md5(coalesce(t, '')) AS kept_md5 FROM documents LEFT JOIN kept USING (doc_id)"""
 
 ORACLE: dict[str, str] = {"op4_warc": _OP4, "op5_sharding": sharding_sql(8, 20_240_229), "op7_rules": _OP7, "op8_mixing": _OP8, "op9_nearduplicates": _OP9, "op10_linetemplates": _OP10}

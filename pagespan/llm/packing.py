@@ -6,8 +6,13 @@ tokens served up to any window are then the floor of share times tokens, so ever
 documents, and deficits run on across windows and partitions without a task that sees all. If a queue with explicit
 weights runs dry, the rest share on by weight (a new phase). The order in a queue is that of the stored token table.
 
-Null texts are empty documents of one end token; a null source is a queue of its own. Repeated rows are packed as often
-as they come; an empty table gives no pieces. Sources are kept as one small row each on the driver (MAX_SOURCES).
+There are QUEUES queues at most, as each takes its part of every window: the largest sources by bytes, and those with an
+explicit weight, have one each (of equal ones the first by name), and the sources beyond them share the last queue, in
+which their documents stay in the table's order. So plan, windows and memory do not grow with the number of sources.
+
+Null texts are empty documents of one end token; a null source is a source of its own. Repeated rows are packed as often
+as they come; an empty table gives no pieces. A very long text is one row of ids, cut over as many sequences as it needs.
+Of further columns none is read, so their names may clash.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -31,7 +36,9 @@ from pyspark.sql.window import Window as W
 
 from .common import add_columns, small, store
 
-LENGTH, WINDOW, END, MAX_SOURCES = 2048, 16, 1, 100_000
+LENGTH, WINDOW, END, QUEUES = 2048, 16, 1, 256
+#: Numbers that a task keeps of the windows it has met.
+KNOWN = 1_000_000
 _encoders: dict[str, object] = {}
 
 
@@ -60,10 +67,23 @@ def encoder(name: str):
     return _encoders[name]
 
 
-def tokenize(df: DataFrame, key: str, source: str, text: str, vocabulary: str, end: int = END) -> DataFrame:
-    """The stored token table: k, queue, part, start (tokens of that queue before it in its part), n_tokens, ids (little-endian uint16, or uint32 where an id needs it)."""
-    queue = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
-    rows = df.select(F.col(key).alias("k"), queue.alias("queue"), queue.alias("q"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+def _queues(df: DataFrame, source: str, text: str, named: list[str | None], most: int) -> DataFrame:
+    """name_ of the sources that have a queue of their own: those named and the largest others, most - 1 in all; all of them, if they are no more than most."""
+    sizes = df.groupBy(_name(source).alias("name_")).agg(F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1).alias("n"))
+    first = [F.col("name_").isin(["null" if x is None else f"={x}" for x in named]).desc()] if named else []
+    top = store(sizes.orderBy(*first, F.desc("n"), "name_").limit(most + 1).select("name_", F.monotonically_increasing_id().alias("i_")), "queues")
+    return top.orderBy("i_").limit(most - 1) if top.count() > most else top
+
+
+def _name(source: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
+
+
+def tokenize(df: DataFrame, key: str, source: str, text: str, vocabulary: str, end: int = END, named: list[str | None] | None = None, most: int = QUEUES) -> DataFrame:
+    """The stored token table: k, name, queue (the name, or null in the queue that the small sources share), part, start (tokens of that queue before it in its part), n_tokens, ids (little-endian uint16, or uint32 where an id needs it)."""
+    rows = df.select(F.col(key).alias("k"), _name(source).alias("name"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    own = _queues(df, source, text, named or [], most).select(F.col("name_").alias("name"), F.col("name_").alias("queue"))  # at most `most` rows
+    rows = rows.join(F.broadcast(own), "name", "left").select("k", "name", "queue", F.coalesce("queue", F.lit("")).alias("q"), "t")
     more = {"part": T.IntegerType(), "start": T.LongType(), "n_tokens": T.LongType(), "ids": T.BinaryType()}
 
     def make():
@@ -137,7 +157,7 @@ class Cutter:
             for x, y in zip(a, b, strict=True):
                 place.append(at)
                 at += y - x
-            if len(self.known) > 20_000:
+            if 3 * len(place) * len(self.known) > KNOWN:
                 self.known.clear()
             got = self.known[p, t] = (a, b, place)
         return got
@@ -165,21 +185,19 @@ class Cutter:
                 at, inside = at + size, inside + size
 
 
-def pack(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: dict[str | None, int] | None = None, vocabulary: str = "byte_bpe_50k.tiktoken", length: int = LENGTH, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
-    """Pieces: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, window_id, source and, if asked for, the ids as little-endian uint32. weights: target of each source (missing: 0, served last); None: each source's own share."""
-    tokens = tokenize(df, key, source, text, vocabulary)
-    sums = tokens.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n"))
-    sums = store(sums, "sums")
-    totals = sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+def pack(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: dict[str | None, int] | None = None, vocabulary: str = "byte_bpe_50k.tiktoken", length: int = LENGTH, window: int = WINDOW, with_ids: bool = True, queues: int = QUEUES) -> DataFrame:
+    """Pieces: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, window_id, source and, if asked for, the ids as little-endian uint32. weights: target of each source (missing: 0, served last), for fewer sources than queues; None: each source's own share."""
+    if weights and len(weights) >= queues:
+        raise ValueError(f"{len(weights)} sources have a weight, {queues} queues are too few")
+    tokens = tokenize(df, key, source, text, vocabulary, named=[*(weights or {})], most=queues)
+    sums = store(tokens.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n")), "sums")
+    totals = sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()  # a row for each queue
     names = [r["queue"] for r in totals]
-    own = None if weights is None else [weights.get(None if x == "null" else x[1:], 0) for x in names]
-    window = max(window, -(-50 * len(names) // length))  # a window's padding is at most two tokens for each source
+    own = None if weights is None else [0 if x is None else weights.get(None if x == "null" else x[1:], 0) for x in names]
     phases = plan([r["n"] for r in totals], own, length * window)
     of = {x: i for i, x in enumerate(names)}
-    before = sums.select("queue", "part", (F.sum("n").over(W.partitionBy("queue").orderBy("part")) - F.col("n")).alias("before"))
-    placed = tokens.join(small(before), ["queue", "part"]).select("k", "queue", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
+    before = sums.select(F.coalesce("queue", F.lit("")).alias("q"), "part", (F.sum("n").over(W.partitionBy("queue").orderBy("part")) - F.col("n")).alias("before"))
+    placed = tokens.withColumn("q", F.coalesce("queue", F.lit(""))).join(small(before), ["q", "part"]).select("k", "name", "queue", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
     kinds = {"start": T.LongType(), "length": T.LongType(), "ids_crc32": T.LongType(), "doc_tokens": T.LongType(), "sequence_id": T.LongType(), "offset": T.LongType(), "window_id": T.LongType(), "source": T.StringType()} | ({"ids": T.BinaryType()} if with_ids else {})
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(k, v) for k, v in kinds.items())])
     arrow = [to_arrow_type(t) for t in kinds.values()]
@@ -188,9 +206,9 @@ def pack(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
         cutter = Cutter(phases, length, window)
         for b in batches:
             at, out = [], []
-            for i, (queue, start, n, raw) in enumerate(zip(*(b.column(c).to_pylist() for c in ("queue", "start", "n_tokens", "ids")), strict=True)):
+            for i, (source_, queue, start, n, raw) in enumerate(zip(*(b.column(c).to_pylist() for c in ("name", "queue", "start", "n_tokens", "ids")), strict=True)):
                 ids = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype("<u4")
-                name = None if queue == "null" else queue[1:]
+                name = None if source_ == "null" else source_[1:]
                 for first, size, sequence, offset in cutter.cut(of[queue], start, n):
                     piece = ids[first : first + size].tobytes()
                     at.append(i)

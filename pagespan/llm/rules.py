@@ -1,13 +1,15 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Base rules fail a text with under MIN_WORDS words or with more than MAX_REPEAT percent of its words in repeated 3-word
-windows. Then lines (lower case, blanks squeezed, at least LINE_WORDS words, in the pipeline one) are hashed and counted by host: a line in
-more than MAX_DOCS distinct documents of a host is removed from all of them but the one with the smallest id that holds
-it. A document that keeps under MIN_LEFT words, or under half of its words, is depleted and rejected.
-
-Documents with equal texts are one document here: they count once and get the same verdict, so copies are left to the
-near-duplicate stage. Null texts have no words and fail; a null host is a host of its own; repeated rows get repeated
-verdicts; an empty table stays empty. Further columns pass through, those named as an output are replaced.
+windows. Then lines (lower case, blanks squeezed; every line that holds a word) are hashed and counted by host: a line in
+more than MAX_DOCS distinct documents of a host is removed from all of them. A document that keeps under MIN_LEFT words,
+or under half of its words, is depleted and rejected.
+
+A document is a key with a text; rows that repeat both are one document and get the same verdict, rows without a key are
+told apart by their texts. With copies=False equal texts of a host are one document whatever their keys, so that copies
+alone never make a line frequent. Null texts have no words and fail; empty texts and texts without a word likewise; a null
+host is a host of its own; an empty table stays empty. A very long text is one row of arrays as long as its words and
+lines, nothing is cut. Further columns pass through, those named as an output are replaced.
 """
 
 from __future__ import annotations
@@ -15,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, apart, small, small_lists, store, words
+from .common import Scratch, apart, identity, join_hot, small, store, words
 
-MIN_WORDS, MAX_REPEAT, MAX_DOCS, LINE_WORDS, MIN_LEFT = 50, 50, 20, 3, 25
+MIN_WORDS, MAX_REPEAT, MAX_DOCS, MIN_LEFT = 50, 50, 20, 25
 _BLANKS = r"[\x20\x09-\x0D]+"
 OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 _SLOTS = 256
@@ -52,31 +54,31 @@ def base(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")) | never)
 
 
-def line_hash(line: Column, line_words: int = LINE_WORDS) -> Column:
-    """Of the normalised line; null if it has too few words."""
-    norm = F.lower(F.trim(F.regexp_replace(line, _BLANKS, " ")))
-    return F.when(F.regexp_count(norm, F.lit("[^ ]+")) >= line_words, F.xxhash64(norm))
+def normal(line: Column) -> Column:
+    """The line in lower case with single blanks between its words. Most lines have them, which one look tells."""
+    return F.lower(F.trim(F.when(line.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(line, _BLANKS, " ")).otherwise(line)))
 
 
-def _host(host: str) -> Column:
-    return F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("null"))
+def _keyed(df: DataFrame, text: str, host: str, key: str, copies: bool) -> DataFrame:
+    """df with host_ and id_, the digest that tells documents apart."""
+    return df.withColumns({"host_": F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("null")), "id_": identity(text, key, copies)})
 
 
-def removed_lines(df: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", max_docs: int = MAX_DOCS, line_words: int = LINE_WORDS) -> DataFrame:
-    """By host and text: lost_ (words in the lines to remove) and gone_ (their hashes). Partial sums by host, line and text come before any row of a frequent line meets another."""
-    found = (
-        df.where(F.col(text).isNotNull())
-        .select(F.col(key).alias("d"), _host(host).alias("host_"), F.xxhash64(text).alias("text_"), F.explode(F.split(text, "\n")).alias("line"))
-        .select("d", "host_", "text_", line_hash(F.col("line"), line_words).alias("h"), F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).alias("w"))
-        .where(F.col("h").isNotNull())
-        .groupBy("host_", "h", "text_", "d").agg(F.sum("w").alias("w"))
-        .groupBy("host_", "h", "text_").agg(F.max("w").alias("w"), F.min("d").alias("d"))
-    )
+def removed_lines(df: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", max_docs: int = MAX_DOCS, copies: bool = True) -> DataFrame:
+    """By host_ and id_: lost_ (words in the lines to remove) and gone_ (their hashes). Sums by host, line and document come before any row of a frequent line meets another, and the lines that are removed meet their documents salted."""
+    docs = _keyed(df.where(F.col(text).isNotNull()), text, host, key, copies)
+    # normalised inside an array, so that neither the hash nor the count repeats the work
+    plain = F.filter(F.transform(F.split(text, "\n"), normal), lambda x: x != "")
+    lines = F.transform(plain, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).alias("w")))
+    found = docs.select("host_", "id_", F.explode(lines).alias("x")).groupBy("host_", "x.h", "id_").agg(F.sum("x.w").alias("w"))
     with Scratch() as scratch:
         found = store(found, "lines")
-        frequent = found.groupBy("host_", "h").agg(F.count("*").alias("n"), F.min_by("text_", F.struct("d", "text_")).alias("first_")).where(F.col("n") > max_docs).select("host_", "h", "first_")
-        hit = found.join(small(store(frequent, "frequent")), ["host_", "h"]).where(F.col("text_") != F.col("first_"))
-        return scratch.keep(store(hit.groupBy("host_", "text_").agg(F.sum("w").alias("lost_"), F.collect_list("h").alias("gone_")), "gone"))
+        frequent = found.groupBy("host_", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("host_", "h")
+        hit = store(join_hot(found, store(frequent, "frequent"), ["host_", "h"], "id_"), "hit")
+        # a document that several rows hold has its lines counted as often
+        again = store(docs.groupBy("host_", "id_").agg(F.count("*").alias("rows_")).where("rows_ > 1"), "again")
+        gone = hit.groupBy("host_", "id_").agg(F.sum("w").alias("lost_"), F.collect_list("h").alias("gone_")).join(small(again), ["host_", "id_"], "left")
+        return scratch.keep(store(gone.select("host_", "id_", (F.col("lost_") / F.coalesce("rows_", F.lit(1))).cast("long").alias("lost_"), "gone_"), "gone"))
 
 
 def _verdict() -> Column:
@@ -84,24 +86,24 @@ def _verdict() -> Column:
     return ~F.col("base_failed") & (left >= MIN_LEFT) & (2 * left >= F.col("n_words"))
 
 
-def judge(df: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", max_docs: int = MAX_DOCS, line_words: int = LINE_WORDS) -> DataFrame:
-    """df without its text, with the base counts, words_removed and kept."""
+def judge(df: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", max_docs: int = MAX_DOCS, copies: bool = True) -> DataFrame:
+    """df without its text, with the base counts, words_removed and kept. Only narrow rows meet the removed lines."""
     docs, back = apart(df, key, text, host)
-    lost = removed_lines(docs, text, host, key, max_docs, line_words).select("host_", "text_", "lost_")
-    rows = base(docs, text).withColumns({"host_": _host(host), "text_": F.xxhash64(text)})
-    out = rows.join(small(lost), ["host_", "text_"], "left").withColumns({"words_removed": F.coalesce("lost_", F.lit(0)), "kept": _verdict()})
+    lost = removed_lines(docs, text, host, key, max_docs, copies).select("host_", "id_", "lost_")
+    rows = base(_keyed(docs, text, host, key, copies), text).drop(text)
+    out = rows.join(small(lost), ["host_", "id_"], "left").withColumns({"words_removed": F.coalesce("lost_", F.lit(0)), "kept": _verdict()})
     return back(out, [*OUT, "words_removed", "kept"], [text])
 
 
-def clean(df: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", max_docs: int = MAX_DOCS, line_words: int = LINE_WORDS) -> DataFrame:
+def clean(df: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", max_docs: int = MAX_DOCS, copies: bool = True) -> DataFrame:
     """The kept rows of df with the frequent lines removed from their texts; the columns of df."""
     docs, back = apart(df, key, text, host)
-    gone = removed_lines(docs, text, host, key, max_docs, line_words)
-    rows = base(docs, text).where("not base_failed").withColumns({"host_": _host(host), "text_": F.xxhash64(text)})
-    out = rows.join(small_lists(gone, "gone_"), ["host_", "text_"], "left").where(_verdict())
+    gone = removed_lines(docs, text, host, key, max_docs, copies)
+    rows = base(_keyed(docs, text, host, key, copies), text).where("not base_failed")
+    out = rows.join(small(gone), ["host_", "id_"], "left").where(_verdict())
     # hashes in slots, so that a look-up reads a short list; made after the join, which carries plain lists
     slots = F.transform(F.sequence(F.lit(0), F.lit(_SLOTS - 1)), lambda b: F.filter("gone_", lambda h: F.pmod(h, F.lit(_SLOTS)) == b))
     out = out.withColumn("slots_", F.when(F.col("gone_").isNotNull(), slots))
-    stays = lambda h: h.isNull() | ~F.array_contains(F.get("slots_", F.pmod(h, F.lit(_SLOTS)).cast("int")), h)
-    left = F.filter(F.split(text, "\n"), lambda x: stays(line_hash(x, line_words)))
+    marked = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("x"), F.xxhash64(normal(x)).alias("h")))
+    left = F.transform(F.filter(marked, lambda m: ~F.array_contains(F.get("slots_", F.pmod(m["h"], F.lit(_SLOTS)).cast("int")), m["h"])), lambda m: m["x"])
     return back(out.withColumn(text, F.when(F.col("gone_").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))))

@@ -2,9 +2,12 @@
 reader that loads that dictionary, decodes frame by frame and validates headers, lengths and digests.
 
 Of records with equal payloads of at least MIN_REVISIT bytes the one with the smallest key is a response and the others
-are revisits that refer to it; smaller payloads are responses. Null payloads are empty. A record that fails validation
-comes back with an error and null fields; the reader goes on with the next frame. Keys should be unique: rows that repeat
-the smallest key with the same payload are all responses, as are rows without a key. An empty table gives no archives.
+are revisits that refer to it; smaller payloads are responses. Null payloads are empty, very long ones make a record and
+an archive of their own. A record that fails validation, a dictionary that can't be loaded, a frame that is damaged or cut
+off and a null archive come back as a row with an error and null fields; the reader goes on with the next frame. Skippable
+frames between records are passed over. Keys should be unique: rows that repeat the smallest key with the same payload
+are all responses, as are rows without a key. Columns but for key, uri and payload are not written. An empty table gives
+no archives.
 """
 
 from __future__ import annotations
@@ -18,13 +21,15 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, ensure_importable
+from .common import SALTS, apart, ensure_importable, is_small, store
 
-MIN_REVISIT, SALTS = 100, 32
+MIN_REVISIT = 100
 #: Magic number of the skippable frame that carries a dictionary, as the zstd variant of WARC has it.
 DICT_FRAME = 0x184D2A5D
-#: Bound of the dictionary's training: about so many payloads, drawn by a hash of the key; each may give its whole text.
-SAMPLE, DICT_BYTES, SEED = 200, 32_768, 41
+#: Magic numbers of skippable frames, that one among them.
+SKIPPABLE = range(0x184D2A50, 0x184D2A60)
+#: Bound of the dictionary's training: so many whole payloads, the first by a hash of the key, and so many bytes in all; a payload that does not fit is passed over.
+SAMPLE, SAMPLE_BYTES, DICT_BYTES, SEED = 200, 4 << 20, 32_768, 41
 #: An archive holds about so many payload bytes; one record may be larger.
 ARCHIVE_BYTES, LEVEL = 8 << 20, 3
 _CRLF = b"\r\n"
@@ -85,54 +90,75 @@ def parse(raw: bytes) -> dict:
     return {"key": h["warc-record-id"][12:-1], "uri": h.get("warc-target-uri"), "record_type": kind, "payload": payload if kind == "response" else None, "payload_bytes": size, "payload_digest": digest, "refers_to": refers}
 
 
-def read(archive: bytes) -> Iterator[dict]:
-    """The records of an archive, one of each frame; a frame that can't be decoded or parsed gives {"error": ...}."""
-    at, known = 0, None
-    if len(archive) >= 8 and struct.unpack_from("<I", archive)[0] == DICT_FRAME:
-        n = struct.unpack_from("<I", archive, 4)[0]
-        raw = archive[8 : 8 + n]
-        if raw[:4] == zstd.FRAME_HEADER:
-            raw = zstd.ZstdDecompressor().decompress(raw)
-        known, at = zstd.ZstdCompressionDict(raw), 8 + n
-    opener = zstd.ZstdDecompressor(dict_data=known) if known else zstd.ZstdDecompressor()
+def _skippable(archive: bytes, at: int) -> tuple[int, bytes] | None:
+    """Magic number and content of the skippable frame there, if one begins there; ValueError if it is cut off."""
+    if len(archive) - at < 4 or (magic := struct.unpack_from("<I", archive, at)[0]) not in SKIPPABLE:
+        return None
+    if len(archive) - at < 8 or len(archive) - at - 8 < (n := struct.unpack_from("<I", archive, at + 4)[0]):
+        raise ValueError("the skippable frame is cut off")
+    return magic, archive[at + 8 : at + 8 + n]
+
+
+def read(archive: bytes | None) -> Iterator[dict]:
+    """The records of an archive, one of each frame; what can't be decoded or parsed gives {"error": ...}."""
+    if archive is None:
+        yield {"error": "no content"}
+        return
+    at, opener = 0, zstd.ZstdDecompressor()
     view = memoryview(archive)
     while at < len(archive):
-        one = opener.decompressobj()
         try:
+            if skipped := _skippable(archive, at):
+                begin, at = at, at + 8 + len(skipped[1])
+                if skipped[0] == DICT_FRAME and begin == 0:
+                    raw = skipped[1]
+                    opener = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(opener.decompress(raw) if raw[:4] == zstd.FRAME_HEADER else raw))
+                continue
+            one = opener.decompressobj()
             out = one.decompress(view[at:])
             if not one.eof:
                 raise ValueError("the frame is cut off")
+            at = len(archive) - len(one.unused_data)
         except (zstd.ZstdError, ValueError) as e:
             yield {"error": str(e)}
-            at = archive.find(zstd.FRAME_HEADER, at + 4)
+            at = archive.find(zstd.FRAME_HEADER, at + 4 if archive[at : at + 4] == zstd.FRAME_HEADER else at)
             if at < 0:
                 return
             continue
-        at = len(archive) - len(one.unused_data)
         try:
             yield parse(out)
-        except (ValueError, UnicodeDecodeError) as e:
+        except ValueError as e:
             yield {"error": str(e)}
 
 
 def decide(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """df with payload_ (bytes), payload_bytes, payload_digest and refers_to (null: a response). Counts digests with partial sums first; only digests that repeat are joined back, salted."""
+    """df with payload_ (bytes), payload_bytes, payload_digest and refers_to (null: a response). Digests are counted with partial sums; those that repeat are broadcast, so that payloads stay where they are, or if they are many, joined salted."""
     pages, back = apart(df, key, payload)
     raw = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8") if dict(df.dtypes)[payload] != "binary" else F.coalesce(F.col(payload), F.lit(b""))
     known = pages.withColumn("payload_", raw).withColumns({"payload_bytes": F.octet_length("payload_").cast("long"), "payload_digest": F.sha2("payload_", 256)})
     seen = known.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_digest").agg(F.min(key).alias("first_"), F.count("*").alias("n_")).where("n_ > 1").drop("n_")
-    salted = seen.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = known.withColumn("salt_", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["payload_digest", "salt_"], "left")
+    seen = store(seen, "digests")
+    if is_small(seen):
+        out = known.join(F.broadcast(seen), "payload_digest", "left")
+    else:
+        salted = seen.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = known.withColumn("salt_", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["payload_digest", "salt_"], "left")
     out = out.withColumn("refers_to", F.when((F.col("payload_bytes") >= MIN_REVISIT) & (F.col(key) != F.col("first_")), F.col("first_")))
     return back(out, ["payload_", "payload_bytes", "payload_digest", "refers_to"])
 
 
 def train_dictionary(df: DataFrame, key: str, payload: str) -> bytes:
-    """From a bounded sample of payloads; empty if there are too few."""
-    n = df.count()
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(SEED)), F.lit(1_000_000)) < F.lit(1e6 * SAMPLE / max(1, n))
-    texts = sorted(bytes(r[0]) for r in df.where(draw & F.col(payload).isNotNull()).select(F.col(payload).cast("binary")).limit(2 * SAMPLE).collect())
-    texts = [t for t in texts if t]
+    """From a bounded sample of payloads, the same however df is partitioned; empty if there are too few."""
+    raw = F.col(payload).cast("binary")
+    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    rows = df.select(F.xxhash64(name, F.lit(SEED)).alias("draw"), F.octet_length(raw).alias("n"), raw.alias("t")).where("n > 0")
+    drawn, held = [], 0
+    for r in rows.select("draw", "n").distinct().orderBy("draw", "n").limit(SAMPLE).collect():
+        if held + r["n"] <= SAMPLE_BYTES:
+            drawn.append(r["draw"])
+            held += r["n"]
+    one = rows.where(F.col("draw").isin(drawn) & (F.col("n") <= SAMPLE_BYTES)).groupBy("draw").agg(F.min(F.struct("n", "t")).alias("x")) if drawn else None
+    texts = [bytes(r["x"]["t"]) for r in one.orderBy("draw").collect()] if drawn else []
     if len(texts) < 16:
         return b""
     try:

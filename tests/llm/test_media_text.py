@@ -50,6 +50,36 @@ def test_ogg_reports_damage():
     assert ogg.decode(b"")["packets"] == 0 and ogg.decode(b"junk")["bad"] == 1
 
 
+def test_ogg_survives_damage_anywhere():
+    """Any byte changed, any cut: no crash, and what comes back are whole samples from their places."""
+    payload = ogg.pad(bytes(range(256)) * 40)
+    media = ogg.encode(payload)
+    for i in range(0, len(media), 7 if len(media) > 3000 else 1):
+        for damaged in (media[:i] + bytes([media[i] ^ 0x55]) + media[i + 1 :], media[:i], media[i:]):
+            d = ogg.decode(damaged)
+            assert len(d["payload"]) <= len(payload) and (d["payload"] == payload or d["bad"] + d["lost"] + d["gaps"] or d["packets"] < 3)
+
+
+def test_ogg_without_a_header_page_and_with_a_foreign_stream():
+    payload = ogg.pad(bytes(range(256)) * 100)
+    media = bytearray(ogg.encode(payload))
+    media[30] ^= 1  # the first stream's header
+    d = ogg.decode(bytes(media))
+    assert d["bad"] == 1 and d["lost"] >= 1 and d["packets"] >= 1 and d["gaps"] >= 1
+    other = ogg._Stream(77)
+    other.page(ogg._lacing(5), b"other", 0, 2, -1)
+    other.page(ogg._lacing(3), b"abc", 3, 4, 3)
+    mixed = other.pages[0][2] + ogg.encode(payload) + other.pages[1][2]
+    d = ogg.decode(mixed)
+    assert d["payload"] == payload and (d["bad"], d["lost"], d["streams"]) == (0, 0, 3)
+
+
+def test_ogg_null_media(spark):
+    df = spark.createDataFrame([(1, None), (2, b""), (3, b"OggSjunk")], "doc_id long, media binary")
+    rows = {r["doc_id"]: r for r in ogg.decode_column(df).collect()}
+    assert rows[1]["payload_bytes"] is None and rows[2]["payload_bytes"] == 0 and rows[3]["bad_pages"] == 1
+
+
 def test_ogg_column(spark):
     texts = ["", None, "é" * 5000, "same", "same", "x" * 200_000]
     df = docs(spark, [(i, t, None, None) for i, t in enumerate(texts)]).withColumn("media", F.lit("clash"))
@@ -71,6 +101,58 @@ def test_ngram_counts_do_not_depend_on_case_or_marks():
     assert langid.ngram_counts("12 !")[1] == 0
 
 
+def plain_ngrams(text):
+    """Bucket counts of the n-grams of each word framed by blanks, one after another."""
+    counts, letters = {}, 0
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        letters += len(word)
+        framed = [32, *map(ord, word), 32]
+        for n in langid.ORDERS:
+            for i in range(len(framed) - n + 1):
+                gram = framed[i : i + n]
+                if n == 1 and gram == [32]:
+                    continue
+                h = 0
+                for x in gram:
+                    h = (h * 0x01000193 + x) % 2**32
+                b = ((h + n) * 0x9E3779B1 % 2**32) >> 18
+                counts[b] = counts.get(b, 0) + 1
+    return counts, letters
+
+
+def test_langid_against_a_plain_version(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(df, ~held_out())
+    got = {r["doc_id"]: r for r in langid.predict(df, model, keep_text=True).collect()}
+    for r in [*got.values()]:
+        counts, letters = plain_ngrams(r["text"] or "")
+        assert letters == r["n_letters"]
+        if not letters:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        total = sum(counts.values())
+        z = [(sum(n * float(model.table[b, k]) for b, n in counts.items()) / total + float(model.bias[k])) / model.temperature for k in range(len(model.langs))]
+        e = np.exp(np.array(z) - max(z))
+        p = e / e.sum()
+        assert r["score"] == pytest.approx(p.max(), abs=1e-3) and p[model.langs.index(r["lang_pred"])] == pytest.approx(p.max(), abs=1e-3)
+        assert r["rejected"] == (r["score"] < model.threshold)
+    held = [r for r in got.values() if r["lang"] and r["n_letters"] and r["doc_id"] and held_out_id(r["doc_id"])]
+    assert len(held) > 20 and np.mean([r["lang_pred"] == r["lang"] for r in held]) > 0.8  # learned from 200 rows
+
+
+def held_out_id(i):
+    return zlib.crc32(str(i).encode()) % 4 == 2
+
+
+def test_langid_bounds_its_sample(spark):
+    """A label for almost every row: the most frequent are learned, from a bounded number of rows."""
+    rows = [(i, f"some words of text number {i}", f"l{i % 900:03d}" if i % 3 else "main", None) for i in range(3000)]
+    model = langid.fit(docs(spark, rows), F.lit(True), langs=20, rows=200)
+    assert len(model.langs) <= 20 and "main" in model.langs
+    out = langid.predict(docs(spark, rows), model)
+    assert out.count() == 3000 and out.where("lang_pred not like 'l%' and lang_pred <> 'main'").count() == 0
+
+
 def test_langid_learns_and_rejects(spark):
     rng = np.random.default_rng(1)
     parts = {"aa": ["ka", "lo", "mi"], "bb": ["str", "ung", "icht"]}

@@ -1,34 +1,21 @@
-import re
-from collections import Counter, defaultdict
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagespan.llm import linetemplates, nearduplicates, rules
+from pagespan.llm import common, linetemplates, nearduplicates, rules
 from pagespan.llm.components import components
 
+from . import plain
+from .plain import WORD
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def docs(spark, rows):
     return spark.createDataFrame([(i, t, None, s, None) for i, t, s in rows], SCHEMA)
 
 
-def base(text):
-    x = text or ""
-    w = WORD.findall(x)
-    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-    n, covered = Counter(windows), set()
-    for i, z in enumerate(windows):
-        if n[z] > 1:
-            covered |= {i, i + 1, i + 2}
-    lines = [l for l in x.split("\n") if WORD.search(l)]
-    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", x)), len(lines) - len(set(lines)), len(covered)
-
-
 def words(rng, n):
     return " ".join("".join(rng.choice(list("abcdefghij"), 4)) for _ in range(n))
 
@@ -37,30 +24,54 @@ def test_rules_base_counts(spark, sf_dir):
     odd = [(10_001, None, "s"), (10_002, "", None), (10_003, "a b c a b c a b c", "s"), (10_004, "x\n\nx\n x\n", "s"), (10_005, "é ü #|<\x0b\x0cz", "s"), (10_006, "a a a a", "s")]
     real = [(r[0], r[1], r[2]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").collect()]
     for r in rules.judge(docs(spark, odd + real).withColumn("kept", F.lit("clash"))).join(docs(spark, odd + real).select("doc_id", "text"), "doc_id").collect():
-        e = base(r["text"])
+        e = plain.base(r["text"])
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == e, r["doc_id"]
         assert r["base_failed"] == (e[0] < 50 or 100 * e[4] > 50 * e[0])
 
 
-def test_rules_frequent_lines(spark):
-    rng = np.random.default_rng(4)
+def shared_lines(rng):
     common = [words(rng, 20) for _ in range(5)]
     rows = [(i, "\n".join([words(rng, 60), "  " + common[0].upper() + " "]), "h") for i in range(30)]  # loses a line, stays
     rows += [(100 + i, "\n".join([*common, words(rng, 30)]), "h") for i in range(30)]  # depleted
     rows += [(200 + i, "\n".join([*common, words(rng, 30)]), f"h{i}") for i in range(30)]  # one document of each host
     rows += [(300 + i, words(rng, 80) if i < 2 else rows[0][1], None) for i in range(5)]
     copy = "\n".join(words(rng, 30) for _ in range(4))
-    rows += [(400 + i, copy, "h") for i in range(40)]  # copies are one document
-    df = docs(spark, rows)
-    out = {r["doc_id"]: r for r in rules.judge(df).collect()}
-    assert all(out[i]["kept"] for i in [*range(30), *range(200, 230), *range(300, 305), *range(400, 440)])
-    assert out[0]["words_removed"] == 0 and all(out[i]["words_removed"] == 20 for i in range(1, 30))
-    assert out[100]["kept"] and not any(out[i]["kept"] for i in range(101, 130))
-    kept = {r["doc_id"]: r["text"] for r in rules.clean(df).collect()}
-    texts = {i: t for i, t, _ in rows}
-    assert set(kept) == {i for i, r in out.items() if r["kept"]}
-    assert all(kept[i] == texts[i].split("\n")[0] for i in range(1, 30)) and kept[0] == texts[0] and kept[400] == copy
-    assert rules.judge(df.limit(0)).count() == rules.clean(df.limit(0)).count() == 0
+    rows += [(400 + i, copy, "h") for i in range(40)]  # copies under their own keys are documents of their own
+    rows += [(500 + i, "\n".join([words(rng, 60), " Read\tMORE", " ", "home", "home"]), "m") for i in range(22)]
+    rows += [(600 + i, "\n".join([words(rng, 24), *(["home"] * 30)]), "m") for i in range(2)]  # menus
+    return rows + [rows[-1], rows[3], rows[3]]  # repeated rows
+
+
+@pytest.mark.parametrize("copies", [True, False])
+def test_rules_frequent_lines(spark, copies):
+    rows = shared_lines(np.random.default_rng(4))
+    expected = plain.rules(rows, copies=copies)
+    judged = rules.judge(docs(spark, rows), copies=copies)
+    assert sorted((r["doc_id"], r["words_removed"], r["kept"]) for r in judged.collect()) == sorted((i, lost, kept) for (i, _, _), (lost, kept, _) in zip(rows, expected, strict=True))
+    cleaned = sorted((r["doc_id"], r["text"]) for r in rules.clean(docs(spark, rows), copies=copies).collect())
+    assert cleaned == sorted((i, t) for (i, _, _), (_, kept, t) in zip(rows, expected, strict=True) if kept)
+    kept = {i for i, _ in cleaned}
+    assert kept >= {*range(30), *range(200, 230)} and not kept & set(range(100, 130)) and (400 in kept) is not copies
+    assert rules.judge(docs(spark, rows).limit(0)).count() == rules.clean(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_rules_of_real_documents(spark, sf_dir):
+    rows = [(r[0], r[1], r[2]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").collect()]
+    expected = plain.rules(rows, 2)
+    got = {r["doc_id"]: (r["words_removed"], r["kept"]) for r in rules.judge(docs(spark, rows), max_docs=2).collect()}
+    assert got == {i: x[:2] for (i, _, _), x in zip(rows, expected, strict=True)} and any(x[0] for x in expected)
+
+
+def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
+    """Everything shuffles, hot keys are salted; the results are the same."""
+    for module in (rules, linetemplates):
+        monkeypatch.setattr(module, "small", lambda df, *a, **k: df)
+    monkeypatch.setattr(common, "is_small", lambda df, *a, **k: False)
+    rows = shared_lines(np.random.default_rng(4))
+    got = sorted((r["doc_id"], r["words_removed"], r["kept"]) for r in rules.judge(docs(spark, rows)).collect())
+    assert got == sorted((i, lost, kept) for (i, _, _), (lost, kept, _) in zip(rows, plain.rules(rows), strict=True))
+    lines = sorted((r["doc_id"], r["text"]) for r in linetemplates.drop_templates(docs(spark, rows)).collect())
+    assert lines == sorted((i, plain.without(t, gone)) for (i, t, _), gone in zip(rows, plain.template_lines(rows), strict=True))
 
 
 def test_components(spark):
@@ -81,30 +92,6 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def sets_of(text):
-    w = WORD.findall((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-
-def brute(rows):
-    s = {i: sets_of(t) for i, t, _ in rows}
-    root = {i: i for i in s}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids = sorted(s)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            n = len(s[a] & s[b])
-            if n and 100 * n >= 75 * (len(s[a]) + len(s[b]) - n):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {i: (len(s[i]), find(i)) for i in s}
-
-
 def planted(rng):
     rows, i = [], 0
     for group in range(12):
@@ -130,7 +117,7 @@ def test_near_duplicates(spark, monkeypatch, leaf, block, depth):
     monkeypatch.setattr(nearduplicates, "BLOCK_SHINGLES", block)
     monkeypatch.setattr(nearduplicates, "DEPTH", depth)
     rows = planted(np.random.default_rng(leaf))
-    expected = brute(rows)
+    expected = plain.near_duplicates(rows)
     df = docs(spark, rows).withColumn("kept", F.lit("clash"))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in nearduplicates.near_duplicates(df).collect()}
     assert got == {i: (n, c, i == c) for i, (n, c) in expected.items()}
@@ -142,57 +129,38 @@ def test_near_duplicates_edges(spark):
     assert nearduplicates.near_duplicates(df.limit(0)).count() == 0
     rows = planted(np.random.default_rng(9))
     kept = {r["doc_id"] for r in nearduplicates.dedup(docs(spark, rows)).collect()}
-    assert kept == {i for i, (_, c) in brute(rows).items() if i == c}
-
-
-def tree(rows):
-    """The template tree in plain Python: places of dropped lines by document."""
-    first, leaves = {}, defaultdict(lambda: defaultdict(set))
-    for i, t, _ in sorted(rows, key=lambda r: r[0]):
-        if t is not None:
-            first.setdefault(t, i)
-    lines = []
-    for t, i in first.items():
-        for p, line in enumerate(t.split("\n")):
-            tokens = tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line))
-            if len(tokens) >= 4:
-                lines.append((i, p, tokens))
-                leaves[len(tokens), tokens[:4]][tokens].add(i)
-    return first, lines, leaves
-
-
-def test_line_templates(spark):
-    rng = np.random.default_rng(8)
+    assert kept == {i for i, (_, c) in plain.near_duplicates(rows).items() if i == c}
+
+
+def recurring(rng):
     head, long = "Served by the", words(rng, 55)
     rows = [(i, "\n".join([words(rng, 30), f"Request 99{i} took 1{i} ms  on host-{i}", f"{head} same {words(rng, 1)} machine in the long row of them all", words(rng, 3)]), "s") for i in range(12)]
     rows += [(100, words(rng, 20) + "\n" + long, "s"), (101, long + "\n" + words(rng, 20), "s"), (102, words(rng, 20) + "\nonly two documents have this", "s"), (103, "only two documents have this\n" + words(rng, 9), "s")]
-    rows += [(200, None, "s"), (201, "", "s"), (202, rows[0][1], "s"), (203, words(rng, 8) + "\n\n" + long + "\n", None)]
+    rows += [(200, None, "s"), (201, "", "s"), (202, rows[0][1], "s"), (203, words(rng, 8) + "\n\n" + long + "\n", None), (204, words(rng, 4), None), (204, words(rng, 4), None)]
+    rows += [(300 + i, "\n".join([words(rng, 30), "All rights reserved.", f" page  {i}", "home", " ", words(rng, 2)]), None) for i in range(5)]
+    return rows + [rows[2], rows[2]]
+
+
+@pytest.mark.parametrize("copies", [True, False])
+def test_line_templates(spark, copies):
+    rows = recurring(np.random.default_rng(8))
     df = docs(spark, rows).withColumn("n_lines", F.lit("clash"))
-    out = {r["doc_id"]: r for r in linetemplates.drop_templates(df).collect()}
-    texts = {i: t for i, t, _ in rows}
-    assert out[0]["text"] == texts[0] and out[202]["text"] == texts[0]
-    for i in range(1, 12):
-        a = texts[i].split("\n")
-        assert out[i]["text"].split("\n") == [a[0], a[3]] and out[i]["dropped_lines"] == 2, i
-    assert out[100]["text"] == texts[100] and out[101]["text"] == texts[101].split("\n")[1] and out[101]["dropped_tokens"] == 55
-    assert out[203]["text"] == texts[203].split("\n")[0] + "\n\n"
-    assert out[102]["text"] == texts[102] and out[103]["text"] == texts[103] and out[200]["text"] is None and out[201]["text"] == ""
+    got = sorted((r["doc_id"], r["text"] or "", r["dropped_lines"], r["dropped_tokens"]) for r in linetemplates.drop_templates(df, copies=copies).collect())
+    gone = plain.template_lines(rows, copies)
+    tokens = [sum(len(WORD.findall((t or "").split("\n")[p])) for p in places) for (_, t, _), places in zip(rows, gone, strict=True)]
+    assert got == sorted((i, plain.without(t, g) or "", len(g), n) for (i, t, _), g, n in zip(rows, gone, tokens, strict=True))
+    by_id = {r[0]: r for r in got}
+    assert by_id[0][2] == 0 and by_id[5][2] == 2 and by_id[304][2] == 3 and by_id[101][2] == 1 and by_id[103][2] == 0 and (by_id[202][2] == 0) is not copies
     assert linetemplates.clean(df.limit(0)).count() == 0
-    assert linetemplates.clean(docs(spark, [(1, long, None), (2, long + "\n", None)])).count() == 1
+    same = words(np.random.default_rng(1), 9)
+    assert linetemplates.clean(docs(spark, [(1, same, None), (2, same + "\n", None), (3, same, None), (4, "", None), (5, None, None)])).count() == 3
 
 
-def test_line_templates_drop_every_exact_repeat(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = [(r[0], r[1], None) for r in df.select("doc_id", "text").collect()]
-    first, lines, leaves = tree(rows)
-    out = {r["doc_id"]: r for r in linetemplates.drop_templates(df).collect()}
-    least = Counter()
-    for i, _, tokens in lines:
-        holders = leaves[len(tokens), tokens[:4]][tokens]
-        least[i] += len(holders) >= (2 if len(tokens) >= 50 else 3) and i != min(holders)
-    most = Counter(i for i, _, tokens in lines if len(set.union(*leaves[len(tokens), tokens[:4]].values())) > 1)
-    for i in first.values():
-        assert least[i] <= out[i]["dropped_lines"] <= most[i]
+def test_line_templates_of_real_documents(spark, sf_dir):
+    rows = [(r[0], r[1], None) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    out = {r["doc_id"]: r["text"] for r in linetemplates.drop_templates(docs(spark, rows)).collect()}
+    gone = plain.template_lines(rows)
+    assert any(gone) and out == {i: plain.without(t, g) for (i, t, _), g in zip(rows, gone, strict=True)}
 
 
 def test_line_templates_beyond_eight_leaders(spark, monkeypatch):
@@ -210,36 +178,40 @@ def test_line_templates_beyond_eight_leaders(spark, monkeypatch):
         w = busy[int(rng.integers(3))].split()
         near.append(" ".join(w[:4] + [x if rng.random() < 0.6 else str(rng.choice(["x", "y"])) for x in w[4:]]))
     rows = [(i, f"{words(rng, 9)}\n{x}", None) for i, x in enumerate(near)]
-    left, of = Counter(near), {}
-    while left:
-        lead = max(left, key=lambda x: (left[x], x))
-        for x in [x for x in left if 10 * sum(a == b for a, b in zip(x.split(), lead.split(), strict=True)) >= 7 * 11]:
-            of[x] = lead
-            del left[x]
-    groups = defaultdict(list)
-    for i, x in enumerate(near):
-        groups[of[x]].append(i)
-    gone = {i for g in groups.values() if len(g) >= 3 for i in g[1:]}
-    assert len(groups) > 8 and {r["doc_id"] for r in linetemplates.drop_templates(docs(spark, rows)).where("dropped_lines > 0").collect()} == gone
-
-
-def test_pipeline_rules_count_short_lines(spark):
-    rng = np.random.default_rng(12)
-    rows = [(i, "\n".join([words(rng, 60), " Read\tMORE", " ", "home"]), "h") for i in range(22)]
-    rows += [(100 + i, "\n".join([words(rng, 24), *(["home"] * 30)]), "h") for i in range(2)]
-    texts = {i: t for i, t, _ in rows}
-    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality_rules(spark, docs(spark, rows), "").collect()}
-    assert set(kept) == set(range(22)) and kept[0] == texts[0]  # the menus are depleted
-    assert all(kept[i].split("\n") == [texts[i].split("\n")[0], " "] for i in range(1, 22))
-
-
-def test_pipeline_drops_short_templates(spark):
-    rng = np.random.default_rng(13)
-    rows = [(i, "\n".join([words(rng, 30), "All rights reserved.", f" page  {i}", "home", " ", words(rng, 2)]), None) for i in range(5)]
-    rows += [(10 + i, words(rng, 9) + "\nonly two", None) for i in range(2)]
-    texts = {i: t for i, t, _ in rows}
-    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs(spark, rows), "").collect()}
-    assert out[0] == texts[0] and out[10] == texts[10] and out[11] == texts[11]
-    for i in range(1, 5):
-        a = texts[i].split("\n")
-        assert out[i].split("\n") == [a[0], a[4], a[5]]
+    gone = plain.template_lines(rows)
+    assert {r["doc_id"] for r in linetemplates.drop_templates(docs(spark, rows)).where("dropped_lines > 0").collect()} == {i for i, g in enumerate(gone) if g}
+
+
+def test_pipeline_stages(spark, sf_dir):
+    """Each stage against its plain version, on what the stage before it kept; the last against its contract."""
+    rng = np.random.default_rng(3)
+    real = [(r[0], r[1], r[2]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").collect()]
+    made = [(10_000 + i, t, s) for i, t, s in shared_lines(rng)[:-3]] + [(20_000 + i, t, None) for i, t, _ in planted(rng)]
+    made += [(30_000 + i, f"{words(rng, 70)}\nWritten by {words(rng, 1)} for all who read it\n{words(rng, 9)}", "t") for i in range(9)]
+    rows = real + made
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality_rules", "line_dedup", "near_dedup", "source_mix", "pack_sequences"]
+
+    def through(name, rows):
+        out = stages[name](spark, docs(spark, rows), "")
+        return out, [] if name == "pack_sequences" else sorted(((r["doc_id"], r["text"], r["source"]) for r in out.collect()), key=lambda r: r[0])
+
+    def same(got, expected):
+        assert got == sorted(expected, key=lambda r: r[0])
+
+    _, ruled = through("quality_rules", rows)
+    same(ruled, [(i, t, s) for (i, _, s), (_, kept, t) in zip(rows, plain.rules(rows), strict=True) if kept])
+    _, lined = through("line_dedup", ruled)
+    left = [(i, plain.without(t, g), s, g) for (i, t, s), g in zip(ruled, plain.template_lines(ruled), strict=True)]
+    same(lined, [(i, t, s) for i, t, s, g in left if not g or WORD.search(t)])
+    _, single = through("near_dedup", lined)
+    of = plain.near_duplicates(lined)
+    same(single, [r for r in lined if of[r[0]][1] == r[0]])
+    _, mixed = through("source_mix", single)
+    same(mixed, [r for r, n in zip(single, plain.times(single), strict=True) for _ in range(n)])
+    assert len(rows) > len(ruled) > len(single) > 100
+    packed = through("pack_sequences", mixed)[0].collect()
+    total = {}
+    for r in packed:
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
+    assert set(total) == {i for i, _, _ in mixed}

@@ -10,7 +10,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagespan.llm import mixing, packing, sharding, warc
+from pagespan.llm import common, mixing, packing, sharding, warc
+
+from . import plain
 
 
 def pages(spark, rows):
@@ -44,6 +46,44 @@ def test_warc_dictionary_and_damage(spark):
     assert any("error" in r for r in warc.read(bytes(archive[:-3])))
 
 
+def test_warc_with_a_damaged_dictionary_and_foreign_frames(spark):
+    texts = [f"<html><body>{'abc' * 20} page {i} {'tail ' * 30}</body></html>" for i in range(300)]
+    archive = bytes(warc.write(pages(spark, [(i, f"u{i}", t) for i, t in enumerate(texts)]).coalesce(1)).collect()[0]["content"])
+    n = int.from_bytes(archive[4:8], "little")
+    cut = list(warc.read(archive[: n // 2]))
+    assert len(cut) == 1 and "cut off" in cut[0]["error"]
+    for bad in (zstd.FRAME_HEADER + archive[12:], archive[:8] + zstd.FRAME_HEADER + b"\xff" * (n - 4) + archive[8 + n :]):
+        got = list(warc.read(bad))
+        assert got and all("error" in r for r in got)
+    raw = lambda i: zstd.compress(warc.record(str(i), "u", b"p%d" % i, hashlib.sha256(b"p%d" % i).hexdigest(), 2, None))
+    skip = (0x184D2A53).to_bytes(4, "little") + (5).to_bytes(4, "little") + b"hello"
+    assert [r["key"] for r in warc.read(raw(1) + skip + raw(2) + skip)] == ["1", "2"]
+    packed = zstd.compress(archive[8 : 8 + n])
+    assert [r["key"] for r in warc.read(warc.lead(packed) + archive[8 + n :])] == [r["key"] for r in warc.read(archive)]
+    small = raw(1) + skip + raw(2)
+    for i in range(len(small)):
+        for damaged in (small[:i] + bytes([small[i] ^ 0x5A]) + small[i + 1 :], small[:i]):
+            assert all("error" in r or r["payload_bytes"] == len(r["payload"]) for r in warc.read(damaged))
+    df = spark.createDataFrame([("a", None), ("b", bytearray(raw(7))), ("c", bytearray(b""))], "archive string, content binary")
+    assert sorted((r["archive"], r["key"], r["error"]) for r in warc.records(df).collect()) == [("a", None, "no content"), ("b", "7", None)]
+
+
+def test_warc_many_repeated_digests_and_the_bounded_dictionary(spark, monkeypatch):
+    rows = [(i, "u", f"{i % 7} " * 100) for i in range(60)] + [(100 + i, "u", "z" * (1 << 20)) for i in range(3)]
+    df = pages(spark, rows)
+    expected = {str(i): str(min(k for k, _, x in rows if x == t)) for i, _, t in rows}
+    for few in (True, False):
+        if not few:
+            monkeypatch.setattr(warc, "is_small", lambda df: False)
+        got = {r["key"]: r["refers_to"] or r["key"] for r in warc.records(warc.write(df)).collect()}
+        assert got == expected
+    distinct = pages(spark, [(i, "u", f"<p>{i} " + "abc " * (i % 50 + 20)) for i in range(300)])
+    known = warc.train_dictionary(distinct, "page_id", "html")
+    assert known and known == warc.train_dictionary(distinct.repartition(9), "page_id", "html")
+    monkeypatch.setattr(warc, "SAMPLE_BYTES", 500)
+    assert warc.train_dictionary(distinct, "page_id", "html") == b""
+
+
 @pytest.mark.parametrize("change", [lambda r: r.replace(b"WARC/1.1", b"WORC/1.1"), lambda r: r[:-1], lambda r: r.replace(b"payload", b"PAYLOAD", 1), lambda r: r.replace(b"Content-Length: ", b"Content-Length: 9", 1), lambda r: r.replace(b"WARC-Type: response", b"WARC-Type response")])
 def test_warc_validates(change):
     body = b"some payload"
@@ -153,6 +193,28 @@ def test_packing(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_more_sources_than_queues(spark):
+    """The largest sources hold their share in each window, the others together; nothing is lost."""
+    rows = [(i, f"text number {i} " * (1 + i % 9), "big" if i % 2 else f"s{i:04d}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    pieces = packing.pack(df, length=256, window=4, queues=3).collect()
+    encode = packing.encoder("byte_bpe_50k.json")
+    got, places = Counter(), Counter()
+    for p in pieces:
+        got[p["doc_id"], p["source"]] += p["length"]
+        places[p["sequence_id"]] += p["length"]
+    assert got == {(i, s): len(encode(t)) + 1 for i, t, s in rows}
+    assert max(places.values()) <= 256 and sum(places.values()) > 0.98 * 256 * len(places)
+    total = sum(got.values())
+    share = sum(n for (_, s), n in got.items() if s == "big") / total
+    windows = defaultdict(Counter)
+    for p in pieces:
+        windows[p["window_id"]][p["source"] == "big"] += p["length"]
+    assert all(abs(w[True] - share * sum(w.values())) < 2 for w in windows.values())
+    with pytest.raises(ValueError):
+        packing.pack(df, weights={"a": 1, "b": 1, "c": 1}, queues=3)
+
+
 def test_both_libraries_give_the_same_ids(spark, sf_dir):
     a, b = packing.encoder("byte_bpe_50k.json"), packing.encoder("byte_bpe_50k.tiktoken")
     texts = [r[0] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
@@ -168,15 +230,14 @@ def test_both_libraries_give_the_same_ids_for_added_tokens():
         assert a(t).tolist() == b(t).tolist(), t
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 1000), st.sampled_from([5, 2, 1])), min_size=1, max_size=9))
-def test_water_fill(sources):
-    sizes, weights = [s for s, _ in sources], [w for _, w in sources]
-    target = mixing.water_fill(sizes, weights, sum(sizes))
-    assert sum(target) == pytest.approx(sum(sizes))
-    assert all(t <= 3 * s + 1e-9 for t, s in zip(target, sizes, strict=True))
-    free = [t / w for t, s, w in zip(target, sizes, weights, strict=True) if s and t < 3 * s - 1e-6]
-    assert max(free, default=0) == pytest.approx(min(free, default=0))
+def test_water_fill(spark):
+    rng = np.random.default_rng(2)
+    for k in range(12):
+        sizes, weights = [int(x) for x in rng.integers(0, 1000, rng.integers(1, 9)) * rng.integers(0, 2 + k)], []
+        weights = [int(rng.choice([5, 2, 1])) for _ in sizes]
+        df = spark.createDataFrame([(i, n, float(w)) for i, (n, w) in enumerate(zip(sizes, weights, strict=True))], "i int, n long, w double")
+        target = [r["target"] for r in mixing.water_fill(df, sum(sizes)).orderBy("i").collect()]
+        assert target == pytest.approx(plain.fill(sizes, weights, sum(sizes)), abs=1e-6) and sum(target) == pytest.approx(sum(sizes))
 
 
 def test_mix(spark):
@@ -193,9 +254,21 @@ def test_mix(spark):
         sizes[r["source"]] += r["size"]
         targets[r["source"]] = r["target"]
     names = ["a", "b", "c", "nowords", None]
-    assert [targets[n] for n in names] == pytest.approx(mixing.water_fill([sizes[n] for n in names], [5, 2, 1, 5, 2], sum(sizes.values())))
+    assert [targets[n] for n in names] == pytest.approx(plain.fill([sizes[n] for n in names], [5, 2, 1, 5, 2], sum(sizes.values())))
     assert all(abs(got[n] - targets[n]) <= 0.02 * targets[n] + 300 for n in names)
     key = lambda rs: sorted((str(r["doc_id"]), r["times"]) for r in rs)
     assert key(mixing.mix(df.repartition(7)).collect()) == key(out)
     assert mixing.sample(df).count() == sum(r["times"] for r in out) and mixing.sample(df).columns == df.columns
     assert mixing.mix(df.limit(0)).count() == 0
+    times = plain.times([(r["doc_id"], r["text"], r["source"]) for r in out])
+    assert [r["times"] for r in out] == times
+
+
+def test_mix_of_many_sources(spark, monkeypatch):
+    """Beyond the broadcast bound, and with a source for almost every row."""
+    monkeypatch.setattr(common, "is_small", lambda df, *a, **k: False)
+    rows = [(i, "w " * (1 + i * 7 % 50), f"s{i % 700}" if i % 3 else "hot") for i in range(2000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["doc_id"]: r["times"] for r in out} == dict(enumerate(plain.times(rows)))
+    given = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights={"hot": 2, "s1": 1}, share=0.01)
+    assert {r["source"] for r in given.where("times > 0").collect()} <= {"hot", "s1"}
