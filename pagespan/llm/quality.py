@@ -3,8 +3,10 @@ numeric metadata. Pairwise interactions have low rank and are summed in linear t
 sum of the squares) for each factor. Trained in numpy with Adagrad on a bounded, balanced sample; the score is
 recalibrated to the classes' shares on rows kept out of the training.
 
-Null texts count as empty; they get a score too. Without labels every score is 0.5. Whole texts count. Missing metadata
-is a band of its own. Further columns pass through, those named as an output are replaced.
+Null texts count as empty; they get a score too. Without labels every score is 0.5; null labels and keys are not learned
+from. Whole texts count, however long. Missing metadata is a band of its own. Repeated rows get repeated scores, equal
+texts with equal metadata equal ones; a score of just the threshold counts as label 1. An empty table stays empty.
+Further columns pass through, those named as an output are replaced.
 """
 
 from __future__ import annotations

@@ -1,9 +1,11 @@
 """Sharding by a Feistel permutation with cycle walking over global row numbers: a reproducible shuffle in which the
 shard and slot of any row, and the row of any shard and slot, can be computed.
 
-Rows are numbered without gaps by the order columns (nulls first); rows that agree in all of them are interchangeable.
-Counts of the shards differ by one at most. An empty table stays empty; further columns pass through, those named as an
-output are replaced.
+Rows are numbered without gaps by the order columns (nulls first, in any of them); rows that agree in all of them are
+interchangeable. Null and empty texts count as any row; a very long text travels through the sort once if it is a column
+of the table, so tables of texts are better sharded by their keys and digests, as the registered query does. Counts of the
+shards differ by one at most. An empty table stays empty; further columns pass through, those named as an output are
+replaced.
 """
 
 from __future__ import annotations
