@@ -63,19 +63,20 @@ def _leaders(left: DataFrame, most: int) -> DataFrame:
 
 
 def templates(df: DataFrame, text: str = "text", key: str = "doc_id", copies: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Stored lines of leaves that several documents reach (d, id_, pos, n, hash), and the template of each line's hash in a leaf (hash, template). A leaf's hot lines are counted with partial sums before they meet."""
-    lines = lines_of(df, text, key, copies)
+    """Stored lines of leaves that several documents reach (d, id_, pos, n, hash, one: the leaf has that line only), and the template of each line's hash in the other leaves (hash, template). A leaf's hot lines are counted with partial sums before they meet. Lines and leaders always meet by a shuffle, so that the plan is the same at every size."""
+    lines = lines_of(df, text, key, copies).withColumn("hash", F.xxhash64("leaf", "line"))
     mark = F.xxhash64("id_")
-    leaves = store(lines.groupBy("leaf").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi").select("leaf"), "leaves")
-    met = lines.join(small(leaves), "leaf", "left_semi")
-    met = store(met.select("leaf", "d", "id_", "pos", "n", "line", F.xxhash64("leaf", "line").alias("hash")), "lines")
-    classes = met.groupBy("leaf", "hash").agg(F.count("*").alias("docs"), F.first("line").alias("line"))
+    leaves = lines.groupBy("leaf").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.min("hash").alias("first"), F.max("hash").alias("last"))
+    leaves = store(leaves.where("lo <> hi").select("leaf", (F.col("first") == F.col("last")).alias("one")), "leaves")
+    met = lines.join(small(leaves), "leaf")
+    met = store(met.select("leaf", "d", "id_", "pos", "n", "hash", "one", F.when(~F.col("one"), F.col("line")).alias("line")), "lines")
+    classes = met.where("not one").groupBy("leaf", "hash").agg(F.count("*").alias("docs"), F.first("line").alias("line"))
     left, found, most = store(classes, "classes"), [], 1
     while not found or left.limit(1).count():
-        lead = small(store(_leaders(left, most), "leaders"))
         # the line is split inside an array, once for all leaders
         takes = F.flatten(F.transform(F.array(F.split("line", " ")), lambda w: F.filter("leaders", lambda x: _agree(x["w"], w) >= MATCH)))
-        tried = store(left.join(lead, "leaf").withColumn("template", F.get(takes, F.lit(0))["hash"]).drop("leaders"), "tried")
+        tried = left.join(_leaders(left, most).hint("merge"), "leaf").withColumn("template", F.get(takes, F.lit(0))["hash"]).drop("leaders")
+        tried = store(tried, "tried")
         found.append(tried.where("template is not null").select("hash", "template"))
         left, most = tried.where("template is null").drop("template"), min(2 * most, BATCH)
     out = found[0]
@@ -88,7 +89,8 @@ def dropped(df: DataFrame, text: str = "text", key: str = "doc_id", copies: bool
     """By id_: the places of the lines to drop (at_) and their tokens (lost_). A template that a great part of the lines has is counted by document before it is counted, and meets its lines salted."""
     with Scratch() as scratch:
         met, of = templates(df, text, key, copies)
-        placed = store(met.join(small(of), "hash").select("template", "id_", "pos", "d", "n"), "placed")
+        alone = met.where("one").select(F.col("hash").alias("template"), "id_", "pos", "d", "n")
+        placed = store(met.where("not one").join(of.hint("merge"), "hash").select("template", "id_", "pos", "d", "n").unionByName(alone), "placed")
         by_text = placed.groupBy("template", "id_").agg(F.min("d").alias("d"))
         recurs = by_text.groupBy("template").agg(F.count("*").alias("docs"), F.min_by("id_", F.struct("d", "id_")).alias("first_")).where(F.col("docs") >= MIN_DOCS)
         gone = join_hot(placed, store(recurs.select("template", "first_"), "recurring"), ["template"], "id_").where(F.col("id_") != F.col("first_"))
