@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import a11y, crypto, paths
 from ..functions.media import clock_seconds
 from ..functions.types import lit, string
-from .xmlcore import xml_rows, xml_rows_lenient
+from .xmlcore import xml_encrypted, xml_rows
 
 CONTAINER, ENCRYPTION = "META-INF/container.xml", "META-INF/encryption.xml"
 RIGHT_TO_LEFT = ("ar", "fa", "he", "ur")
@@ -206,18 +206,8 @@ def series(belongs_to: Column | str) -> Column:
 
 def encryption(entries: DataFrame) -> DataFrame:
     """pub_id, zip_path, algorithm, original_length, algorithm_uri; what was read before an error counts, data without an algorithm and a length doesn't."""
-    parsed = entries.where(F.col("path") == ENCRYPTION).select("pub_id", xml_rows_lenient("content")["rows"].alias("rows"))
-    each = parsed.select("pub_id", "rows", F.explode(named(F.col("rows"), "EncryptedData")).alias("d"))
-    # the elements inside: those after it up to the next of its depth or above
-    after = F.filter("rows", lambda r: r["ord"] > F.col("d.ord"))
-    stop = F.coalesce(F.array_min(F.transform(F.filter(after, lambda r: r["depth"] <= F.col("d.depth")), lambda r: r["ord"])), lit(2**31 - 1))
-    inside = F.filter(after, lambda r: r["ord"] < stop)
-    got = each.select("pub_id", F.col("d.ord").alias("ord"), inside.alias("in_"))
-    uri = attr(_last(named(F.col("in_"), "EncryptionMethod")), "Algorithm")
-    out = got.select(
-        "pub_id", "ord", paths.percent_decode(attr(_last(named(F.col("in_"), "CipherReference")), "URI")).alias("zip_path"), uri.alias("algorithm_uri"),
-        attr(_last(named(F.col("in_"), "Compression")), "OriginalLength").try_cast("bigint").alias("original_length"),
-    )
+    each = entries.where(F.col("path") == ENCRYPTION).select("pub_id", F.explode(xml_encrypted("content")).alias("d"))
+    out = each.select("pub_id", "d.ord", paths.percent_decode("d.uri").alias("zip_path"), "d.algorithm_uri", F.col("d.original_length").try_cast("bigint").alias("original_length"))
     out = out.where(F.col("zip_path").isNotNull() & (F.col("algorithm_uri").isNotNull() | F.col("original_length").isNotNull()))
     last = out.groupBy("pub_id", "zip_path").agg(F.max_by(F.struct("algorithm_uri", "original_length"), "ord").alias("e"))
     return last.select("pub_id", "zip_path", crypto.algorithm_of(F.coalesce("e.algorithm_uri", lit(""))).alias("algorithm"), "e.original_length", "e.algorithm_uri")

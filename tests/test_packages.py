@@ -1,6 +1,7 @@
 import base64
 import io
 import re
+import time
 import zipfile
 
 import pytest
@@ -101,6 +102,18 @@ def test_encryption(entries):
     assert got == {"OEBPS/font 1.otf": ("idpf", None), "OEBPS/c.x": ("aes_cbc", 42)}
 
 
+def test_encryption_of_many_files(spark):
+    """Time in proportion to the file: 4,000 resources in one encryption.xml. Nested data counts for the outer one too, what comes before an error counts."""
+    one = '<EncryptedData><m:EncryptionMethod x:Algorithm="{0}"/><CipherData><CipherReference URI="f%20{0}"/></CipherData></EncryptedData>'
+    nested = '<a><EncryptedData><EncryptedData><CipherReference URI="y"/><EncryptionMethod Algorithm="q"/></EncryptedData><CipherReference URI="x"/><Compression OriginalLength="7"/></EncryptedData><EncryptedData><CipherReference URI="z"/><Compression OriginalLength="3"/><b></a>'
+    files = [(1, "<e>" + "".join(map(one.format, range(4000))) + "</e>"), (2, nested), (3, "no xml"), (4, None)]
+    rows = [(k, opf.ENCRYPTION, None if x is None else bytearray(x.encode())) for k, x in files]
+    began = time.time()
+    got = sorted((r["pub_id"], r["zip_path"], r["algorithm_uri"], r["original_length"]) for r in opf.encryption(spark.createDataFrame(rows, "pub_id int, path string, content binary")).collect())
+    assert time.time() - began < 60
+    assert got == sorted([(1, f"f {i}", str(i), None) for i in range(4000)]) + [(2, "x", "q", 7), (2, "y", "q", None), (2, "z", None, 3)]
+
+
 def parts(entries, packed):
     items = opf.manifest(packed)
     meta = opf.metadata(packed)
