@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from .common import BROADCAST_ROWS, Scratch, add_columns, forget, small, store
-from .components import components
+from .components import components, of_stars
 from .textnum import mix, shingle_hashes, word_hashes
 
 WORDS, THRESHOLD, SEED = 5, 0.75, 7
@@ -253,7 +253,7 @@ def linked(sets: list[np.ndarray], threshold: float = THRESHOLD, compare: np.nda
 
 
 def _confirm(rows: DataFrame, by: list[str], query: bool) -> DataFrame:
-    """Edges that span the exact components in each block. rows: the columns by, v, t (text) and, with query, q: only those with q are compared with all."""
+    """Edges from a to the smallest b of its component, for the exact components in each block. rows: the columns by, v, t (text) and, with query, q: only those with q are compared with all."""
     kind = rows.schema["v"].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,7 +264,7 @@ def _confirm(rows: DataFrame, by: list[str], query: bool) -> DataFrame:
             v = held["v"]
             if len(v) > 1:
                 root = linked(held["s"], compare=np.array(held["q"], bool) if query else None)
-                out.extend((v[r], v[i]) for i, r in enumerate(root) if r != i)
+                out.extend((v[i], v[r]) for i, r in enumerate(root) if r != i)
 
         for part in parts:
             q = part["q"].to_numpy() if query else np.ones(len(part), bool)
@@ -291,7 +291,7 @@ def confirmed(clusters: DataFrame, docs: DataFrame, vertices: DataFrame, key: st
     placed = members.join(small(many), "c", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("v"), F.col("blocks")), F.lit(0)).cast("int"))
     texts = docs.select(F.col(key).alias("v"), F.col(text).cast("binary").alias("t")).join(small(placed), "v")
     if not many.limit(1).count():
-        return components(_confirm(texts, ["c", "block"], False))
+        return of_stars(store(_confirm(texts, ["c", "block"], False), "links"))
     texts = store(texts, "texts")
     single, several = texts.where("blocks is null"), texts.where("blocks is not null")
     # several blocks: a few pivots of the cluster join every block, and each block is solved by itself
@@ -311,7 +311,10 @@ def confirmed(clusters: DataFrame, docs: DataFrame, vertices: DataFrame, key: st
     asked = asked.withColumn("to", every).select("v", "c", F.col("to").alias("block"), "part", "t", F.lit(True).alias("q"))
     base = several.join(small(parts), "c").select("v", "c", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "t", F.lit(False).alias("q"))
     rest = _confirm(base.unionByName(asked), ["c", "block", "part"], True)
-    return components(_confirm(single, ["c", "block"], False).unionByName(links).unionByName(rest))
+    found = store(_confirm(single, ["c", "block"], False).withColumn("whole", F.lit(True)).unionByName(rest.withColumn("whole", F.lit(False))), "links")
+    # a cluster of one block is done; in the others the new links meet the components so far
+    merged = components(so_far.toDF("a", "b").unionByName(found.where("not whole").select("a", "b")))
+    return of_stars(found.where("whole").select("a", "b")).unionByName(merged)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

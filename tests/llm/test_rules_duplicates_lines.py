@@ -92,6 +92,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_stars(spark, monkeypatch):
+    """Stars are known as such, so no step is spent on what is settled; of_stars() reads them."""
+    stars = [(5, 1), (1, 7), (9, 1), (4, 3), (3, 4)]
+    want = {1: 1, 5: 1, 7: 1, 9: 1, 3: 3, 4: 3}
+    with monkeypatch.context() as m:
+        m.setattr("pagespan.llm.components._star", None)
+        assert {r["node"]: r["component"] for r in components(spark.createDataFrame(stars, "a long, b long")).collect()} == want
+    chain = [(1, 2), (2, 3), (7, 3), (8, 9)]
+    assert sorted(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect())) == [(1, 1), (2, 1), (3, 1), (7, 1), (8, 8), (9, 8)]
+
+
 def planted(rng):
     rows, i = [], 0
     for group in range(12):
