@@ -27,6 +27,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 500_000
 #: And in bytes of its values; a session whose driver or executors have less memory to spare may set less.
 BROADCAST_BYTES = 64 << 20
+#: A stored table of at most so many rows and bytes is read by one task.
+FEW_ROWS, FEW_BYTES = 100_000, 32 << 20
 #: Parts into which join_hot() cuts the rows of each key.
 SALTS = 32
 
@@ -175,6 +177,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, held: int = BROADCAST_BYTES
     return F.broadcast(df) if is_small(df, rows, held) else df
 
 
+def together(df: DataFrame) -> DataFrame:
+    """df, a stored table, in one partition if it is so small that one task can take it: what follows then needs no shuffle and writes one file, not one for each partition. For a local folder Hadoop starts processes for every file, each of which shares the executor's memory for a moment."""
+    return df.coalesce(1) if is_small(df, FEW_ROWS, FEW_BYTES) else df
+
+
 def join_hot(big: DataFrame, side: DataFrame, on: list[str], spread: str) -> DataFrame:
     """Inner join where a key may hold a great part of big and one row of side: broadcast, or else salted by the column spread."""
     if is_small(side):

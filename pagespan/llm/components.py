@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, store
+from .common import forget, store, together
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,12 +32,14 @@ def of_stars(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_steps: int = 60) -> DataFrame:
-    """(node, component) for every node of an edge; the component is its smallest node. Loops and repeated edges do no harm; null ends are left out."""
-    now = store(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
+    """(node, component) for every node of an edge; the component is its smallest node. Loops and repeated edges do no harm; null ends are left out. Few edges take their steps in one task."""
+    ends = together(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")))
+    now = store(ends.distinct(), "edges")
     for _ in range(max_steps):
-        if _settled(now):
-            return of_stars(now)
-        step = store(_star(_star(now, True), False), "edges")
+        read = together(now)
+        if _settled(read):
+            return of_stars(read)
+        step = store(_star(_star(read, True), False), "edges")
         forget(now)
         now = step
     raise RuntimeError("components did not settle")

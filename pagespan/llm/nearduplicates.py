@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import BROADCAST_ROWS, Scratch, add_columns, forget, small, store
+from .common import BROADCAST_ROWS, Scratch, add_columns, forget, small, store, together
 from .components import components, of_stars
 from .textnum import mix, shingle_hashes, word_hashes
 
@@ -158,22 +158,25 @@ def _looked_at(rows: DataFrame) -> DataFrame:
 def candidates(vertices: DataFrame) -> DataFrame:
     """Stored edges (a, b) whose components hold every pair that shares a leaf and is estimated close, and every unsplit node. vertices: v, sig, low.
 
-    Only (node, v) passes through the levels; a level's tables go as soon as its edges and the next level are stored, and from the second level on only the vertices that are still in a large node are read. Joins that bring the values to the nodes always shuffle, so that the plan is the same at every size.
+    Only (node, v) passes through the levels; a level's tables go as soon as its edges and the next level are stored, and from the second level on only the vertices that are still in a large node are read. Joins that bring the values to the nodes shuffle, but for levels of few rows, which one task reads; their leaves are dealt out all the same.
     """
     found: list[DataFrame] = []
     pool, keys = vertices, store(_roots(vertices), "keys")
+    stored = [keys]
     for depth in range(1, DEPTH + 1):
         sizes = store(keys.groupBy("node").agg(F.count("*").alias("n"), F.min("v").alias("pivot")).where("n > 1"), "nodes")
         # a node known by its size: leaves are gathered, larger ones stay spread
-        leaves = keys.join(small(sizes.where(F.col("n") <= LEAF).select("node")), "node").join(pool.select("v", "low").hint("merge"), "v")
+        leaves = keys.join(small(sizes.where(F.col("n") <= LEAF).select("node")), "node", "left_semi").join(pool.select("v", "low").hint("merge"), "v")
         found.append(store(_leaf_edges(leaves.select("node", "v", "low")), "edges"))
         large = sizes.where(F.col("n") > LEAF).select("node", "pivot")
         done = not large.limit(1).count()
         if not done:
             # each large node's rows with its pivot's values; there are at most rows / LEAF such nodes
             pivots = store(pool.select(F.col("v").alias("pivot"), F.col("low").alias("plow")).join(small(large), "pivot"), "pivots")
-            inside = keys.join(small(pivots, BROADCAST_ROWS // 10), "node").join(pool.select("v", "sig", "low").hint("merge"), "v")
-            rows = store(_looked_at(inside), "large")
+            few = small(pivots, BROADCAST_ROWS // 10)
+            inside = keys.join(few.select("node"), "node", "left_semi").join(pool.select("v", "sig", "low").hint("merge"), "v").join(few, "node")
+            looked = store(_looked_at(inside), "large")
+            rows = together(looked)
             share = store(rows.groupBy("node").agg((F.avg("near") > 0.5).alias("whole")), "share")
             known = rows.join(small(share), "node")
             whole = F.lit(True) if depth == DEPTH else F.col("whole")
@@ -183,13 +186,14 @@ def candidates(vertices: DataFrame) -> DataFrame:
             below = store(on.select(F.explode("next").alias("node"), "v"), "keys")
             left = store(on.groupBy("v").agg(F.first("sig").alias("sig"), F.first("low").alias("low")), "pool")
             done = not below.limit(1).count()
-            for x in (pivots, rows, share):
+            for x in (pivots, looked, share):
                 forget(x)
-        for x in (keys, sizes, *([] if pool is vertices else [pool])):
+        for x in (sizes, *stored):
             forget(x)
         if done:
             break
-        keys, pool = below, left
+        stored = [below, left]
+        keys, pool = together(below), together(left)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

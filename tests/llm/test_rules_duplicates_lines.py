@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +105,31 @@ def test_components_of_stars(spark, monkeypatch):
     assert sorted(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect())) == [(1, 1), (2, 1), (3, 1), (7, 1), (8, 8), (9, 8)]
 
 
+@pytest.mark.parametrize(("few", "files"), [(100_000, 1), (0, 16)])
+def test_components_of_few_edges(spark, monkeypatch, few, files):
+    """A table that one task can take is read by one and written as one file, however many partitions a shuffle has; a larger one is dealt out, with the same components."""
+    written, plain_store = [], common.storage.store
+
+    def store(df, name):
+        out = plain_store(df, name)
+        written.append(len(list(Path(out._pagespan_path).glob("part-*"))))
+        return out
+
+    monkeypatch.setattr(common.storage, "store", store)
+    monkeypatch.setattr(common, "FEW_ROWS", few)
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        chain = spark.createDataFrame([(i, i + 1) for i in range(300) if i % 60 < 59], "a long, b long")
+        assert {tuple(r) for r in components(chain).collect()} == {(i, i - i % 60) for i in range(300)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(written) > 2 and set(written) == {files}
+
+
 def planted(rng):
     rows, i = [], 0
     for group in range(12):
@@ -134,6 +161,16 @@ def test_near_duplicates(spark, monkeypatch, leaf, block, depth):
     assert got == {i: (n, c, i == c) for i, (n, c) in expected.items()}
 
 
+def test_near_duplicates_of_many_rows(spark, monkeypatch):
+    """Levels and links that no single task may read."""
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
+    monkeypatch.setattr(nearduplicates, "LEAF", 4)
+    monkeypatch.setattr(nearduplicates, "BLOCK_SHINGLES", 300)
+    rows = planted(np.random.default_rng(5))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nearduplicates.near_duplicates(docs(spark, rows)).collect()}
+    assert got == plain.near_duplicates(rows)
+
+
 def test_near_duplicates_edges(spark):
     df = docs(spark, [(None, "a b c d e f", None), (1, "a b c d e f", None), (2, None, None)])
     assert {(r["doc_id"], r["component_id"]) for r in nearduplicates.near_duplicates(df).collect()} == {(None, 1), (1, 1), (2, 2)}
