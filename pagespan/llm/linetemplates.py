@@ -30,9 +30,10 @@ _BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def masked(line: Column) -> Column:
-    """The line's tokens with one blank between them, variable fields masked. Most lines need no change, which one look tells."""
+    """The line's tokens with one blank between them, variable fields masked. Most lines need no change, which a look for single characters and three for blanks tell; one pattern for all four takes several times as long."""
     squeezed = F.trim(F.regexp_replace(line, _BLANKS, " "))
-    return F.when(line.rlike(r"[0-9\x09-\x0D]|  |^ | $"), F.regexp_replace(squeezed, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)).otherwise(line)
+    odd = line.rlike(r"[0-9\x09-\x0D]") | F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(odd, F.regexp_replace(squeezed, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)).otherwise(line)
 
 
 def _tokens(line: Column) -> Column:
@@ -40,9 +41,10 @@ def _tokens(line: Column) -> Column:
 
 
 def lines_of(df: DataFrame, text: str, key: str, copies: bool) -> DataFrame:
-    """d, id_, pos, line (masked), n (tokens), leaf, of lines with a token. Lines are masked and counted inside the array, so that no filter above repeats the work."""
-    lines = F.transform(F.transform(F.split(text, "\n"), masked), lambda x: F.struct(x.alias("line"), _tokens(x).alias("n")))
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("d"), identity(text, key, copies).alias("id_"), F.posexplode(lines).alias("pos", "x"))
+    """d, id_, pos, line (masked), n (tokens), leaf, of lines with a token. Lines are masked and counted inside the array, so that no filter above repeats the work; the digest is a column of its own below, as beside posexplode() it would be computed for every line anew."""
+    lines = F.transform(F.transform(F.split("text_", "\n"), masked), lambda x: F.struct(x.alias("line"), _tokens(x).alias("n")))
+    texts = df.where(F.col(text).isNotNull()).select(F.col(key).alias("d"), identity(text, key, copies).alias("id_"), F.col(text).alias("text_"))
+    rows = texts.select("d", "id_", F.posexplode(lines).alias("pos", "x"))
     rows = rows.where(F.col("x.n") > 0).select("d", "id_", "pos", "x.line", "x.n")
     return rows.withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", LEADING)))
 

@@ -211,6 +211,28 @@ def test_line_templates_of_real_documents(spark, sf_dir):
     assert any(gone) and out == {i: plain.without(t, g) for (i, t, _), g in zip(rows, gone, strict=True)}
 
 
+def test_line_templates_digest_each_document_once(spark, monkeypatch):
+    """Not once for each of its lines."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def digest(text):
+        seen.add(1)
+        return text.encode()
+
+    monkeypatch.setattr(linetemplates, "identity", lambda text, key, copies=True: F.udf(digest, "binary")(F.col(text)))
+    texts = ["\n".join(f"one more line {a} {b}" for b in "abcdefghij") for a in "uvwx"]
+    got = linetemplates.lines_of(docs(spark, [(i, t, None) for i, t in enumerate([*texts, None])]), "text", "doc_id", True).collect()
+    assert sorted((r["d"], r["pos"], r["line"], r["n"]) for r in got) == [(i, p, line, 5) for i, t in enumerate(texts) for p, line in enumerate(t.split("\n"))]
+    assert seen.value == len(texts) and {(r["d"], bytes(r["id_"]).decode()) for r in got} == set(enumerate(texts))
+
+
+def test_masked_lines(spark):
+    odd = ["", " ", "\t", "a b", " a b", "a b ", "a  b", "a\tb", "a\r", "a \u2028", "a\u00a0 b", "7", "x 1a b2 c", "a2  b", "\x0b\x0ca", "é 3ü", "a1b"]
+    want = [" ".join("<*>" if any(c in "0123456789" for c in x) else x for x in WORD.findall(line)) for line in odd]
+    got = spark.createDataFrame(list(enumerate(odd)), "i int, line string").withColumn("m", linetemplates.masked(F.col("line"))).orderBy("i").collect()
+    assert [r["m"] for r in got] == want
+
+
 def test_line_templates_beyond_eight_leaders(spark, monkeypatch):
     """One leaf with twelve frequent lines and, behind them, a template whose field has no digit; then leaders in the order of one at a time."""
     rng = np.random.default_rng(11)
