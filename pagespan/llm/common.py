@@ -29,6 +29,8 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 #: A stored table of at most so many rows and bytes is read by one task.
 FEW_ROWS, FEW_BYTES = 100_000, 32 << 20
+#: Files into which the tables of few texts go, and the bytes of text up to which they are few.
+FEW_FILES, FEW_TEXT = 8, 64 << 20
 #: Parts into which join_hot() cuts the rows of each key.
 SALTS = 32
 
@@ -182,6 +184,12 @@ def together(df: DataFrame) -> DataFrame:
     return df.coalesce(1) if is_small(df, FEW_ROWS, FEW_BYTES) else df
 
 
+def writer(df: DataFrame, text: str) -> Callable[[DataFrame, str], DataFrame]:
+    """store() for what is made of df's texts: few texts' tables go into few files, however many partitions a shuffle has; see together() for why. Only the last step of what makes a table is done by so few tasks."""
+    few = (df.agg(F.sum(F.octet_length(text))).first()[0] or 0) <= FEW_TEXT
+    return lambda made, name: store(made.coalesce(FEW_FILES) if few else made, name)
+
+
 def join_hot(big: DataFrame, side: DataFrame, on: list[str], spread: str) -> DataFrame:
     """Inner join where a key may hold a great part of big and one row of side: broadcast, or else salted by the column spread."""
     if is_small(side):

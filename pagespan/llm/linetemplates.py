@@ -16,11 +16,13 @@ lines, nothing is cut. Further columns pass through, those named as an output ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import Scratch, apart, identity, join_hot, small, store
+from .common import Scratch, apart, identity, join_hot, small, writer
 
 LEADING, MATCH, MIN_DOCS = 4, 70, 3
 #: Most leaders of a leaf that a round tries.
@@ -64,8 +66,8 @@ def _leaders(left: DataFrame, most: int) -> DataFrame:
     return tried.select("leaf", lead.alias("leaders"))
 
 
-def templates(df: DataFrame, text: str = "text", key: str = "doc_id", copies: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Stored lines of leaves that several documents reach (d, id_, pos, n, hash, one: the leaf has that line only), and the template of each line's hash in the other leaves (hash, template). A leaf's hot lines are counted with partial sums before they meet. Lines and leaders always meet by a shuffle, so that the plan is the same at every size."""
+def templates(df: DataFrame, store: Callable[[DataFrame, str], DataFrame], text: str = "text", key: str = "doc_id", copies: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Lines of leaves that several documents reach (d, id_, pos, n, hash, one: the leaf has that line only), and the template of each line's hash in the other leaves (hash, template); both stored by store. A leaf's hot lines are counted with partial sums before they meet. Lines and leaders always meet by a shuffle, so that the plan is the same at every size."""
     lines = lines_of(df, text, key, copies).withColumn("hash", F.xxhash64("leaf", "line"))
     mark = F.xxhash64("id_")
     leaves = lines.groupBy("leaf").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.min("hash").alias("first"), F.max("hash").alias("last"))
@@ -90,7 +92,8 @@ def templates(df: DataFrame, text: str = "text", key: str = "doc_id", copies: bo
 def dropped(df: DataFrame, text: str = "text", key: str = "doc_id", copies: bool = True) -> DataFrame:
     """By id_: the places of the lines to drop (at_) and their tokens (lost_). A template that a great part of the lines has is counted by document before it is counted, and meets its lines salted."""
     with Scratch() as scratch:
-        met, of = templates(df, text, key, copies)
+        store = writer(df, text)
+        met, of = templates(df, store, text, key, copies)
         alone = met.where("one").select(F.col("hash").alias("template"), "id_", "pos", "d", "n")
         placed = store(met.where("not one").join(of.hint("merge"), "hash").select("template", "id_", "pos", "d", "n").unionByName(alone), "placed")
         by_text = placed.groupBy("template", "id_").agg(F.min("d").alias("d"))

@@ -226,6 +226,34 @@ def test_line_templates_digest_each_document_once(spark, monkeypatch):
     assert seen.value == len(texts) and {(r["d"], bytes(r["id_"]).decode()) for r in got} == set(enumerate(texts))
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_line_templates_of_few_texts(spark, monkeypatch, few):
+    """What is made of few texts goes into few files, however many partitions a shuffle has; that of more texts is dealt out, with the same result."""
+    written, plain_store = {}, common.storage.store
+
+    def store(df, name):
+        out = plain_store(df, name)
+        written.setdefault(name, []).append(len(list(Path(out._pagespan_path).glob("part-*"))))
+        return out
+
+    monkeypatch.setattr(common.storage, "store", store)
+    monkeypatch.setattr(common, "FEW_TEXT", common.FEW_TEXT if few else 0)
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    rows = recurring(np.random.default_rng(12))
+    rows += [(9000 + i, f"{words(np.random.default_rng(i), 20)}\nRead all about {words(np.random.default_rng(i + k), 9)}", None) for k in (0, 400) for i in range(k, k + 300)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = sorted((r["doc_id"], r["text"] or "") for r in linetemplates.drop_templates(docs(spark, rows)).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == sorted((i, plain.without(t, g) or "") for (i, t, _), g in zip(rows, plain.template_lines(rows), strict=True))
+    assert set(written) == {"leaves", "lines", "classes", "tried", "placed", "recurring", "gone"}
+    assert len(written["tried"]) > 1 and max(max(x) for x in written.values()) in (range(1, 9) if few else range(16, 40))
+
+
 def test_masked_lines(spark):
     odd = ["", " ", "\t", "a b", " a b", "a b ", "a  b", "a\tb", "a\r", "a \u2028", "a\u00a0 b", "7", "x 1a b2 c", "a2  b", "\x0b\x0ca", "é 3ü", "a1b"]
     want = [" ".join("<*>" if any(c in "0123456789" for c in x) else x for x in WORD.findall(line)) for line in odd]
